@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedsearch.functions.vectors import as_double_vec, dot
+from fedsearch.functions.vectors import as_double_vec, dot, route_features
+from fedsearch.operators.metrics import source_centroids, source_stats
 from fedsearch.operators.retrieve import knn, knn_global
 from fedsearch.operators.routing import route_all, route_by_rule
 from fedsearch.operators.train import group_split
@@ -160,3 +161,30 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("src"), (F.col("event_id") % 10).cast("string")).alias("source"),
                     F.col("user_id").alias("question_id"),
                     F.col("value").alias("duration"))
+
+
+def centroids_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, pos, mean): the mean corpus vector of each source."""
+    return source_centroids(corpus(spark, sf_dir))
+
+
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, centroid, num_documents, density) per source."""
+    return source_stats(corpus(spark, sf_dir))
+
+
+def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (query, source) pair with ``[query | centroid | one-hot]`` features."""
+    q = queries(spark, sf_dir).select("qid", "qv")
+    # one centroid row per source: a fixed-size side
+    cent = F.broadcast(stats(spark, sf_dir).select("source_id", "centroid"))
+    pairs = route_all(q, sources(spark, sf_dir)).join(cent, "source_id")
+    return pairs.select("qid", "source_id", "qv", "centroid",
+                        route_features("qv", "centroid", "source_id", N_SOURCES).alias("features"))
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing examples: features, label and split of every pair."""
+    lab = scored(spark, sf_dir).select("qid", "source_id", "label")
+    return (feats(spark, sf_dir).join(lab, ["qid", "source_id"])
+            .join(split(spark, sf_dir), "qid"))

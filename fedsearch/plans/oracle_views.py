@@ -44,6 +44,23 @@ VIEWS: list[tuple[str, str]] = [
         FROM (SELECT qid, pos, n, ceil(0.6 * n) AS n_test FROM (
               SELECT qid, row_number() OVER (ORDER BY (qid * 7919) % 1009, qid) AS pos,
                      count(*) OVER () AS n FROM q))"""),
+    ("cent_long", """SELECT source_id, i AS pos, avg(x) AS mean FROM (
+        SELECT source_id, unnest(v) AS x, CAST(unnest(range(len(v))) AS INTEGER) AS i FROM corpus)
+        GROUP BY source_id, i"""),
+    ("centroid", "SELECT source_id, list(mean ORDER BY pos) AS centroid FROM cent_long GROUP BY source_id"),
+    ("sstats", """SELECT c.source_id, c.centroid, count(*) AS num_documents,
+        avg(CASE WHEN sqrt(list_inner_product(k.v, k.v)) * sqrt(list_inner_product(c.centroid, c.centroid)) > 0
+                 THEN list_inner_product(k.v, c.centroid)
+                      / (sqrt(list_inner_product(k.v, k.v)) * sqrt(list_inner_product(c.centroid, c.centroid)))
+                 ELSE 0.0 END) AS density
+        FROM corpus k JOIN centroid c ON c.source_id = k.source_id GROUP BY c.source_id, c.centroid"""),
+    ("feats", """SELECT q.qid, c.source_id,
+        list_concat(list_concat(q.qv, c.centroid),
+                    list_transform(range(10), lambda i: CASE WHEN i = c.source_id THEN 1.0 ELSE 0.0 END)) AS features
+        FROM q CROSS JOIN centroid c"""),
+    ("examples", """SELECT f.qid, f.source_id, f.features, s.label, p.split
+        FROM feats f JOIN scored s ON s.qid = f.qid AND s.source_id = f.source_id
+        JOIN split p ON p.qid = f.qid"""),
     ("answers", """SELECT item_id, item_id % 4 AS bank,
         chr(65 + ((item_id // 4) % 4)::INTEGER) AS gold,
         CASE item_id % 8
