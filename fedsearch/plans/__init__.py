@@ -3,6 +3,7 @@
 
 def load_catalogue():
     """Import every catalogue module so its queries register themselves."""
-    from fedsearch.plans import q_features, q_ir, q_pool, q_retrieval, q_router  # noqa: F401
+    from fedsearch.plans import (q_answers, q_features, q_ir, q_pool, q_retrieval,  # noqa: F401
+                                 q_router, q_text, q_workflow)
     from fedsearch.plans.registry import ORACLE, QUERIES
     return QUERIES, ORACLE
