@@ -25,7 +25,7 @@ def _locate_sql(x: str) -> str:
     return "coalesce(" + ", ".join(hits) + ", '')"
 
 
-_JSON_PRED_SQL = _locate_sql(_STRIP.format(x=f"string_split(llm_output, {_sql_str(G.ANSWER_MARKER)})[-1]"))
+JSON_PRED_SQL = _locate_sql(_STRIP.format(x=f"string_split(llm_output, {_sql_str(G.ANSWER_MARKER)})[-1]"))
 _TAIL_PRED_SQL = _STRIP.format(x="replace(replace(" + _STRIP.format(
     x=f"string_split(llm_output, {_sql_str(G.TAIL_PHRASE)})[-1]") + ", '.', ''), '\"', '')")
 
@@ -39,7 +39,7 @@ def _graded(spark, d):
 
 @query("grade_letter_json", f"""
 SELECT item_id, bank, pred, (pred IN ('A', 'B', 'C', 'D') AND gold IN ('A', 'B', 'C', 'D') AND pred = gold) AS correct
-FROM (SELECT item_id, bank, gold, {_JSON_PRED_SQL} AS pred FROM answers)""")
+FROM (SELECT item_id, bank, gold, {JSON_PRED_SQL} AS pred FROM answers)""")
 def grade_letter_json(spark, d):
     """Letter after the last answer marker, by ten ordered patterns (K1)."""
     return _graded(spark, d).drop("gold")
@@ -58,7 +58,7 @@ def grade_letter_tail(spark, d):
 SELECT bank, count(*) AS total, CAST(sum(CAST(correct AS INTEGER)) AS BIGINT) AS n_correct,
        round(avg(CAST(correct AS INTEGER)), 6) AS accuracy
 FROM (SELECT bank, (pred IN ('A', 'B', 'C', 'D') AND gold IN ('A', 'B', 'C', 'D') AND pred = gold) AS correct
-      FROM (SELECT bank, gold, {_JSON_PRED_SQL} AS pred FROM answers))
+      FROM (SELECT bank, gold, {JSON_PRED_SQL} AS pred FROM answers))
 GROUP BY ROLLUP (bank)""")
 def accuracy_by_bank(spark, d):
     """Total, correct and accuracy per bank plus the overall row."""
