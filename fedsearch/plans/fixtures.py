@@ -26,6 +26,7 @@ from fedsearch.operators.metrics import source_centroids, source_stats
 from fedsearch.operators.retrieve import knn, knn_global
 from fedsearch.operators.routing import route_all, route_by_rule
 from fedsearch.operators.train import group_split
+from fedsearch.session import scratch_path
 
 # ---- fixed values of the fixture recipe (FIXTURES.md) -----------------------
 N_SOURCES = 10          # seeds vec_id 0..9 are the source centroids
@@ -68,9 +69,28 @@ def assign_nearest(df: DataFrame, centroids: DataFrame, vec: str = "v") -> DataF
               .drop("_centroids"))
 
 
+SRC_SCHEMA = "vec_id bigint, v array<double>, label int, source_id int"
+_LAYOUTS: dict[tuple[str, str], str] = {}
+
+
 def src(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = embeddings(spark, sf_dir)
-    return assign_nearest(emb, seeds(emb))
+    """Every vector with its source, stored once per session as the federation
+    layout: parquet partitioned by ``source_id`` in the shared checkpoint folder.
+
+    This is the offline step of the reference (each source builds its own
+    index). Partitioning by source lets a routed search read only the sources
+    some query chose (partition pruning, dynamic pruning on the join), and
+    makes per-source counts a cheap scan of the partition column.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _LAYOUTS.get(key)
+    if path is None:
+        path = scratch_path(spark, "layout")
+        emb = embeddings(spark, sf_dir)
+        (assign_nearest(emb, seeds(emb)).select("vec_id", "v", "label", "source_id")
+         .repartition("source_id").write.partitionBy("source_id").parquet(path))
+        _LAYOUTS[key] = path
+    return spark.read.schema(SRC_SCHEMA).parquet(path)
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,18 @@ def learned_examples(spark, d):
     return T.scale_features(ex, T.fit_scaler(ex))
 
 
+_FITTED: dict[tuple[str, str], object] = {}
+
+
 def fitted(spark, d):
-    ex = learned_examples(spark, d)
-    model = T.train_router(ex)
+    """Scaled examples (lineage cut with a reliable checkpoint in the shared
+    folder), the router fitted once per session and data set, probabilities
+    and the validation-tuned threshold."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        ex = learned_examples(spark, d).checkpoint()
+        _FITTED[key] = (ex, T.train_router(ex))
+    ex, model = _FITTED[key]
     scored = T.predict_router(model, ex)
     # threshold tuned on validation (Youden), applied with a strict '>' (Q12)
     thr = M.youden_threshold(scored.where(F.col("split") == "val")).select("threshold").scalar()
