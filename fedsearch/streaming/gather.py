@@ -30,49 +30,52 @@ STATE_SCHEMA = "expected int, n_sources int, n_hits bigint, bytes bigint, done b
 QUERY_TIMEOUT_MS = 300_000  # a query waits at most 300 s for its sources
 
 
-def _gather(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    qid = int(key[0])
-    if state.exists:
-        expected, n_src, n_hits, nbytes, done, late = state.get
-    else:
-        expected, n_src, n_hits, nbytes, done, late = -1, 0, 0, 0, False, 0
-
-    def row(status: str) -> pd.DataFrame:
-        return pd.DataFrame({"qid": [qid], "status": [status], "expected": [max(expected, 0)],
-                             "n_sources": [n_src], "n_hits": [n_hits], "bytes": [nbytes],
-                             "late_replies": [late]})
-
-    if state.hasTimedOut:
-        state.remove()
-        if not done:
-            yield row("timeout")
-        return
-
-    for pdf in pdfs:
-        routes = pdf[pdf["kind"] == "route"]
-        replies = pdf[pdf["kind"] == "reply"]
-        if len(routes):
-            expected = int(routes["expected"].max())
-        if done:
-            late += len(replies)
-            continue
-        n_src += len(replies)
-        n_hits += int(replies["n_hits"].sum())
-        nbytes += int(replies["bytes"].sum())
-
-    if not done and expected >= 0 and n_src >= expected:
-        done = True
-        yield row("complete")
-    # a finished query keeps a small tombstone until the timeout, so a late
-    # reply is recognised and dropped instead of opening a new query
-    state.update((expected, n_src, n_hits, nbytes, done, late))
-    state.setTimeoutDuration(QUERY_TIMEOUT_MS)
-
-
-def gather_barrier(events: DataFrame) -> DataFrame:
+def _make_gather(timeout_ms: int):
+    def gather(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        qid = int(key[0])
+        if state.exists:
+            expected, n_src, n_hits, nbytes, done, late = state.get
+        else:
+            expected, n_src, n_hits, nbytes, done, late = -1, 0, 0, 0, False, 0
+
+        def row(status: str) -> pd.DataFrame:
+            return pd.DataFrame({"qid": [qid], "status": [status], "expected": [max(expected, 0)],
+                                 "n_sources": [n_src], "n_hits": [n_hits], "bytes": [nbytes],
+                                 "late_replies": [late]})
+
+        if state.hasTimedOut:
+            state.remove()
+            if not done:
+                yield row("timeout")
+            return
+
+        for pdf in pdfs:
+            routes = pdf[pdf["kind"] == "route"]
+            replies = pdf[pdf["kind"] == "reply"]
+            if len(routes):
+                expected = int(routes["expected"].max())
+            if done:
+                late += len(replies)
+                continue
+            n_src += len(replies)
+            n_hits += int(replies["n_hits"].sum())
+            nbytes += int(replies["bytes"].sum())
+
+        if not done and expected >= 0 and n_src >= expected:
+            done = True
+            yield row("complete")
+        # a finished query keeps a small tombstone until the timeout, so a late
+        # reply is recognised and dropped instead of opening a new query
+        state.update((expected, n_src, n_hits, nbytes, done, late))
+        state.setTimeoutDuration(timeout_ms)
+    return gather
+
+
+def gather_barrier(events: DataFrame, timeout_ms: int = QUERY_TIMEOUT_MS) -> DataFrame:
     """Per-query barrier over a (streaming or batch) event DataFrame."""
     return events.groupBy("qid").applyInPandasWithState(
-        _gather, GATHER_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _make_gather(timeout_ms), GATHER_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def route_events(routed: DataFrame, queries: DataFrame) -> DataFrame:
@@ -105,22 +108,29 @@ def skip_done_stream(stream: DataFrame, done: DataFrame, keys: list[str]) -> Dat
     return stream.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain a streaming DataFrame with ``availableNow`` into a memory table.
+def start_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append",
+                 no_data_batches: bool = False, **trigger):
+    """Start a query into a memory table.
 
-    Pending state timers would otherwise keep scheduling empty clean-up
-    batches and the drain would never end; the setting is read when the
-    query starts, so it is restored right after.
+    Without new data, pending state timers keep scheduling empty clean-up
+    batches; a drain (``availableNow``) or a test that waits for idleness
+    turns them off, so timeouts fire with the next data batch instead. The
+    setting is read when the query starts and restored right after.
     """
     conf = df.sparkSession.conf
     key = "spark.sql.streaming.noDataMicroBatches.enabled"
     old = conf.get(key, "true")
-    conf.set(key, "false")
+    conf.set(key, "true" if no_data_batches else "false")
     try:
-        q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        return (df.writeStream.format("memory").queryName(name).outputMode(mode)
+                  .option("checkpointLocation", checkpoint).trigger(**trigger).start())
     finally:
         conf.set(key, old)
+
+
+def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Drain a streaming DataFrame with ``availableNow`` into a memory table."""
+    q = start_memory(df, name, checkpoint, mode, availableNow=True)
     q.awaitTermination()
     exc = q.exception()
     if exc is not None:
