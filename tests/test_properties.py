@@ -133,3 +133,33 @@ def test_group_position_splits_a_hot_group(spark):
     p = group_position(df, ["g"], [F.col("i")], "pos").toPandas()
     for g, part in p.groupby("g"):
         assert part.sort_values("i").pos.tolist() == list(range(1, len(part) + 1))
+
+
+def test_mlp_router_hook_matches_numpy(spark):
+    from fedsearch.functions.hooks import mlp_router_scores
+    rng = np.random.default_rng(0)
+    d = 6
+    w = {"fc1.w": rng.normal(size=(256, d)), "fc1.b": rng.normal(size=256),
+         "ln1.g": rng.normal(size=256), "ln1.b": rng.normal(size=256),
+         "fc2.w": rng.normal(size=(128, 256)), "fc2.b": rng.normal(size=128),
+         "ln2.g": rng.normal(size=128), "ln2.b": rng.normal(size=128),
+         "fc3.w": rng.normal(size=(1, 128)), "fc3.b": rng.normal(size=1)}
+    x = rng.normal(size=(5, d))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i int, f array<double>")
+    got = [r.p for r in df.select("i", mlp_router_scores(w)("f").alias("p")).orderBy("i").collect()]
+
+    def ln(h, g, b):
+        return (h - h.mean(1, keepdims=True)) / np.sqrt(h.var(1, keepdims=True) + 1e-5) * g + b
+    h = np.maximum(ln(x @ w["fc1.w"].T + w["fc1.b"], w["ln1.g"], w["ln1.b"]), 0)
+    h = np.maximum(ln(h @ w["fc2.w"].T + w["fc2.b"], w["ln2.g"], w["ln2.b"]), 0)
+    ref = 1 / (1 + np.exp(-(h @ w["fc3.w"].T + w["fc3.b"]).ravel()))
+    assert np.allclose(got, ref)
+
+
+def test_answer_hook_and_encoder(spark):
+    from fedsearch.functions.hooks import answer_with, hashing_encoder
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "qid bigint, user string")
+    out = {r.qid: r.answer for r in answer_with(df, lambda ps: [p.upper() for p in ps]).collect()}
+    assert out == {1: "X", 2: "Y"}
+    v = spark.createDataFrame([("a b a",), ("",)], "t string").select(hashing_encoder(16)("t").alias("v")).collect()
+    assert abs(sum(x * x for x in v[0].v) - 1) < 1e-5 and all(x == 0 for x in v[1].v)
