@@ -58,9 +58,6 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order: list[Column],
     one row per partition and one row per group travel back.
     """
     n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    whole = not group_cols
-    if whole:
-        df, group_cols = df.withColumn("_all", F.lit(0)), ["_all"]
     keys = [F.col(c) for c in group_cols] + order
     part = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id()))
@@ -69,20 +66,26 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order: list[Column],
     for v in value_cols:
         part = part.withColumn(f"_loc_{v}", F.sum(v).over(local_w))
     totals = part.groupBy("_pid").agg(*[F.sum(v).alias(f"_pt_{v}") for v in value_cols])
+    # one row per partition: ordered in a single small task
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_pt_{v}").over(before), F.lit(0)).alias(f"_off_{v}")
                                       for v in value_cols])
     out = part.join(F.broadcast(offsets), "_pid")
     for v in value_cols:
         out = out.withColumn(f"_g_{v}", F.col(f"_off_{v}") + F.col(f"_loc_{v}"))
-    # running total just before each group's first row = min of the exclusive prefix
-    starts = out.groupBy(*group_cols).agg(
-        *[F.min(F.col(f"_g_{v}") - F.col(v)).alias(f"_start_{v}") for v in value_cols],
-        *[F.max(F.col(f"_g_{v}")).alias(f"_end_{v}") for v in value_cols])
-    out = out.join(starts, group_cols)
-    for v in value_cols:
-        out = (out.withColumn(f"cum_{v}", F.col(f"_g_{v}") - F.col(f"_start_{v}"))
-                  .withColumn(f"tot_{v}", F.col(f"_end_{v}") - F.col(f"_start_{v}")))
-    drop = ["_pid"] + (["_all"] if whole else []) + \
-        [f"{p}_{v}" for v in value_cols for p in ("_loc", "_off", "_g", "_start", "_end")]
+    if group_cols:
+        # running total just before each group's first row = min of the exclusive prefix
+        starts = out.groupBy(*group_cols).agg(
+            *[F.min(F.col(f"_g_{v}") - F.col(v)).alias(f"_start_{v}") for v in value_cols],
+            *[F.max(F.col(f"_g_{v}")).alias(f"_end_{v}") for v in value_cols])
+        out = out.join(starts, group_cols)
+        for v in value_cols:
+            out = (out.withColumn(f"cum_{v}", F.col(f"_g_{v}") - F.col(f"_start_{v}"))
+                      .withColumn(f"tot_{v}", F.col(f"_end_{v}") - F.col(f"_start_{v}")))
+    else:
+        grand = totals.agg(*[F.sum(f"_pt_{v}").alias(v) for v in value_cols])
+        for v in value_cols:
+            out = (out.withColumn(f"cum_{v}", F.col(f"_g_{v}"))
+                      .withColumn(f"tot_{v}", grand.select(v).scalar()))
+    drop = ["_pid"] + [f"{p}_{v}" for v in value_cols for p in ("_loc", "_off", "_g", "_start", "_end")]
     return out.drop(*[c for c in drop if c in out.columns])

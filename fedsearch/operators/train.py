@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fedsearch.functions.vectors import apply_scaler
-from fedsearch.operators.positions import group_position
+from fedsearch.operators.positions import global_position, group_position
 
 
 def group_split(ids: DataFrame, order: list[Column], test_frac: float, val_frac: float,
@@ -23,16 +23,19 @@ def group_split(ids: DataFrame, order: list[Column], test_frac: float, val_frac:
     queries is still split across tasks. Exact sizes, no sampling.
     """
     groups = group_cols or []
-    df = ids if groups else ids.withColumn("_all", F.lit(0))
-    keys = groups or ["_all"]
-    p = group_position(df, keys, order, "split_pos")
+    if groups:
+        p = group_position(ids, groups, order, "split_pos")
+    else:
+        # one group: the size is a scalar, no join on a constant key
+        p = global_position(ids, order, "split_pos") \
+            .withColumn("group_size", ids.agg(F.count(F.lit(1))).scalar())
     n = F.col("group_size")
     n_test = F.ceil(F.lit(test_frac) * n)
     n_val = F.ceil(F.lit(val_frac) * (n - n_test))
     out = p.withColumn("split", F.when(F.col("split_pos") <= n_test, "test")
                                   .when(F.col("split_pos") <= n_test + n_val, "val")
                                   .otherwise("train"))
-    return out.drop("_all") if not groups else out
+    return out
 
 
 def min_group_size(df: DataFrame, group_col: str, minimum: int) -> DataFrame:
