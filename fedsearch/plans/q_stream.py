@@ -67,3 +67,45 @@ def running_accuracy_stream(spark, d):
     name = f"accuracy_{uuid.uuid4().hex[:8]}"
     out = S.run_available(S.running_accuracy(stream, ["bank"]), name, f"{root}/checkpoint", "complete")
     return out.select("bank", "total", "n_correct", F.round("accuracy", 6).alias("accuracy"))
+
+
+def _replay(spark, df, root: str, name: str, schema: str):
+    """Write rows the tables derive, then read them back as a file stream."""
+    df.repartition(EVENT_FILES).write.parquet(f"{root}/{name}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}")
+
+
+@query("route_stream", """SELECT qid, source_id, prob FROM scored WHERE prob > 0.5""")
+def route_stream(spark, d):
+    """Arriving queries routed against static centroids, probability > 0.5."""
+    root = scratch_path(spark, "route")
+    q = _replay(spark, fx.queries(spark, d).select("qid", "qv"), root, "queries", "qid bigint, qv array<double>")
+    seeds = fx.seeds(fx.embeddings(spark, d))
+    out = S.route_stream(q, seeds, fx.N_SOURCES, 0.5, fx.PROB_SLOPE)
+    return S.run_available(out, f"route_{uuid.uuid4().hex[:8]}", f"{root}/checkpoint")
+
+
+@query("retrieve_stream", """
+SELECT qid, source_id, vec_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM hits)
+WHERE rank <= 10""")
+def retrieve_stream(spark, d):
+    """Routed queries arriving in micro-batches, searched batch by batch with
+    ``foreachBatch``, then merged (L2)."""
+    from fedsearch.operators import rerank
+    root = scratch_path(spark, "retrieve")
+    r = _replay(spark, fx.routed(spark, d), root, "routed", "qid bigint, qv array<double>, source_id int")
+    hits = S.retrieve_stream(r, fx.corpus(spark, d), fx.HITS_K, f"{root}/hits", f"{root}/checkpoint")
+    m = rerank.merge_desc(hits.drop("epoch"), 10)
+    return m.select("qid", "source_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("stream_skip_done", """
+SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = b.item_id)""")
+def stream_skip_done(spark, d):
+    """Arriving questions minus those already in the done log."""
+    root = scratch_path(spark, "skipdone")
+    items = _replay(spark, fx.read(spark, d, "benchmark").select("item_id"), root, "items", "item_id bigint")
+    done = fx.read(spark, d, "labels").select(F.col("doc_id").alias("item_id"))
+    return S.run_available(S.skip_done_stream(items, done, ["item_id"]),
+                           f"skip_{uuid.uuid4().hex[:8]}", f"{root}/checkpoint")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fedsearch.operators import workflow as W
 from fedsearch.plans import fixtures as fx
+from fedsearch.plans.q_answers import JSON_PRED_SQL
 from fedsearch.plans.registry import query
 
 SHARDS = 3
@@ -72,3 +73,41 @@ def validate_queries(spark, d):
                 .when(t == 1, F.concat(F.lit("["), F.col("role"))))
     r = W.validate_queries(c.select("conv_id", "turn", F.col("text").alias("query"), choices.alias("choices_json")))
     return r.select("conv_id", "turn", "status", "reject_reason")
+
+
+MIN_EVENTS = 200
+
+
+@query("min_group_latency", f"""
+SELECT dataset, source, count(*) AS n FROM latency GROUP BY dataset, source HAVING count(*) >= {MIN_EVENTS}""")
+def min_group_latency(spark, d):
+    """Latency groups kept only when they hold enough measurements (E5)."""
+    from fedsearch.operators.train import min_group_size
+    lat = fx.latency(spark, d).withColumn("g", F.concat_ws("|", "dataset", "source"))
+    kept = min_group_size(lat, "g", MIN_EVENTS)
+    return kept.groupBy("dataset", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("existing_vectors", """
+SELECT qid FROM q WHERE EXISTS (SELECT 1 FROM source_labels l WHERE l.qid = q.qid)
+                    AND EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = q.qid)""")
+def existing_vectors(spark, d):
+    """Queries that have a vector, a relevance label and a stored document."""
+    q = fx.queries(spark, d).select("qid")
+    docs = fx.read(spark, d, "documents").select(F.col("doc_id").alias("qid"))
+    return W.existing(q, fx.source_labels(spark, d), docs, key="qid")
+
+
+@query("accuracy_selected_banks", """
+SELECT bank, count(*) AS total, CAST(sum(CASE WHEN correct THEN 1 ELSE 0 END) AS BIGINT) AS n_correct
+FROM (SELECT bank, (pred IN ('A', 'B', 'C', 'D') AND gold IN ('A', 'B', 'C', 'D') AND pred = gold) AS correct
+      FROM (SELECT bank, gold, """ + JSON_PRED_SQL + """ AS pred
+            FROM answers WHERE bank IN (1, 3)))
+GROUP BY bank""")
+def accuracy_selected_banks(spark, d):
+    """Answers of a fixed set of banks only (E1, E2), graded and counted."""
+    from fedsearch.functions import grade as G
+    a = W.filter_values(fx.answers(spark, d), "bank", [1, 3])
+    g = a.select("bank", G.grade_letter_json("llm_output", "gold").alias("correct"))
+    return g.groupBy("bank").agg(F.count(F.lit(1)).alias("total"),
+                                 F.sum(F.col("correct").cast("int")).cast("bigint").alias("n_correct"))

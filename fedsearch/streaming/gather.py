@@ -136,3 +136,35 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append
     if exc is not None:
         raise RuntimeError(str(exc))
     return df.sparkSession.table(name)
+
+
+def route_stream(queries: DataFrame, centroids: DataFrame, n_sources: int, threshold: float,
+                 slope: float = 4.0) -> DataFrame:
+    """Routing of arriving queries (L1): each (query, source) pair is scored
+    against the static source centroids (stream-static equi-join on
+    ``source_id``) and kept when the probability is strictly above the
+    threshold (E3). ``n_sources`` is the federation size (configuration)."""
+    from fedsearch.functions.vectors import dot
+    pairs = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_sources - 1))).alias("source_id"))
+    # one centroid per source: a fixed-size static side
+    j = pairs.join(F.broadcast(centroids), "source_id")
+    prob = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(slope) * dot("qv", "seed"))), 2)
+    return j.select("qid", "source_id", prob.alias("prob")).where(F.col("prob") > F.lit(threshold))
+
+
+def retrieve_stream(routed: DataFrame, corpus: DataFrame, k: int, out_path: str, checkpoint: str):
+    """Per-source search of arriving routed queries (L2): every micro-batch runs
+    the batch top-k plan against the static corpus and appends its hits."""
+    from fedsearch.operators.retrieve import knn
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        hits = knn(batch, corpus, k).withColumn("epoch", F.lit(epoch))
+        # idempotent per epoch: a retried batch rewrites its own partition only
+        hits.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+
+    q = (routed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+               .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return routed.sparkSession.read.parquet(out_path)
