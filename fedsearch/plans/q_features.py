@@ -133,7 +133,10 @@ FROM source_labels GROUP BY qid""")
 def relevant_sources(spark, d):
     """Sources holding a query's merged top 3, ':'-joined, and their count."""
     from fedsearch.functions.text import join_sources
-    r = M.relevant_sources(fx.gtop(spark, d), fx.LABEL_TOP)
+    from fedsearch.operators.retrieve import knn_global
+    q = fx.queries(spark, d).select("qid", "qv")
+    g = knn_global(q, fx.corpus(spark, d), fx.sources(spark, d), fx.LABEL_TOP)
+    r = M.relevant_sources(g, fx.LABEL_TOP)
     return r.groupBy("qid").agg(join_sources(F.collect_list(F.col("source_id").cast("string"))).alias("sources"),
                                 F.count(F.lit(1)).alias("n_sources"))
 
@@ -172,4 +175,6 @@ def class_weights(spark, d):
 @query("group_split", """SELECT qid, split FROM split""")
 def group_split(spark, d):
     """Whole queries to test / val / train by a stated hash order, exact sizes (H8)."""
-    return fx.split(spark, d)
+    q = fx.queries(spark, d).select("qid")
+    order = [(F.col("qid") * fx.SPLIT_MULT) % fx.SPLIT_MOD, F.col("qid")]
+    return T.group_split(q, order, fx.TEST_FRAC, fx.VAL_FRAC).select("qid", "split")
