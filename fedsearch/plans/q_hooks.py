@@ -1,10 +1,10 @@
-"""Catalogue: text -> vector -> routed retrieval with the default encoder hook (M1). Rows-only."""
+"""Catalogue: text -> vector -> routed retrieval with the built-in hashed encoder (M1). Rows-only."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fedsearch.functions.hooks import hashing_encoder
+from fedsearch.functions.hooks import hashed_bow_vectors
 from fedsearch.operators import rerank, retrieve, routing
 from fedsearch.plans import fixtures as fx
 from fedsearch.plans.registry import query
@@ -16,13 +16,12 @@ WIDTH = 64
 def text_knn(spark, d):
     """Encode every benchmark question and every document (whole texts), search
     all document sources, keep 5 per source and merge to 5 per question."""
-    enc = hashing_encoder(WIDTH)
     docs = fx.read(spark, d, "documents").select(
         F.col("doc_id").alias("vec_id"),
-        F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("source_id"),
-        F.transform(enc(F.col("text")), lambda x: x.cast("double")).alias("v"))
-    qs = fx.read(spark, d, "benchmark").select(
-        F.col("item_id").alias("qid"), F.transform(enc(F.col("text")), lambda x: x.cast("double")).alias("qv"))
+        F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("source_id"), "text")
+    docs = docs.select("vec_id", "source_id").join(hashed_bow_vectors(docs, "vec_id", "text", WIDTH), "vec_id")
+    bench = fx.read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    qs = hashed_bow_vectors(bench, "qid", "text", WIDTH).withColumnRenamed("v", "qv")
     sources = docs.select("source_id").distinct()
     hits = retrieve.knn_arrow(routing.route_all(qs, sources), docs, 5)
     return rerank.merge_desc(hits, 5).select("qid", "source_id", "vec_id", F.round("score", 6).alias("score"), "rank")
