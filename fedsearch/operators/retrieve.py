@@ -5,14 +5,19 @@ Shapes:
   corpus   (source_id, vec_id, v ARRAY<DOUBLE>)    the federated vectors
   hits     (qid, source_id, vec_id, score DOUBLE, local_rank BIGINT)
 
-Plan at scale. The corpus is the big side and is never broadcast. A source may
-hold a third of all vectors, so each source is split into salt blocks of at
-most ``block_rows`` vectors (``pmod(xxhash64(vec_id), n_blocks)``) and each
-routed query row is repeated once per block of its source. The equi-join on
-``(source_id, block)`` therefore spreads a hot source over many tasks, and
-only routed pairs ever meet (a query is never compared with a source it was
-not routed to). ``row_number() <= k`` plans as a partial WindowGroupLimit
-before the shuffle, so at most k rows per (query, source) leave each map task.
+Plan at scale. The corpus is the big side and is never broadcast; only
+routed pairs ever meet (a query is never compared with a source it was not
+routed to). Two join strategies, chosen by the measured size of the routed
+query side:
+  * small (<= ``broadcast_bytes``): the routed queries are broadcast and the
+    corpus is scored where it is read - no corpus shuffle, so a hot source
+    costs nothing extra, and sources nobody chose are pruned;
+  * large: each source is split into salt blocks of at most ``block_rows``
+    vectors (``pmod(xxhash64(vec_id), n_blocks)``) and each routed query row
+    is repeated once per block of its source; the equi-join on
+    ``(source_id, block)`` spreads a hot source over many tasks.
+``row_number() <= k`` plans as a partial WindowGroupLimit before the
+shuffle, so at most k rows per (query, source) leave each map task.
 
 Two tiers compute the same result:
   * ``knn``        - built-in expressions (SQL-checkable, whole-stage friendly);
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from fedsearch.functions.vectors import score as score_expr
 
 DEFAULT_BLOCK_ROWS = 200_000
+# Largest routed-query side (measured, in bytes) that is broadcast to the corpus.
+DEFAULT_BROADCAST_BYTES = 128 << 20
 
 
 def _order(score: Column, higher_is_better: bool, tie: str = "vec_id") -> list[Column]:
@@ -72,12 +79,31 @@ def replicate_queries(queries: DataFrame, blocks: DataFrame) -> DataFrame:
                    .drop("n_blocks"))
 
 
+def routed_bytes(queries: DataFrame, vec: str = "qv") -> int:
+    """Measured size of the routed query side: rows x (vector bytes + keys).
+
+    One small aggregate job; the result decides the join strategy.
+    """
+    r = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("w")).first()
+    return int(r["n"] or 0) * (8 * int(r["w"] or 0) + 32)
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, score_fn: str = "dot",
-        higher_is_better: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """k best corpus vectors per routed (qid, source_id) pair (survey F5, tier 1)."""
-    blocks = source_blocks(corpus, block_rows)
-    pairs = replicate_queries(queries, blocks).join(salt_corpus(corpus, blocks),
-                                                    ["source_id", "block"])
+        higher_is_better: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS,
+        broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """k best corpus vectors per routed (qid, source_id) pair (survey F5, tier 1).
+
+    Strategy by the measured size of the routed side: up to
+    ``broadcast_bytes`` it is broadcast and the corpus is scored where it is
+    read (no corpus shuffle; sources nobody was routed to are pruned);
+    beyond it, both sides meet in a salted shuffle join on (source, block).
+    """
+    if broadcast_bytes > 0 and routed_bytes(queries) <= broadcast_bytes:
+        pairs = corpus.join(F.broadcast(queries), "source_id")
+    else:
+        blocks = source_blocks(corpus, block_rows)
+        pairs = replicate_queries(queries, blocks).join(salt_corpus(corpus, blocks),
+                                                        ["source_id", "block"])
     scored = pairs.select("qid", "source_id", "vec_id",
                           score_expr("qv", "v", score_fn).alias("score"))
     return topk(scored, ["qid", "source_id"], "score", k, "local_rank", higher_is_better)
@@ -91,7 +117,8 @@ def merge_topk(hits: DataFrame, k: int, higher_is_better: bool = True,
 
 def knn_global(queries: DataFrame, corpus: DataFrame, sources: DataFrame, k: int,
                score_fn: str = "dot", higher_is_better: bool = True,
-               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+               block_rows: int = DEFAULT_BLOCK_ROWS,
+               broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Nearest k over every source: route to all, k per source, merge to k.
 
     Exact: any global top-k vector is inside the top-k of its own source.
@@ -99,7 +126,7 @@ def knn_global(queries: DataFrame, corpus: DataFrame, sources: DataFrame, k: int
     """
     from fedsearch.operators.routing import route_all
     every = route_all(queries, sources)
-    per_source = knn(every, corpus, k, score_fn, higher_is_better, block_rows)
+    per_source = knn(every, corpus, k, score_fn, higher_is_better, block_rows, broadcast_bytes)
     return merge_topk(per_source, k, higher_is_better)
 
 

@@ -171,3 +171,16 @@ def test_hashed_bow_vectors_unit_and_deterministic(spark):
     v = {r.id: r.v for r in hashed_bow_vectors(df, "id", "t", 16).collect()}
     assert len(v[1]) == 16 and abs(sum(x * x for x in v[1]) - 1) < 1e-12
     assert v[1] == v[3] and all(x == 0 for x in v[2])
+
+
+def test_knn_broadcast_and_salted_strategies_agree(spark):
+    corpus = _vectors(spark, 240, 8, 11)
+    q = _vectors(spark, 9, 8, 12, "qid", "qv").drop("source_id")
+    routed = routing.route_by_rule(q, 4, lambda a, s: (a + s) % 2 == 1)
+    b = retrieve.knn(routed, corpus, 4).select("qid", "source_id", "vec_id", "local_rank")
+    s = retrieve.knn(routed, corpus, 4, block_rows=25, broadcast_bytes=0) \
+        .select("qid", "source_id", "vec_id", "local_rank")
+    assert sorted(b.collect()) == sorted(s.collect())
+    plan = retrieve.knn(routed, corpus, 4, block_rows=25, broadcast_bytes=0)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "block" in plan
