@@ -16,10 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _partitions(df: DataFrame) -> int:
+    """Range partitions: the session's shuffle partition count (sized for the cluster)."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def global_position(df: DataFrame, order: list[Column], col: str = "pos",
                     num_partitions: int | None = None) -> DataFrame:
     """Add a 1-based BIGINT position in ``order`` (survey A4, E7, H7, H8)."""
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = num_partitions or _partitions(df)
     sorted_df = (df.repartitionByRange(n, *order)
                    .sortWithinPartitions(*order)
                    .withColumn("_pid", F.spark_partition_id())
@@ -57,7 +62,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order: list[Column],
     each task sums its slice and adds the totals of the earlier slices. Only
     one row per partition and one row per group travel back.
     """
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = num_partitions or _partitions(df)
     keys = [F.col(c) for c in group_cols] + order
     part = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id()))
