@@ -288,3 +288,8 @@ def ir_metrics(results: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 3
         F.avg("recall").alias("recall"), F.avg("precision").alias("precision"),
         (F.sum("rr") / n_judged).alias("mrr"), (F.sum("rcap") / n_judged).alias("r_cap"),
         (F.sum("hole_frac") / n_judged).alias("hole"))
+
+
+def max_width(vectors: DataFrame, vec: str = "v", by: list[str] | None = None) -> DataFrame:
+    """Widest vector (per group): the padding target across encoders."""
+    return vectors.groupBy(*(by or [])).agg(F.max(F.size(vec)).alias("max_width"))
