@@ -109,23 +109,33 @@ def skip_done_stream(stream: DataFrame, done: DataFrame, keys: list[str]) -> Dat
 
 
 def start_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append",
-                 no_data_batches: bool = False, **trigger):
+                 no_data_batches: bool = False, state_partitions: int | None = None, **trigger):
     """Start a query into a memory table.
 
     Without new data, pending state timers keep scheduling empty clean-up
     batches; a drain (``availableNow``) or a test that waits for idleness
-    turns them off, so timeouts fire with the next data batch instead. The
-    setting is read when the query starts and restored right after.
+    turns them off, so timeouts fire with the next data batch instead.
+
+    State partitions are fixed when a stream first starts; they default to
+    the cluster's cores (every micro-batch runs one task per partition), not
+    to the batch shuffle setting. Both settings are read when the query
+    starts and restored right after.
     """
     conf = df.sparkSession.conf
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    old = conf.get(key, "true")
-    conf.set(key, "true" if no_data_batches else "false")
+    parts = state_partitions or df.sparkSession.sparkContext.defaultParallelism
+    saved = {k: conf.get(k, None) for k in ("spark.sql.streaming.noDataMicroBatches.enabled",
+                                             "spark.sql.shuffle.partitions")}
+    conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true" if no_data_batches else "false")
+    conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
         return (df.writeStream.format("memory").queryName(name).outputMode(mode)
                   .option("checkpointLocation", checkpoint).trigger(**trigger).start())
     finally:
-        conf.set(key, old)
+        for k, v in saved.items():
+            if v is None:
+                conf.unset(k)
+            else:
+                conf.set(k, v)
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
