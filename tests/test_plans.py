@@ -5,10 +5,6 @@ from fedsearch.plans import fixtures as fx
 from fedsearch.operators import rerank
 
 
-def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString() + df._jdf.queryExecution().optimizedPlan().toString()
-
-
 def test_routed_search_is_hash_join_with_partial_topk(spark):
     h = rerank.merge_desc(fx.hits(spark, SF01), 10)
     h.collect()
