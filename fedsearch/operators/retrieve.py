@@ -20,10 +20,12 @@ query side:
 shuffle, so at most k rows per (query, source) leave each map task.
 
 Two tiers compute the same result:
-  * ``knn``        - built-in expressions (SQL-checkable, whole-stage friendly);
+  * ``knn``        - built-in expressions, all in the JVM (SQL-checkable;
+                     the dot product is an interpreted higher-order function);
   * ``knn_arrow``  - Arrow batches into numpy per (source, block) group via
-                     ``cogroup().applyInPandas``: one block matrix product per
-                     group instead of one expression per pair.
+                     ``cogroup().applyInPandas``: one vectorised block product
+                     per group instead of one expression per pair. It always
+                     uses the salted shuffle (both sides are grouped).
 """
 
 from __future__ import annotations
