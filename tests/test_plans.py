@@ -17,3 +17,11 @@ def test_layout_scan_prunes_columns(spark):
     c = fx.corpus(spark, SF01).select("vec_id", "source_id")
     plan = c._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<vec_id:bigint>" in plan or "struct<vec_id:bigint>" in plan
+
+
+def test_routed_search_prunes_unrouted_sources(spark):
+    h = fx.hits(spark, SF01)
+    h.collect()
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert "BroadcastHashJoin" in plan
