@@ -68,3 +68,9 @@ def count_ws_tokens(c, budget: int | None = None) -> Column:
 def letter(i) -> Column:
     """0 -> 'A', 1 -> 'B', ..."""
     return F.char(F.lit(65) + _c(i))
+
+
+def content_id(*cols) -> Column:
+    """Deterministic id from a request's content (a recomputed task yields the
+    same id, unlike a random uuid): SHA-256 of the fields joined by U+001F."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(_c(c).cast("string"), F.lit("")) for c in cols]), 256)

@@ -179,16 +179,23 @@ def _block_topk(k: int, higher_is_better: bool, score_fn: str, query_chunk: int)
 
 def knn_arrow(queries: DataFrame, corpus: DataFrame, k: int, score_fn: str = "dot",
               higher_is_better: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS,
-              query_chunk: int = 512) -> DataFrame:
-    """Same result as ``knn``; each (source, block) group is scored as one matrix.
+              query_chunk: int = 512, query_groups: int = 1) -> DataFrame:
+    """Same result as ``knn``; each (source, block, query group) is scored as one matrix.
 
     A group holds at most ``block_rows`` corpus vectors; queries are scored in
-    chunks of ``query_chunk`` rows so the score matrix stays bounded.
+    chunks of ``query_chunk`` rows so the score matrix stays bounded. With
+    many routed queries per source, ``query_groups`` > 1 splits them by
+    ``pmod(xxhash64(qid), query_groups)`` and repeats each corpus block once
+    per query group (a grid of tasks), so no task holds all queries of a hot
+    source.
     """
     blocks = source_blocks(corpus, block_rows)
     qg = replicate_queries(queries.select("qid", "source_id", "qv"), blocks) \
-        .groupBy("source_id", "block")
-    cg = salt_corpus(corpus.select("source_id", "vec_id", "v"), blocks).groupBy("source_id", "block")
+        .withColumn("qgroup", F.pmod(F.xxhash64("qid"), F.lit(query_groups)).cast("int")) \
+        .groupBy("source_id", "block", "qgroup")
+    cg = salt_corpus(corpus.select("source_id", "vec_id", "v"), blocks) \
+        .withColumn("qgroup", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1)))) \
+        .groupBy("source_id", "block", "qgroup")
     partial = qg.cogroup(cg).applyInPandas(
         _block_topk(k, higher_is_better, score_fn, query_chunk), HITS_SCHEMA)
     return topk(partial, ["qid", "source_id"], "score", k, "local_rank", higher_is_better)

@@ -183,3 +183,18 @@ def test_knn_broadcast_and_salted_strategies_agree(spark):
     plan = retrieve.knn(routed, corpus, 4, block_rows=25, broadcast_bytes=0)._jdf.queryExecution() \
         .executedPlan().toString()
     assert "block" in plan
+
+
+def test_knn_arrow_query_groups_and_content_id(spark):
+    from fedsearch.functions.text import content_id
+    corpus = _vectors(spark, 160, 8, 21)
+    q = _vectors(spark, 15, 8, 22, "qid", "qv").drop("source_id")
+    sources = spark.createDataFrame([(i,) for i in range(4)], "source_id int")
+    every = routing.route_all(q, sources)
+    a = retrieve.knn_arrow(every, corpus, 3).select("qid", "source_id", "vec_id", "local_rank")
+    b = retrieve.knn_arrow(every, corpus, 3, block_rows=30, query_groups=3) \
+        .select("qid", "source_id", "vec_id", "local_rank")
+    assert sorted(a.collect()) == sorted(b.collect())
+    ids = spark.createDataFrame([("q", "x"), ("q", "x"), ("q", None)], "a string, b string") \
+        .select(content_id("a", "b").alias("i")).collect()
+    assert ids[0].i == ids[1].i != ids[2].i and len(ids[0].i) == 64
