@@ -94,7 +94,7 @@ def with_class_weight(examples: DataFrame, label: str = "label", col: str = "wei
     return examples.withColumn(col, F.when(F.col(label) == 1, F.coalesce(w, F.lit(1.0))).otherwise(F.lit(1.0)))
 
 
-def train_router(examples: DataFrame, features: str = "scaled", max_iter: int = 100,
+def train_router(examples: DataFrame, features: str = "scaled", max_iter: int = 50,
                  reg_param: float = 0.01):
     """Fit a weighted logistic router on the train split.
 
@@ -124,3 +124,18 @@ def predict_router(model, examples: DataFrame, features: str = "scaled") -> Data
 def interaction_features(qv: str, centroid: str) -> Column:
     """Element products query*centroid: lets a linear router see their agreement."""
     return F.zip_with(F.col(qv), F.col(centroid), lambda a, b: a * b)
+
+
+def select_router(examples: DataFrame, reg_grid: tuple[float, ...] = (0.1, 1.0),
+                  features: str = "scaled"):
+    """Fit one router per regularisation strength and keep the one with the best
+    validation AUC; the first (weakest) wins ties (N2, N4). Returns (model, reg, auc)."""
+    from fedsearch.operators.metrics import roc_auc
+    best = None
+    for reg in reg_grid:
+        model = train_router(examples, features, reg_param=reg)
+        val = predict_router(model, examples.where(F.col("split") == "val"), features)
+        auc = roc_auc(val).first()["auc"]
+        if best is None or auc > best[2]:
+            best = (model, reg, auc)
+    return best

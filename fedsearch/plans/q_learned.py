@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fedsearch.functions.text import join_sources
+from fedsearch.functions.vectors import dot
 from fedsearch.operators import metrics as M
 from fedsearch.operators import train as T
 from fedsearch.plans import fixtures as fx
@@ -13,9 +14,12 @@ from fedsearch.plans.registry import query
 
 
 def learned_examples(spark, d):
-    """[query | centroid | one-hot | query*centroid], scaled with the train split."""
-    ex = fx.examples(spark, d).withColumn(
-        "features", F.concat("features", T.interaction_features("qv", "centroid")))
+    """[query | centroid | one-hot | query*centroid | dot, num_documents, density]
+    (C3 + C5 features), scaled with the train split."""
+    st = F.broadcast(fx.stats(spark, d).select("source_id", "num_documents", "density"))  # one row per source
+    ex = fx.examples(spark, d).join(st, "source_id")
+    stats = F.array(dot("qv", "centroid"), F.col("num_documents").cast("double"), F.col("density"))
+    ex = ex.withColumn("features", F.concat("features", T.interaction_features("qv", "centroid"), stats))
     return T.scale_features(ex, T.fit_scaler(ex))
 
 
@@ -24,12 +28,12 @@ _FITTED: dict[tuple[str, str], object] = {}
 
 def fitted(spark, d):
     """Scaled examples (lineage cut with a reliable checkpoint in the shared
-    folder), the router fitted once per session and data set, probabilities
-    and the validation-tuned threshold."""
+    folder), the router fitted once per session and data set (regularisation
+    chosen on validation), probabilities and the validation-tuned threshold."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _FITTED:
         ex = learned_examples(spark, d).checkpoint()
-        _FITTED[key] = (ex, T.train_router(ex))
+        _FITTED[key] = (ex, T.select_router(ex)[0])
     ex, model = _FITTED[key]
     scored = T.predict_router(model, ex)
     # threshold tuned on validation (Youden), applied with a strict '>' (Q12)
