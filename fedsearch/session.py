@@ -1,8 +1,9 @@
 """Session and shared-storage helpers.
 
 Jobs read ``spark.checkpoint.dir`` from the running session: on a cluster it
-names a shared folder that survives executor loss. Only when it is unset (a
-laptop or a test) do we fall back to a folder of our own.
+names a shared folder that survives executor loss. A folder of our own is set
+only where the setting is unset and the master is local (a laptop, a test); on
+a cluster without it we refuse, since a machine-local folder would be lost.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_LOCAL_FALLBACK = "/tmp/fedsearch-checkpoints"
+_LOCAL_ONLY = "/tmp/fedsearch-checkpoints"
 
 
 def get_spark(master: str | None = None, app: str = "fedsearch",
@@ -39,14 +40,18 @@ def get_spark(master: str | None = None, app: str = "fedsearch",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; set a local one only if unset."""
+    """The shared folder named by the session; a local one only on a local master."""
     return ensure_checkpoint_dir(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _LOCAL_FALLBACK
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is unset on {master}: "
+                               "name a folder that all executors share")
+        root = _LOCAL_ONLY
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
