@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedsearch.llm import mixing, quality, simhash_dedup, warc
+from fedsearch.llm import mixing, pii, quality, simhash_dedup, warc
 from fedsearch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts, likelihood-ratio score and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = [k.name for k in pii.KINDS if k.base]
+    base = F.filter("spans", lambda s: s["kind_no"] < len(names))
+    counts = [F.size(F.filter("spans", lambda s: s["kind_no"] == no)).cast("bigint").alias(f"n_{name}")  # noqa: B023
+              for no, name in enumerate(names)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"),
+                        pii.joined(F.col("spans")).alias("spans"),
+                        F.array_join(F.transform("spans", lambda s: s["score"]), ",").alias("scores"))
