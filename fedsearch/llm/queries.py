@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedsearch.llm import mixing, pii, quality, simhash_dedup, warc
+from fedsearch.llm import mixing, pii, piece_tokens, quality, simhash_dedup, warc
 from fedsearch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,13 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"),
                         pii.joined(F.col("spans")).alias("spans"),
                         F.array_join(F.transform("spans", lambda s: s["score"]), ",").alias("scores"))
+
+
+@query
+def op7_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_tokens.round_trip(docs).select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("same_text"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
