@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedsearch.llm import mixing, pii, piece_tokens, quality, simhash_dedup, warc
+from fedsearch.llm import mixing, pii, piece_tokens, quality, simhash_dedup, toxicity, warc
 from fedsearch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op7_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids",
         F.col("decoded").eqNullSafe(F.col("text")).alias("same_text"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("patterns")
