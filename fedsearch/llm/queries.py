@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedsearch.llm import mixing, pii, piece_tokens, quality, simhash_dedup, toxicity, warc
+from fedsearch.llm import (edit_counts, mixing, pii, piece_tokens, quality, simhash_dedup, span_dedup,
+                           toxicity, warc)
 from fedsearch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,26 @@ def op7_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("patterns")
+
+
+@query
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that repeat earlier spans."""
+    return span_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, before and after edits to its start, middle and end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
+
+    def edit(at, remove, insert):
+        return F.struct(at.cast("bigint").alias("at"), F.lit(remove).cast("bigint").alias("remove"), insert.alias("insert"))
+
+    edits = F.array(edit(F.lit(0), 0, F.concat_ws(" ", F.lit("From"), "source", F.lit("in"), "lang", F.lit("\n"))),
+                    edit(F.floor(n / 2), 40, F.lit("")),
+                    edit(F.floor(n / 3), 7, F.lit(" [revised 2024] ")),
+                    edit(n, 0, F.lit("\nEnd.")))
+    return edit_counts.count_with_edits(docs.withColumn("edits", edits)).select(
+        "doc_id", "n_tokens", "edited_tokens", "n_edits", "n_leaves", "encoded_chars")
