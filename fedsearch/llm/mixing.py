@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedsearch.llm.common import n_words, stored
+from fedsearch.llm.common import keep_where, n_words, pack, stored, unpack
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -168,11 +168,9 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     with the words of those blocks and the white space after them; documents
     of which nothing is taken go. ``n_chars`` is that of the new text.
     """
-    cols = docs.columns
-    rows = mix(docs, keep=[c for c in cols if c not in ("doc_id", "source")], **options)
-    rows = (rows.withColumn("_most", F.coalesce(F.array_max(F.transform("block_times", lambda x: x["times"])), F.lit(0)))
-            .where("_most > 0")
-            .withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_most")))))
+    rows = mix(pack(docs, "doc_id", "text", "source"), keep=["text", "_row"], **options)
+    rows = rows.withColumn("_most", F.coalesce(F.array_max(F.transform("block_times", lambda x: x["times"])), F.lit(0)))
+    rows = keep_where(rows, "_most > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_most"))))
     pieces = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     # first word of each block: running sum of the block lengths
     starts = F.aggregate("block_times", F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out")),
@@ -185,6 +183,5 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     whole = F.forall("block_times", lambda x: x["times"] >= F.col("_pass"))
     text = F.when(whole, F.col("text")).otherwise(F.array_join(starts["out"], ""))
     out = rows.withColumn("_pieces", pieces).withColumn("text", text)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.select(*cols)
+    out = out.select("_row", "doc_id", "text", "source")
+    return unpack(out, docs, **({"n_chars": F.length("text").cast("bigint")} if "n_chars" in docs.columns else {}))

@@ -17,7 +17,8 @@ Scale. One map over the texts, no shuffle.
 
 Edge cases. Null text: treated as empty, no spans. Empty table: empty result.
 Overlapping spans of different kinds are all reported; :func:`redact` masks
-their union. Repeated rows: each handled alone. Other columns are kept.
+their union. Repeated rows: each handled alone. Other columns are kept (one
+named ``spans`` is replaced by :func:`find`).
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fedsearch.llm.common import pack, unpack
+
 MIN_SCORE = 0.5
 CONTEXT_STEP = 0.3
 BEFORE, AFTER = 40, 20
@@ -173,7 +176,7 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every span of its text replaced by ``<KIND>`` and ``n_chars`` to match."""
-    rows = find(docs, **options)
+    rows = find(pack(docs, "text"), **options)
     ends = F.transform("spans", lambda s: s["end"])
     # `_from`: where the spans before this one end
     rows = with_running(rows.withColumn("_ends", ends), "_from", "_ends", F.lit(0), lambda a, x: F.greatest(a, x))
@@ -189,7 +192,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     rest = F.array_join(F.slice(F.col("_chars"), last + 1, F.greatest(F.size("_chars") - last, F.lit(0))), "")
     masked = F.concat(F.array_join(F.transform("spans", piece), ""), rest)
     rows = rows.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+    new = {}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("bigint"))
-                               .otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("_row")["n_chars"])
+    return unpack(rows.select("_row", "text", "spans"), docs, **new)

@@ -24,7 +24,7 @@ Edge cases. Null, empty or blank text: no words, all counts 0, fails the rules,
 score 0. Fewer than 8 words: no repeated window. Null labels or label rows of
 unknown documents: ignored; contradicting labels: not trusted. Repeated rows:
 each counted and judged. Empty tables: empty result, or all scores 0. Other
-columns are ignored, or kept by :func:`keep_good`.
+columns are kept.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedsearch.llm.common import BLANK_RUN, stored, words
+from fedsearch.llm.common import BLANK_RUN, keep_where, pack, stored, unpack, words
 
 BUCKETS = 1 << 14
 SMOOTHING = 1 << 14
@@ -122,7 +122,8 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, buckets: int = BUCKETS,
           smoothing: float = SMOOTHING, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept``."""
+    """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept``
+    (which replace columns of these names)."""
     weights = train(docs, labels, buckets, smoothing, trusted_rows).scalar()
     grams = F.concat("_u", "_b")
     mean = F.aggregate("_grams", F.lit(0.0), lambda a, x: a + F.get("_weights", F.pmod(x, F.lit(buckets)).cast("int")),
@@ -135,4 +136,5 @@ def judge(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, b
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    return judge(docs, labels, **options).where("kept").select(*docs.columns)
+    rows = keep_where(judge(pack(docs, "doc_id", "text"), labels, **options), "kept")
+    return unpack(rows.select("_row", "doc_id", "text"), docs)

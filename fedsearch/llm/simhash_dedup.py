@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedsearch.llm.common import stored
+from fedsearch.llm.common import pack, stored, unpack
 from fedsearch.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -237,8 +237,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     kept = (groups.groupBy("component_id").agg(F.min(first).alias("k"))
             .select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")))
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    return (rows.join(kept, F.coalesce(rows["doc_id"], F.lit(-1)).eqNullSafe(F.coalesce(kept["_id"], F.lit(-1)))
-                      & rows["doc_id"].isNull().eqNullSafe(kept["_id"].isNull())
-                      & (rows["_text"] == kept["_hash"]), "left_semi")
-            .dropDuplicates(["doc_id", "_text"]).drop("_text"))
+    rows = pack(docs, "doc_id", "text").withColumn("_text", F.xxhash64("text"))
+    one = (rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_hash"]), "left_semi")
+           .dropDuplicates(["doc_id", "_text"]))
+    return unpack(one, docs)
