@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedsearch.llm import (edit_counts, mixing, pii, piece_tokens, quality, simhash_dedup, span_dedup,
-                           toxicity, warc)
+from fedsearch.llm import (edit_counts, fingerprints, mixing, pii, piece_tokens, quality, simhash_dedup,
+                           span_dedup, toxicity, warc)
 from fedsearch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +31,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
 @query
@@ -107,3 +107,15 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     edit(n, 0, F.lit("\nEnd.")))
     return edit_counts.count_with_edits(docs.withColumn("edits", edits)).select(
         "doc_id", "n_tokens", "edited_tokens", "n_edits", "n_leaves", "encoded_chars")
+
+
+def hex64(c: str):
+    return F.lpad(F.lower(F.hex(c)), 16, "0")
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, their likeness, and near fingerprints of the query set."""
+    found = fingerprints.compare(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", hex64("fp").alias("fingerprint"),
+                        hex64("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
