@@ -11,11 +11,12 @@ read; else texts stay whole), so no merge reaches over such a place and a text
 may be encoded unit by unit: runs of markers with what follows them. A worker
 encodes each distinct unit once, and compares it there with the sentencepiece
 library: parity is verified for every unit of every text, not a sample, and a
-difference raises an error.
+difference raises an error. Decoding gathers the bytes of the pieces; byte
+pieces that are no UTF-8 go through the library's decoder.
 
 Scale. A map over the texts, no shuffle; the model (about 0.5 MB) travels with
-the task. The memory of encoded units is bounded by ``MEMO_UNITS`` and holds
-no long ones.
+the task. The memory of encoded units is bounded (twice ``MEMO_UNITS``: those
+met lately and those before) and holds no long ones.
 
 Edge cases. Null text: null ids, null decoded text, 0 tokens. Empty text: no
 ids. Empty table: empty result. A marker character in a text decodes to a
@@ -117,10 +118,17 @@ class PieceTokenizer:
         self.tokenizer.decoder = decoders.Sequence(
             [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
             + ([decoders.Strip(" ", 1, 0)] if self.prefix else []))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(MARK + "+"), "merged_with_next") if self.by_unit else None
+        if self.by_unit:
+            self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(MARK + "+"), "merged_with_next")
+        self.groups = 4 * threads
         self.other = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.units = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # ids of the units met, as bytes
+        self.earlier: dict[str, bytes] = {}  # the same before `memo` was last full
+        raw = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in pieces]
+        self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.raw_size = np.array([len(x) for x in raw], dtype=np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
 
     def _merges(self, ids: dict[str, int]) -> list[tuple[str, str]]:
         """Pairs in the order in which they merge: best score first. Pieces of markers only share one score and
@@ -135,34 +143,75 @@ class PieceTokenizer:
                         found.append((-score, -cut if blank else 0, a, b, piece[:cut], piece[cut:]))
         return [x[4:] for x in sorted(found)]
 
-    def _verified(self, texts: list[str], prefixed: bool) -> list[list[int]]:
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _checked(self, texts: list[str], ours: list[list[int]], prefixed: bool) -> list[list[int]]:
+        """``ours`` if it is what sentencepiece makes of the texts."""
         cut = 1 if prefixed else 0  # sentencepiece puts the first marker itself
-        theirs = self.other.encode([t[cut:] for t in texts], num_threads=1)
-        for text, a, b in zip(texts, ours, theirs):
-            if a != b:
+        for text, a, b in zip(texts, ours, self.other.encode([t[cut:] for t in texts], num_threads=1)):
+            if a != b and len(text) > cut:  # of no text at all sentencepiece makes nothing
                 raise ValueError(f"no parity with sentencepiece on {text[:80]!r}: {a[:20]} against {b[:20]}")
         return ours
 
+    def _texts(self, texts: list[str], prefixed: bool) -> list[list[int]]:
+        ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._checked(texts, ours, prefixed)
+
+    def _units(self, new: list[str]) -> dict[str, list[int]]:
+        """Ids of each unit. Units are encoded in a few long texts, which the library cuts at the markers again;
+        the bytes of the pieces say where each unit ends."""
+        blank = [u for u in new if not u.strip(MARK)]  # would run into the next unit
+        found = dict(zip(blank, (e.ids for e in self.tokenizer.encode_batch_fast(blank, add_special_tokens=False))))
+        rest = [u for u in new if u not in found]
+        groups = [rest[i::self.groups] for i in range(self.groups)]
+        for units, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = e.ids
+            upto = np.concatenate(([0], np.cumsum(self.raw_size[ids]))) if ids else np.array([0])
+            ends = np.cumsum([len(u.encode()) - 2 * u.count(MARK) for u in units])  # a marker is one byte of text
+            at = np.searchsorted(upto, ends)
+            if not np.array_equal(upto[at], ends):
+                raise ValueError("a piece reaches over a unit's end")
+            at = at.tolist()
+            found.update((u, ids[a:b]) for u, a, b in zip(units, [0, *at], at))
+        self._checked(new, [found[u] for u in new], True)
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if not self.plain:
-            return [np.array(x, dtype=np.int32) for x in self._verified(texts, False)]
+            return [np.array(x, dtype=np.int32) for x in self._texts(texts, False)]
         marked = [((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else "" for t in texts]
         if not (self.by_unit and self.prefix):
-            return [np.array(x, dtype=np.int32) for x in self._verified(marked, self.prefix)]
-        memo = self.memo
-        if len(memo) > MEMO_UNITS:
-            memo.clear()
+            return [np.array(x, dtype=np.int32) for x in self._texts(marked, self.prefix)]
+        if len(self.memo) > MEMO_UNITS:
+            self.memo, self.earlier = {}, self.memo
+        memo, earlier = self.memo, self.earlier
         units = [self.units.findall(t) for t in marked]
-        new = list({u for us in units for u in us}.difference(memo))
-        fresh = {u: np.array(x, dtype=np.int32).tobytes() for u, x in zip(new, self._verified(new, True))}
-        out = [np.frombuffer(b"".join([fresh[u] if u in fresh else memo[u] for u in us]), dtype=np.int32) for us in units]
-        memo.update((u, x) for u, x in fresh.items() if len(u) <= LONG_UNIT)
+        unmet = set().union(*units).difference(memo)
+        memo.update((u, earlier[u]) for u in unmet if u in earlier)
+        new = list(unmet.difference(memo))
+        memo.update((u, np.array(x, dtype=np.int32).tobytes()) for u, x in self._units(new).items())
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, us)), dtype=np.int32) for us in units]
+        for u in new:
+            if len(u) > LONG_UNIT:
+                del memo[u]
         return out
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """Text of each list of ids: the bytes of its pieces, gathered for all lists at once.
+        A list whose bytes are no UTF-8 goes to the library's decoder."""
+        flat = np.concatenate(ids) if ids else np.array([], dtype=np.int32)
+        sizes = self.raw_size[flat]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.raw[np.arange(total) + np.repeat(self.raw_start[flat] - (ends - sizes), sizes)].tobytes()
+        upto = np.concatenate(([0], ends))[np.cumsum([0] + [len(x) for x in ids])].tolist()
+        out = []
+        for x, a, b in zip(ids, upto, upto[1:]):
+            a += self.prefix and data[a:a + 1] == b" "
+            try:
+                out.append(data[a:b].decode())
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(x.tolist(), skip_special_tokens=False))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -196,9 +245,9 @@ def encode_column(texts: pa.Array, tokenizer: PieceTokenizer) -> pa.Array:
 def decode_column(ids: pa.Array, tokenizer: PieceTokenizer) -> pa.Array:
     out = []
     for at in range(0, len(ids), CHUNK_ROWS):
-        chunk = ids.slice(at, CHUNK_ROWS).to_pylist()
-        texts = iter(tokenizer.decode([x for x in chunk if x is not None]))
-        out += [None if x is None else next(texts) for x in chunk]
+        chunk = ids.slice(at, CHUNK_ROWS)
+        texts = iter(tokenizer.decode([x.values.to_numpy(zero_copy_only=False) for x in chunk if x.is_valid]))
+        out += [next(texts) if x.is_valid else None for x in chunk]
     return pa.array(out, pa.string())
 
 
