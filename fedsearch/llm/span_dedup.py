@@ -19,7 +19,8 @@ Edge cases. Null text: kept as null, no sentences. Empty text, or one too short
 for a run: unchanged. Null ``doc_id``: after all others. Identical rows (same
 id and text) are one document: all of them keep or lose the same sentences.
 Repeats inside one document count. Empty table: empty result. Other columns
-are kept; ``n_chars`` is brought up to date.
+are kept, but ``n_sentences`` and ``n_removed`` replaced; ``n_chars`` is
+brought up to date.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fedsearch.llm.common import pack, stored, unpack
+
 MIN_WORDS = 20
 MIN_SENTENCES = 2
 LONG_WORDS = 40
@@ -117,7 +120,8 @@ def repeats(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, key, start, size`` of every run that repeats an earlier one."""
     found = spans(docs, **options)
     twice = found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
-    rows = found.join(twice, "h1", "left_semi")
+    # written here, the join ends its stage: Spark can split the rows of a very common span
+    rows = stored(found.join(twice, "h1", "left_semi"), "spans-twice")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
     first = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     met = rows.join(first, ["h1", "h2"])
@@ -137,12 +141,11 @@ def remove(text: str, cover: list[dict]) -> tuple[str, int, int]:
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without repeated spans; adds ``n_sentences`` and ``n_removed``."""
     cover = (repeats(docs, **options).groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("_cover")))
-    rows = _key(docs)
-    rows = rows.join(cover, rows["_key"] == cover["key"], "left").drop("key", "_key")
-    fields = [f for f in docs.schema if f.name not in ("n_sentences", "n_removed")]
-    schema = T.StructType([*fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
-    names = [f.name for f in fields]
-    sized = "n_chars" in names
+    rows = _key(pack(docs, "doc_id", "text"))
+    rows = rows.join(cover, rows["_key"] == cover["key"], "left").select("_row", "doc_id", "text", "_cover")
+    names = ["_row", "doc_id", "text"]
+    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("n_sentences", T.LongType()),
+                           T.StructField("n_removed", T.LongType())])
 
     def run(batches):
         for batch in batches:
@@ -159,13 +162,14 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
                     texts.append(new)
                     total.append(n)
                     removed.append(gone)
-                columns = {c: part.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
-                if sized:
-                    kind = part.column("n_chars").type
-                    columns["n_chars"] = pa.array(
-                        [n if not g else len(t) for n, t, g in zip(part.column("n_chars").to_pylist(), texts, removed)], kind)
                 yield pa.RecordBatch.from_arrays(
-                    [*columns.values(), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
+                    [part.column("_row"), part.column("doc_id"), pa.array(texts, pa.string()),
+                     pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
                     names=[*names, "n_sentences", "n_removed"])
 
-    return rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    counted = ("n_sentences", "n_removed")
+    own = docs.drop(*counted)
+    new = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("_row")["n_chars"])
+           } if "n_chars" in docs.columns else {}
+    return unpack(out, own, _also=counted, **new)
