@@ -5,10 +5,10 @@ ships the rows, numpy does the per-batch work. Model weights are small and
 bounded (the router has ~0.4-2.1 M parameters), so they travel inside the
 function closure, once per task.
 
-  M1 encoder      ``hashing_encoder`` - text -> unit vector; offline default
+  M1 encoder      ``hashed_bow_vectors`` - text -> unit vector in the JVM; offline default
   M2 router       ``mlp_router_scores`` - inference of a 2-hidden-layer MLP
   M3 reranker     ``fedsearch.operators.rerank.RERANKERS``
-  M4 tokenizer    whitespace (``fedsearch.functions.text``) or ``bpe_token_count``
+  M4 tokenizer    whitespace (``fedsearch.functions.text``)
   M5 answerer     ``answer_with`` - any callable over a batch of prompts
   M6 pooling      ``fedsearch.operators.pooling``
 """
@@ -23,42 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hashing_encoder(width: int = 64, seed: int = 0) -> Callable[[Column], Column]:
-    """Signed feature hashing of lower-cased word tokens, L2-normalised.
-
-    A deterministic, model-free encoder for runs without a neural model.
-    """
-    import re
-
-    import xxhash
-
-    token = re.compile(r"\w+", re.UNICODE)
-
-    @F.pandas_udf("array<float>")
-    def encode(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = np.zeros(width, dtype=np.float32)
-            for w in token.findall((t or "").lower()):
-                h = xxhash.xxh64_intdigest(w, seed=seed)
-                v[h % width] += 1.0 if (h >> 63) & 1 else -1.0
-            n = float(np.linalg.norm(v))
-            out.append((v / n if n > 0 else v).tolist())
-        return pd.Series(out)
-
-    return encode
-
-
 def encode_once_per_encoder(queries: DataFrame, sources: DataFrame, text: str,
                             encoders: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(qid, encoder, qv): each query encoded once per *distinct* encoder in use,
     not once per source (survey 2.M M1, section 4 'common work sharing')."""
-    used = sources.select("encoder").distinct()   # one row per encoder: fixed-size
+    used = sources.select("encoder").distinct()
     out = None
     for name, enc in encoders.items():
         part = queries.select("qid", F.lit(name).alias("encoder"), enc(F.col(text)).alias("qv"))
         out = part if out is None else out.unionByName(part)
-    return out.join(F.broadcast(used), "encoder", "left_semi")
+    return out.join(used, "encoder", "left_semi")
 
 
 def mlp_router_scores(weights: dict[str, np.ndarray], eps: float = 1e-5) -> Callable[[Column], Column]:
@@ -83,19 +57,6 @@ def mlp_router_scores(weights: dict[str, np.ndarray], eps: float = 1e-5) -> Call
     return score
 
 
-def bpe_token_count(encoding: str = "cl100k_base") -> Callable[[Column], Column]:
-    """Token count with a BPE vocabulary, when ``tiktoken`` and its data are present."""
-    import tiktoken
-
-    enc = tiktoken.get_encoding(encoding)
-
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(enc.encode(t or "", disallowed_special=())) for t in texts], dtype="int32")
-
-    return count
-
-
 def answer_with(prompts: DataFrame, answer_batch: Callable[[list[str]], list[str]],
                 prompt_col: str = "user", key: str = "qid") -> DataFrame:
     """Run an answerer over prompts in Arrow batches: (key, answer)."""
@@ -109,16 +70,16 @@ def answer_with(prompts: DataFrame, answer_batch: Callable[[list[str]], list[str
 def hashed_bow_vectors(df: DataFrame, id_col: str, text_col: str, width: int = 64) -> DataFrame:
     """(id, v ARRAY<DOUBLE>): signed hashed bag of words, L2-normalised, in the JVM.
 
-    Tokens are exploded and hashed with ``xxhash64``; per-document sums are a
+    Tokens are exploded and hashed with MD5 (its first 32 bits; the lowest is the sign); per-document sums are a
     grouped aggregate (map-side combined), so a long text is counted by the
     task that holds it and only ``width`` cells per document are shuffled.
     Documents without a token get the zero vector.
     """
     toks = df.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+")).alias("t")) \
         .where(F.length("t") > 0)
-    h = F.xxhash64("t")
-    cells = toks.select(id_col, F.pmod(h, F.lit(width)).cast("int").alias("b"),
-                        F.when(F.shiftrightunsigned(h, 63) == 1, 1.0).otherwise(-1.0).alias("s")) \
+    h = F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint")
+    cells = toks.select(id_col, (F.floor(h / 2) % width).cast("int").alias("b"),
+                        F.when(h % 2 == 1, 1.0).otherwise(-1.0).alias("s")) \
         .groupBy(id_col, "b").agg(F.sum("s").alias("x"))
     packed = cells.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("_m"),

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python str.isspace() as a Java regex class.
+# Python str.isspace() as a Java regex class, and the same characters as a string.
 PY_WS = r"[\s\x1c-\x1f]"
+PY_BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+             "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(x) -> Column:
@@ -19,8 +21,8 @@ def _c(x) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: drop leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), rf"(?U)^{PY_WS}+|{PY_WS}+\z", "")
+    """Python ``str.strip()``: drop leading/trailing Unicode whitespace, reading each character once."""
+    return F.btrim(_c(c), F.lit(PY_BLANKS))
 
 
 def java_quote(s: str) -> str:

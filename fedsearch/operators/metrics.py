@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fedsearch.functions.vectors import cosine
 from fedsearch.operators.positions import prefix_sums
+from fedsearch.session import store
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -104,14 +105,14 @@ def youden_threshold(scored: DataFrame, by: list[str] | None = None, prob: str =
 # ---- losses and model selection (G19, G20) ----------------------------------
 
 def log_loss(scored: DataFrame, pos_weight: Column, by: list[str] | None = None,
-             prob: str = "prob", label: str = "label", eps: float = 1e-6) -> DataFrame:
-    """Weighted binary cross-entropy of probabilities (clipped to [eps, 1-eps])."""
-    p = F.least(F.greatest(F.col(prob), F.lit(eps)), F.lit(1.0 - eps))
-    y = F.col(label).cast("double")
-    loss = -(pos_weight * y * F.ln(p) + (F.lit(1.0) - y) * F.ln(F.lit(1.0) - p))
+             logit: str = "logit", label: str = "label") -> DataFrame:
+    """Weighted binary cross-entropy of logits; exact for saturated rows, nothing is clipped."""
+    z, y = F.col(logit), F.col(label).cast("double")
+    softplus = F.log1p(F.exp(-F.abs(z))) + F.greatest(-z, F.lit(0.0))  # log(1 + exp(-z))
+    loss = (F.lit(1.0) - y) * z + (F.lit(1.0) + (pos_weight - F.lit(1.0)) * y) * softplus
     return scored.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n"), F.avg(loss).alias("loss"),
-        F.avg(((F.col(prob) > 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"))
+        F.avg(((z > 0).cast("int") == F.col(label)).cast("double")).alias("accuracy"))
 
 
 def best_epoch(history: DataFrame, by: list[str], epoch: str = "epoch",
@@ -144,7 +145,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str,
     """
     hist = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x")) \
         .agg(F.count(F.lit(1)).alias("c"))
-    ps = prefix_sums(hist, by, [F.col("x").asc()], ["c"])
+    ps = store(prefix_sums(hist, by, [F.col("x").asc()], ["c"]).select(*by, "x", "c", "cum_c", "tot_c"), "quantiles")
     n_by = ps.groupBy(*by).agg(F.max("tot_c").alias("n"))
     targets = n_by.select(*by, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "n") \
         .withColumn("rn", (F.col("n") - 1).cast("double") * F.col("p")) \
@@ -153,8 +154,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str,
     pos = targets.select(*by, "p", F.explode(F.array(
         F.struct(F.lit("lo").alias("side"), F.col("lo").alias("j")),
         F.struct(F.lit("hi").alias("side"), F.col("hi").alias("j")))).alias("t"))
-    # targets: groups x probs x 2 rows - a tiny side next to the histogram
-    at = ps.join(F.broadcast(pos), by).where(
+    at = ps.join(pos, by).where(
         (F.col("cum_c") - F.col("c") <= F.col("t.j")) & (F.col("t.j") < F.col("cum_c")))
     vals = at.groupBy(*by, "p").agg(
         F.max(F.when(F.col("t.side") == "lo", F.col("x"))).alias("v_lo"),
@@ -176,8 +176,8 @@ def box_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
         .withColumn("hi_fence", F.col("q3") + F.lit(1.5) * F.col("iqr"))
     x = F.col(value)
     inside = (x >= F.col("lo_fence")) & (x <= F.col("hi_fence"))
-    # one row per group: fixed by the group count, not by the data
-    agg = df.join(F.broadcast(wide), by).groupBy(*by).agg(
+    wide = store(wide, "boxes")
+    agg = df.join(wide, by).groupBy(*by).agg(
         F.count(x).alias("n"),
         F.min(F.when(inside, x)).alias("whisker_lo"),
         F.max(F.when(inside, x)).alias("whisker_hi"),
@@ -210,7 +210,7 @@ def source_stats(corpus: DataFrame, vec: str = "v") -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("_c"))
             .select("source_id", F.transform("_c", lambda s: s["mean"]).alias("centroid")))
     # one centroid per source: bounded by the federation size
-    dens = corpus.join(F.broadcast(cent), "source_id").groupBy("source_id").agg(
+    dens = corpus.join(cent, "source_id").groupBy("source_id").agg(
         F.count(F.lit(1)).alias("num_documents"),
         F.avg(cosine(vec, "centroid")).alias("density"))
     return cent.join(dens, "source_id")

@@ -25,11 +25,18 @@ def pool(tokens: DataFrame, by: list[str], mode: str) -> DataFrame:
     """One pooled value per (group, dim) in the given mode."""
     if mode not in MODES:
         raise ValueError(f"unknown pooling mode {mode!r}")
+    if mode in ("cls", "last"):
+        # one position per group: found on (group, pos, mask) rows, its vector exploded afterwards.
+        # cls: the first, whatever its mask; last: the one before the first masked one
+        # (with no masked position that index is -1, clamped to 0, i.e. the first)
+        first_zero = F.min(F.when(F.col("mask") == 0, F.col("pos")))
+        place = F.min("pos") if mode == "cls" else F.greatest(F.coalesce(first_zero, F.lit(0)) - 1, F.lit(0))
+        chosen = tokens.groupBy(*by).agg(place.alias("pos"))
+        weight = F.lit(1.0) if mode == "cls" else F.col("mask").cast("double")
+        return _cells(tokens.join(chosen, [*by, "pos"], "left_semi"), by).select(
+            *by, "dim", (F.col("x") * weight).alias("value"))
     c = _cells(tokens, by)
     x, m = F.col("x"), F.col("mask").cast("double")
-    if mode == "cls":
-        # first position, whatever its mask
-        return c.groupBy(*by, "dim").agg(F.min_by(x, F.col("pos")).alias("value"))
     if mode == "max":
         return c.groupBy(*by, "dim").agg(
             F.max(F.when(m > 0, x).otherwise(F.lit(MASKED_MAX))).alias("value"))
@@ -41,13 +48,6 @@ def pool(tokens: DataFrame, by: list[str], mode: str) -> DataFrame:
         wgt = m * (F.col("pos") + 1).cast("double")
         val = F.sum(x * wgt) / F.greatest(F.sum(wgt), F.lit(MIN_DENOMINATOR))
         return c.groupBy(*by, "dim").agg(val.alias("value"))
-    # last: the position before the first masked one; with no masked position
-    # that index is -1, clamped to 0, i.e. the first token
-    first_zero = tokens.groupBy(*by).agg(
-        F.min(F.when(F.col("mask") == 0, F.col("pos"))).alias("_fz"))
-    idx = first_zero.select(*by, F.greatest(F.coalesce(F.col("_fz"), F.lit(0)) - 1, F.lit(0)).alias("_idx"))
-    return (c.join(idx, by).where(F.col("pos") == F.col("_idx"))
-             .groupBy(*by, "dim").agg(F.sum(x * m).alias("value")))
 
 
 def pool_many(tokens: DataFrame, by: list[str], modes: list[str]) -> DataFrame:

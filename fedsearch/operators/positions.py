@@ -1,10 +1,16 @@
-"""Global positions without a single-task window.
+"""Global positions and running sums without a single-task window.
 
 ``row_number() OVER (ORDER BY ...)`` with no partition runs in one task. At
 scale we instead range-partition on the order keys (Spark samples the bounds,
 so a hot key range is split), number rows inside each partition, and add the
-row count of all earlier partitions. The per-partition count table has one
-row per partition - bounded by the partition count, safe to broadcast.
+row count of all earlier partitions.
+
+The sampled bounds differ from one execution of a plan to the next, and column
+pruning can make two uses of one frame two executions. So the partitioned
+frame is written once, with the partition and the place inside it as columns:
+the numbering and the offsets are read from the same stored rows, whatever the
+frame's other columns, and a recomputed task reads them too. The
+per-partition count table has one row per partition.
 
 The order keys must be unique (add an id as the last key): ties would make
 the order inside a partition depend on shuffle fetch order.
@@ -15,31 +21,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fedsearch.session import store
+
 
 def _partitions(df: DataFrame) -> int:
     """Range partitions: the session's shuffle partition count (sized for the cluster)."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _laid_out(df: DataFrame, keys: list[Column], num_partitions: int | None) -> DataFrame:
+    """``df`` stored in ``keys`` order with its partition (``_pid``) and 0-based place in it (``_local``)."""
+    part = (df.repartitionByRange(num_partitions or _partitions(df), *keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", F.spark_partition_id()))
+    # the place inside the partition: the id's low 33 bits
+    place = F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    return store(part.withColumn("_local", place), "positions")
+
+
 def global_position(df: DataFrame, order: list[Column], col: str = "pos",
                     num_partitions: int | None = None) -> DataFrame:
     """Add a 1-based BIGINT position in ``order`` (survey A4, E7, H7, H8)."""
-    n = num_partitions or _partitions(df)
-    sorted_df = (df.repartitionByRange(n, *order)
-                   .sortWithinPartitions(*order)
-                   .withColumn("_pid", F.spark_partition_id())
-                   .withColumn("_mid", F.monotonically_increasing_id()))
-    # index inside the partition: the id's low 33 bits
-    sorted_df = sorted_df.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-    counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    return (sorted_df.join(F.broadcast(offsets), "_pid")
-                     .withColumn(col, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1)
-                                 .cast("bigint"))
-                     .drop("_pid", "_mid", "_local", "_off"))
+    part = _laid_out(df, order, num_partitions)
+    counts = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (part.join(F.broadcast(offsets), "_pid")  # one row per partition
+                .withColumn(col, (F.col("_off") + F.col("_local") + 1).cast("bigint"))
+                .drop("_pid", "_local", "_off"))
 
 
 def group_position(df: DataFrame, group_cols: list[str], order: list[Column],
@@ -59,17 +67,12 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order: list[Column],
     in ``order`` (``cum_<col>``), plus the group totals (``tot_<col>``).
 
     Range partitioning on (group, order) splits a large group over many tasks;
-    each task sums its slice and adds the totals of the earlier slices. Only
-    one row per partition and one row per group travel back.
+    each partition is summed alone and the totals of the earlier ones are
+    added. Only one row per partition and one row per group travel back.
     """
-    n = num_partitions or _partitions(df)
     keys = [F.col(c) for c in group_cols] + order
-    part = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id()))
-    local_w = (Window.partitionBy("_pid").orderBy(*keys)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    for v in value_cols:
-        part = part.withColumn(f"_loc_{v}", F.sum(v).over(local_w))
+    part = _laid_out(df, keys, num_partitions)
+    local_w = Window.partitionBy("_pid").orderBy("_local").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = part.groupBy("_pid").agg(*[F.sum(v).alias(f"_pt_{v}") for v in value_cols])
     # one row per partition: ordered in a single small task
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +80,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order: list[Column],
                                       for v in value_cols])
     out = part.join(F.broadcast(offsets), "_pid")
     for v in value_cols:
-        out = out.withColumn(f"_g_{v}", F.col(f"_off_{v}") + F.col(f"_loc_{v}"))
+        out = out.withColumn(f"_g_{v}", F.col(f"_off_{v}") + F.sum(v).over(local_w))
     if group_cols:
         # running total just before each group's first row = min of the exclusive prefix
         starts = out.groupBy(*group_cols).agg(
@@ -92,5 +95,5 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order: list[Column],
         for v in value_cols:
             out = (out.withColumn(f"cum_{v}", F.col(f"_g_{v}"))
                       .withColumn(f"tot_{v}", grand.select(v).scalar()))
-    drop = ["_pid"] + [f"{p}_{v}" for v in value_cols for p in ("_loc", "_off", "_g", "_start", "_end")]
+    drop = ["_pid", "_local"] + [f"{p}_{v}" for v in value_cols for p in ("_off", "_g", "_start", "_end")]
     return out.drop(*[c for c in drop if c in out.columns])

@@ -27,22 +27,22 @@ def merge_asc(hits: DataFrame, k: int) -> DataFrame:
     return merge_topk(hits, k, higher_is_better=False)
 
 
-def qrels_positions(qrels: DataFrame, doc_key: str = "vec_id") -> DataFrame:
-    """Position of each judged doc in the judged order: rel desc, file order on ties.
+def qrels_positions(qrels: DataFrame, keys: list[str]) -> DataFrame:
+    """Position of each judged doc (``keys``) in the judged order: rel desc, file order on ties.
 
     A doc judged twice keeps its last position.
     """
     w = Window.partitionBy("qid").orderBy(F.col("rel").desc(), F.col("ord").asc())
     return (qrels.withColumn("judged_pos", (F.row_number().over(w) - 1).cast("bigint"))
-                 .groupBy("qid", doc_key).agg(F.max("judged_pos").alias("judged_pos")))
+                 .groupBy(*keys).agg(F.max("judged_pos").alias("judged_pos")))
 
 
 def attach_qrels(hits: DataFrame, qrels: DataFrame, doc_key: str = "vec_id",
                  with_source: bool = False) -> DataFrame:
-    """Left join of judged positions onto the hits of the same query."""
-    pos = qrels_positions(qrels, doc_key)
+    """Left join of judged positions onto the hits of the same query (F9);
+    ``with_source`` where a document id is unique only inside its source."""
     keys = ["qid", doc_key] + (["source_id"] if with_source else [])
-    return hits.join(pos, keys, "left")
+    return hits.join(qrels_positions(qrels, keys), keys, "left")
 
 
 def merge_by_qrels(hits: DataFrame, qrels: DataFrame, k: int, doc_key: str = "vec_id") -> DataFrame:

@@ -5,41 +5,34 @@ Shapes:
   corpus   (source_id, vec_id, v ARRAY<DOUBLE>)    the federated vectors
   hits     (qid, source_id, vec_id, score DOUBLE, local_rank BIGINT)
 
-Plan at scale. The corpus is the big side and is never broadcast; only
-routed pairs ever meet (a query is never compared with a source it was not
-routed to). Two join strategies, chosen by the measured size of the routed
-query side:
-  * small (<= ``broadcast_bytes``): the routed queries are broadcast and the
-    corpus is scored where it is read - no corpus shuffle, so a hot source
-    costs nothing extra, and sources nobody chose are pruned;
-  * large: each source is split into salt blocks of at most ``block_rows``
-    vectors (``pmod(xxhash64(vec_id), n_blocks)``) and each routed query row
-    is repeated once per block of its source; the equi-join on
-    ``(source_id, block)`` spreads a hot source over many tasks.
-``row_number() <= k`` plans as a partial WindowGroupLimit before the
-shuffle, so at most k rows per (query, source) leave each map task.
-
-Two tiers compute the same result:
-  * ``knn``        - built-in expressions, all in the JVM (SQL-checkable;
-                     the dot product is an interpreted higher-order function);
-  * ``knn_arrow``  - Arrow batches into numpy per (source, block) group via
-                     ``cogroup().applyInPandas``: one vectorised block product
-                     per group instead of one expression per pair. It always
-                     uses the salted shuffle (both sides are grouped).
+A query only ever meets the sources it was routed to: every plan is an
+equi-join on ``source_id``. Two tiers compute the same result:
+  * ``knn``        - one row per (routed query, vector) pair, scored by built-in
+                     expressions; ``row_number() <= k`` plans as a partial
+                     WindowGroupLimit, so k rows per (query, source) leave a task;
+  * ``knn_arrow``  - for large corpora: vectors are packed into tiles where they
+                     are read and queries into blocks, so the join carries a row
+                     per (tile, block) instead of one per pair; a joined row is
+                     one matrix product whose k best per query leave the task.
+                     Nothing larger than a tile and a block is in memory, a hot
+                     source is many tiles that Spark can split over tasks, and
+                     no pair is ever sorted.
+No join is hinted: sizes decide at run time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fedsearch.functions.vectors import score as score_expr
 
-DEFAULT_BLOCK_ROWS = 200_000
-# Largest routed-query side (measured, in bytes) that is broadcast to the corpus.
-DEFAULT_BROADCAST_BYTES = 128 << 20
+TILE_ROWS = 2048
+BLOCK_QUERIES = 256
 
 
 def _order(score: Column, higher_is_better: bool, tie: str = "vec_id") -> list[Column]:
@@ -58,56 +51,11 @@ def topk(df: DataFrame, by: list[str], score_col: str, k: int, rank_col: str = "
               .withColumn(rank_col, F.col(rank_col).cast("bigint")))
 
 
-def source_blocks(corpus: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """(source_id, n_blocks): salt count per source so no block exceeds ``block_rows``.
-
-    One row per source - bounded by the federation size, safe to broadcast.
-    """
-    return (corpus.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-                  .select("source_id",
-                          F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows)))
-                           .cast("int").alias("n_blocks")))
-
-
-def salt_corpus(corpus: DataFrame, blocks: DataFrame) -> DataFrame:
-    return (corpus.join(F.broadcast(blocks), "source_id")
-                  .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int"))
-                  .drop("n_blocks"))
-
-
-def replicate_queries(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    return (queries.join(F.broadcast(blocks), "source_id")
-                   .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-                   .drop("n_blocks"))
-
-
-def routed_bytes(queries: DataFrame, vec: str = "qv") -> int:
-    """Measured size of the routed query side: rows x (vector bytes + keys).
-
-    One small aggregate job; the result decides the join strategy.
-    """
-    r = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("w")).first()
-    return int(r["n"] or 0) * (8 * int(r["w"] or 0) + 32)
-
-
 def knn(queries: DataFrame, corpus: DataFrame, k: int, score_fn: str = "dot",
-        higher_is_better: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS,
-        broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """k best corpus vectors per routed (qid, source_id) pair (survey F5, tier 1).
-
-    Strategy by the measured size of the routed side: up to
-    ``broadcast_bytes`` it is broadcast and the corpus is scored where it is
-    read (no corpus shuffle; sources nobody was routed to are pruned);
-    beyond it, both sides meet in a salted shuffle join on (source, block).
-    """
-    if broadcast_bytes > 0 and routed_bytes(queries) <= broadcast_bytes:
-        pairs = corpus.join(F.broadcast(queries), "source_id")
-    else:
-        blocks = source_blocks(corpus, block_rows)
-        pairs = replicate_queries(queries, blocks).join(salt_corpus(corpus, blocks),
-                                                        ["source_id", "block"])
-    scored = pairs.select("qid", "source_id", "vec_id",
-                          score_expr("qv", "v", score_fn).alias("score"))
+        higher_is_better: bool = True) -> DataFrame:
+    """k best corpus vectors per routed (qid, source_id) pair (survey F5, tier 1)."""
+    scored = corpus.join(queries, "source_id").select(
+        "qid", "source_id", "vec_id", score_expr("qv", "v", score_fn).alias("score"))
     return topk(scored, ["qid", "source_id"], "score", k, "local_rank", higher_is_better)
 
 
@@ -118,86 +66,110 @@ def merge_topk(hits: DataFrame, k: int, higher_is_better: bool = True,
 
 
 def knn_global(queries: DataFrame, corpus: DataFrame, sources: DataFrame, k: int,
-               score_fn: str = "dot", higher_is_better: bool = True,
-               block_rows: int = DEFAULT_BLOCK_ROWS,
-               broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+               score_fn: str = "dot", higher_is_better: bool = True) -> DataFrame:
     """Nearest k over every source: route to all, k per source, merge to k.
 
     Exact: any global top-k vector is inside the top-k of its own source.
     ``sources`` is the (source_id) dimension: fixed-size, read as one array.
     """
     from fedsearch.operators.routing import route_all
-    every = route_all(queries, sources)
-    per_source = knn(every, corpus, k, score_fn, higher_is_better, block_rows, broadcast_bytes)
+    per_source = knn(route_all(queries, sources), corpus, k, score_fn, higher_is_better)
     return merge_topk(per_source, k, higher_is_better)
 
 
-# ---- tier 2: Arrow block scoring -------------------------------------------
-
-HITS_SCHEMA = "qid bigint, source_id int, vec_id bigint, score double"
+# ---- tier 2: tiles against query blocks --------------------------------------
+
+def pack_vectors(df: DataFrame, key: str, vec: str, rows: int) -> DataFrame:
+    """``source_id, keys, data, width``: up to ``rows`` vectors of a source in one row, packed by
+    the task that reads them (``data``: doubles, one vector after the other)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            source = np.asarray(b.column(0))
+            keys = np.asarray(b.column(1))
+            vectors = b.column(2)
+            out = []
+            for s in np.unique(source):
+                own = np.flatnonzero(source == s)
+                for at in range(0, len(own), rows):
+                    part = own[at:at + rows]
+                    flat = vectors.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                    out.append((int(s), keys[part].astype("<i8").tobytes(), flat.tobytes(), len(flat) // len(part)))
+            for row in out:  # one packed row a batch: that bounds what the next step holds
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary()),
+                     pa.array([row[3]], pa.int32())], names=["source_id", "keys", "data", "width"])
+
+    return df.select(F.col("source_id").cast("int"), F.col(key).cast("bigint"), vec).mapInArrow(
+        run, "source_id int, keys binary, data binary, width int")
+
+
+def _matrix(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, dtype="<f8").reshape(-1, max(width, 1))
+
+
+def _scores(Q: np.ndarray, C: np.ndarray, score_fn: str) -> np.ndarray:
+    """Score of row i of Q with row i of C, products added position by position as the
+    built-in expression adds them, so both tiers agree to the last bit."""
+    def dots(a, b):
+        total = np.zeros(len(a))
+        for d in range(a.shape[1]):
+            total += a[:, d] * b[:, d]
+        return total
+
+    top = dots(Q, C)
+    if score_fn == "dot":
+        return top
+    den = np.sqrt(dots(Q, Q)) * np.sqrt(dots(C, C))
+    return np.where(den > 0, top / np.where(den > 0, den, 1.0), 0.0)
+
+
+def tile_topk(qids, Q, ids, C, k: int, higher_is_better: bool, score_fn: str):
+    """``(qid, id, score)`` of the k best rows of C for each row of Q, ties to the lower id.
+
+    A matrix product selects the candidates, with a margin for its rounding;
+    only those are scored exactly.
+    """
+    approx = Q @ C.T
+    size = np.sqrt((Q * Q).sum(1))[:, None] * np.sqrt((C * C).sum(1))[None, :]
+    if score_fn != "dot":
+        approx = np.where(size > 0, approx / np.where(size > 0, size, 1.0), 0.0)
+        size = np.ones_like(size)
+    keyed = approx if higher_is_better else -approx
+    margin = 1e-12 * max(Q.shape[1], 1) * size
+    kk = min(k, len(ids))
+    least = -np.partition(-(keyed - margin), kk - 1, axis=1)[:, kk - 1]  # k rows score at least this
+    row, col = np.nonzero(keyed + margin >= least[:, None])
+    exact = _scores(Q[row], C[col], score_fn)
+    order = np.lexsort((ids[col], -exact if higher_is_better else exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    starts = np.searchsorted(row, np.arange(len(qids)))
+    keep = np.arange(len(row)) - starts[row] < kk
+    return qids[row[keep]], ids[col[keep]], exact[keep]
 
 
-def _block_topk(k: int, higher_is_better: bool, score_fn: str, query_chunk: int):
-    def run(key, qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or cpdf.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
-                                 "source_id": pd.Series([], dtype="int32"),
-                                 "vec_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        cpdf = cpdf.sort_values("vec_id", kind="stable")
-        C = np.stack(cpdf["v"].to_numpy()).astype(np.float64)
-        vec_ids = cpdf["vec_id"].to_numpy(dtype=np.int64)
-        if score_fn != "dot":
-            cn = np.sqrt(np.einsum("ij,ij->i", C, C))
-        out = []
-        kk = min(k, len(vec_ids))
-        for start in range(0, len(qpdf), query_chunk):
-            part = qpdf.iloc[start:start + query_chunk]
-            Q = np.stack(part["qv"].to_numpy()).astype(np.float64)
-            # accumulate position by position: the same summation order as
-            # the SQL expression, so both tiers agree to the last bit
-            S = np.zeros((Q.shape[0], C.shape[0]))
-            for d in range(Q.shape[1]):
-                S += Q[:, d:d + 1] * C[:, d]
-            if score_fn != "dot":
-                qn = np.sqrt(np.einsum("ij,ij->i", Q, Q))
-                den = qn[:, None] * cn[None, :]
-                S = np.where(den > 0, S / np.where(den > 0, den, 1.0), 0.0)
-            keyed = -S if higher_is_better else S
-            # stable sort on columns already in vec_id order: ties -> lower vec_id
-            idx = np.argsort(keyed, axis=1, kind="stable")[:, :kk]
-            rows = np.repeat(part["qid"].to_numpy(dtype=np.int64), kk)
-            out.append(pd.DataFrame({
-                "qid": rows,
-                "source_id": np.int32(key[0]),
-                "vec_id": vec_ids[idx].ravel(),
-                "score": np.take_along_axis(S, idx, axis=1).ravel(),
-            }))
-        return pd.concat(out, ignore_index=True)
-    return run
+HITS_SCHEMA = "qid bigint, source_id int, vec_id bigint, score double"
 
 
 def knn_arrow(queries: DataFrame, corpus: DataFrame, k: int, score_fn: str = "dot",
-              higher_is_better: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS,
-              query_chunk: int = 512, query_groups: int = 1) -> DataFrame:
-    """Same result as ``knn``; each (source, block, query group) is scored as one matrix.
-
-    A group holds at most ``block_rows`` corpus vectors; queries are scored in
-    chunks of ``query_chunk`` rows so the score matrix stays bounded. With
-    many routed queries per source, ``query_groups`` > 1 splits them by
-    ``pmod(xxhash64(qid), query_groups)`` and repeats each corpus block once
-    per query group (a grid of tasks), so no task holds all queries of a hot
-    source.
-    """
-    blocks = source_blocks(corpus, block_rows)
-    qg = replicate_queries(queries.select("qid", "source_id", "qv"), blocks) \
-        .withColumn("qgroup", F.pmod(F.xxhash64("qid"), F.lit(query_groups)).cast("int")) \
-        .groupBy("source_id", "block", "qgroup")
-    cg = salt_corpus(corpus.select("source_id", "vec_id", "v"), blocks) \
-        .withColumn("qgroup", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1)))) \
-        .groupBy("source_id", "block", "qgroup")
-    partial = qg.cogroup(cg).applyInPandas(
-        _block_topk(k, higher_is_better, score_fn, query_chunk), HITS_SCHEMA)
+              higher_is_better: bool = True, tile_rows: int = TILE_ROWS,
+              block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """Same result as ``knn``: tiles of ``tile_rows`` vectors against blocks of ``block_queries`` queries."""
+    wanted = queries.select("source_id").distinct()  # prunes the scan to the sources some query chose
+    tiles = pack_vectors(corpus.join(wanted, "source_id", "left_semi"), "vec_id", "v", tile_rows)
+    blocks = pack_vectors(queries, "qid", "qv", block_queries).select(
+        "source_id", F.col("keys").alias("qids"), F.col("data").alias("qdata"), F.col("width").alias("qwidth"))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                source, ids, data, width, qids, qdata, qwidth = (b.column(j)[i].as_py() for j in range(7))
+                q, v, s = tile_topk(np.frombuffer(qids, dtype="<i8"), _matrix(qdata, qwidth),
+                                    np.frombuffer(ids, dtype="<i8"), _matrix(data, width), k, higher_is_better, score_fn)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q), pa.array(np.full(len(q), source, dtype=np.int32)), pa.array(v), pa.array(s)],
+                    names=["qid", "source_id", "vec_id", "score"])
+
+    partial = tiles.join(blocks, "source_id").mapInArrow(run, HITS_SCHEMA)
     return topk(partial, ["qid", "source_id"], "score", k, "local_rank", higher_is_better)
 
 

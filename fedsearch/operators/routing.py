@@ -63,7 +63,7 @@ def attach_encoder(pairs: DataFrame, sources: DataFrame, query_vecs: DataFrame)
     ``query_vecs(qid, encoder, qv)`` holds one vector per distinct encoder, so a
     query is encoded once per encoder, not once per source.
     """
-    enc = F.broadcast(sources.select("source_id", "encoder"))
+    enc = sources.select("source_id", "encoder")
     return pairs.join(enc, "source_id").join(query_vecs, ["qid", "encoder"])
 
 

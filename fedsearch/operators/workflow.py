@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedsearch.functions.text import py_strip
 from fedsearch.operators.positions import global_position
 
 
@@ -70,12 +69,17 @@ def existing(df: DataFrame, *others: DataFrame, key: str) -> DataFrame:
 
 def validate_queries(requests: DataFrame, query: str = "query", choices: str = "choices_json",
                      qid: str | None = None) -> DataFrame:
-    """Reason a request is rejected, or NULL when accepted (E6); first failing check wins."""
-    parsed = F.from_json(F.col(choices), "array<string>")
-    reason = (F.when(F.col(query).isNull() | (F.length(py_strip(F.col(query))) == 0), "empty query")
-               .when(F.col(choices).isNull(), "missing choices")
-               .when(parsed.isNull(), "choices not json"))
+    """Reason a request is rejected, or NULL when accepted (E6); first failing check wins.
+
+    Missing means null or the empty string (blanks are text); ``qid`` is asked
+    for only where the workload needs an id; choices may be any valid JSON.
+    """
+    def missing(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit("")) == ""
+
+    reason = F.when(missing(query), "empty query").when(missing(choices), "missing choices")
     if qid is not None:
-        reason = reason.when(F.col(qid).isNull(), "missing id")
+        reason = reason.when(missing(qid), "missing id")
+    reason = reason.when(F.try_parse_json(choices).isNull(), "choices not json")
     return requests.withColumn("reject_reason", reason) \
         .withColumn("status", F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected"))

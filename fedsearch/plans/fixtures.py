@@ -69,7 +69,7 @@ def assign_nearest(df: DataFrame, centroids: DataFrame, vec: str = "v") -> DataF
               .drop("_centroids"))
 
 
-SRC_SCHEMA = "vec_id bigint, v array<double>, label int, source_id int"
+SRC_SCHEMA = "vec_id bigint, embedding array<float>, label int, source_id int"
 _LAYOUTS: dict[tuple[str, str], str] = {}
 
 
@@ -97,18 +97,20 @@ def src(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     This is the offline step of the reference (each source builds its own
     index). Partitioning by source lets a routed search read only the sources
-    some query chose (partition pruning, dynamic pruning on the join), and
-    makes per-source counts a cheap scan of the partition column.
+    some query chose (partition pruning, dynamic pruning on the join). Spark
+    balances the writing tasks by size, so a large source is many files.
+    Vectors stay as narrow as they came; they are widened where they are scored.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     path = _LAYOUTS.get(key)
     if path is None:
         path = scratch_path(spark, "layout")
         emb = embeddings(spark, sf_dir)
-        (assign_nearest(emb, seeds(emb)).select("vec_id", "v", "label", "source_id")
-         .repartition("source_id").write.partitionBy("source_id").parquet(path))
+        (assign_nearest(emb, seeds(emb)).select("vec_id", F.col("v").cast("array<float>").alias("embedding"), "label", "source_id")
+         .hint("rebalance", "source_id").write.partitionBy("source_id").parquet(path))
         _LAYOUTS[key] = path
-    return spark.read.schema(SRC_SCHEMA).parquet(path)
+    return spark.read.schema(SRC_SCHEMA).parquet(path).select(
+        "vec_id", as_double_vec("embedding").alias("v"), "label", "source_id")
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +170,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = embeddings(spark, sf_dir)
     q = queries(spark, sf_dir).select("qid", "qv")
-    pairs = route_all(q, sources(spark, sf_dir)).join(F.broadcast(seeds(emb)), "source_id")
+    pairs = route_all(q, sources(spark, sf_dir)).join(seeds(emb), "source_id")
     lab = source_labels(spark, sf_dir).withColumn("_pos", F.lit(1))
     return (pairs.join(lab, ["qid", "source_id"], "left")
                  .select("qid", "source_id",
@@ -227,8 +229,7 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (query, source) pair with ``[query | centroid | one-hot]`` features."""
     q = queries(spark, sf_dir).select("qid", "qv")
-    # one centroid row per source: a fixed-size side
-    cent = F.broadcast(stats(spark, sf_dir).select("source_id", "centroid"))
+    cent = stats(spark, sf_dir).select("source_id", "centroid")
     pairs = route_all(q, sources(spark, sf_dir)).join(cent, "source_id")
     return pairs.select("qid", "source_id", "qv", "centroid",
                         route_features("qv", "centroid", "source_id", N_SOURCES).alias("features"))

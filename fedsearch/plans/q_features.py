@@ -45,7 +45,7 @@ FROM q CROSS JOIN sstats s""")
 def feature_stats(spark, d):
     """Dot to the centroid, document count and density per pair."""
     q = fx.queries(spark, d).select("qid", "qv")
-    st = F.broadcast(fx.stats(spark, d))   # one row per source
+    st = fx.stats(spark, d)
     p = route_all(q, fx.sources(spark, d)).join(st, "source_id")
     return p.select("qid", "source_id", _r(V.dot("qv", "centroid")).alias("dot_centroid"),
                     "num_documents", _r(F.col("density")).alias("density"))
@@ -83,7 +83,7 @@ SELECT k.vec_id, k.source_id,
 FROM corpus k JOIN centroid c ON c.source_id = k.source_id""")
 def l2_norm_cosine(spark, d):
     """Cosine of every corpus vector to its source centroid, via unit vectors."""
-    c = F.broadcast(fx.stats(spark, d).select("source_id", "centroid"))
+    c = fx.stats(spark, d).select("source_id", "centroid")
     k = fx.corpus(spark, d).join(c, "source_id")
     return k.select("vec_id", "source_id", _r(V.l2_norm("centroid")).alias("centroid_norm"),
                     _r(V.dot(V.l2_normalize("v"), V.l2_normalize("centroid"))).alias("cos"))
@@ -109,15 +109,12 @@ def scaler_fit(spark, d):
 
 
 @query("scaler_apply", """
-WITH sc AS (
-  SELECT list(mean ORDER BY pos) AS m, list(CASE WHEN sd = 0 THEN 1.0 ELSE sd END ORDER BY pos) AS s FROM (
-    SELECT i AS pos, avg(x) AS mean, stddev_pop(x) AS sd FROM (
-      SELECT unnest(features) AS x, CAST(unnest(range(len(features))) AS INTEGER) AS i
-      FROM examples WHERE split = 'train') GROUP BY i))
-SELECT qid, source_id, round(list_sum(z), 4) AS scaled_sum, round(list_inner_product(z, z), 4) AS scaled_sq
-FROM (SELECT e.qid, e.source_id,
-             list_transform(range(len(e.features)), lambda i: (e.features[i + 1] - sc.m[i + 1]) / sc.s[i + 1]) AS z
-      FROM examples e CROSS JOIN sc WHERE e.split = 'test')""")
+WITH cell AS MATERIALIZED (
+  SELECT qid, source_id, split, unnest(features) AS x, unnest(range(len(features))) AS i FROM examples),
+sc AS (SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END AS s
+       FROM cell WHERE split = 'train' GROUP BY i)
+SELECT qid, source_id, round(sum((x - m) / s), 4) AS scaled_sum, round(sum(((x - m) / s) * ((x - m) / s)), 4) AS scaled_sq
+FROM cell JOIN sc ON sc.i = cell.i WHERE split = 'test' GROUP BY qid, source_id""")
 def scaler_apply(spark, d):
     """(x - mean) / std with the train-split scaler, applied to test pairs."""
     ex = fx.examples(spark, d)

@@ -16,7 +16,7 @@ from fedsearch.plans.registry import query
 def learned_examples(spark, d):
     """[query | centroid | one-hot | query*centroid | dot, num_documents, density]
     (C3 + C5 features), scaled with the train split."""
-    st = F.broadcast(fx.stats(spark, d).select("source_id", "num_documents", "density"))  # one row per source
+    st = fx.stats(spark, d).select("source_id", "num_documents", "density")
     ex = fx.examples(spark, d).join(st, "source_id")
     stats = F.array(dot("qv", "centroid"), F.col("num_documents").cast("double"), F.col("density"))
     ex = ex.withColumn("features", F.concat("features", T.interaction_features("qv", "centroid"), stats))

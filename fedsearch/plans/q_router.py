@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fedsearch.functions.vectors import dot
 from fedsearch.operators import metrics as M
 from fedsearch.plans import fixtures as fx
 from fedsearch.plans.registry import query
@@ -115,17 +116,20 @@ def route_reduction(spark, d):
 
 
 @query("log_loss", """
-WITH e AS (SELECT s.*, p.split FROM scored s JOIN split p ON p.qid = s.qid),
+WITH e AS (SELECT s.*, p.split, 4.0 * list_inner_product(q.qv, d.seed) AS z FROM scored s
+           JOIN split p ON p.qid = s.qid JOIN q ON q.qid = s.qid JOIN seeds d ON d.source_id = s.source_id),
 pw AS (SELECT count_if(label = 0) / count_if(label = 1) AS w FROM e WHERE split = 'train'),
-c AS (SELECT e.*, least(greatest(prob, 1e-6), 1.0 - 1e-6) AS p, pw.w FROM e CROSS JOIN pw)
+c AS (SELECT e.*, 1.0 / (1.0 + exp(-z)) AS p, pw.w FROM e CROSS JOIN pw)
 SELECT split, count(*) AS n,
        round(avg(-(w * label * ln(p) + (1.0 - label) * ln(1.0 - p))), 6) AS loss,
-       round(avg(CASE WHEN (CASE WHEN prob > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+       round(avg(CASE WHEN (CASE WHEN z > 0 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM c GROUP BY split""")
 def log_loss(spark, d):
     """Class-weighted cross-entropy and accuracy per split."""
     from fedsearch.operators.train import class_weights
-    e = fx.scored(spark, d).join(fx.split(spark, d), "qid")
+    seeds = fx.seeds(fx.embeddings(spark, d))
+    e = (fx.scored(spark, d).join(fx.split(spark, d), "qid").join(fx.queries(spark, d).select("qid", "qv"), "qid")
+         .join(seeds, "source_id").withColumn("logit", F.lit(fx.PROB_SLOPE) * dot("qv", "seed")))
     pw = class_weights(e.where(F.col("split") == "train")).select("neg_over_pos").scalar()
     # the weight lands in a column first: no subquery inside an aggregate
     r = M.log_loss(e.withColumn("_pw", pw), F.col("_pw"), ["split"])

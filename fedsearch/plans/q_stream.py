@@ -1,14 +1,13 @@
 """Catalogue: streaming gather and running accuracy (L1-L8), checked against batch SQL.
 
-Each query writes its event files (derived from the tables by Spark) under
-the session's ``spark.checkpoint.dir``, replays them as a file stream with
-one file per trigger, drains it with ``availableNow`` and returns the result.
+Each query writes its events (derived from the tables by Spark, in as many
+files as the plan has tasks) under the session's ``spark.checkpoint.dir``,
+replays them as a file stream, one file per core and trigger, drains it with
+``availableNow`` and returns the result.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from fedsearch.functions import grade as G
@@ -20,33 +19,71 @@ from fedsearch.plans.registry import query
 from fedsearch.session import scratch_path
 from fedsearch.streaming import gather as S
 
-EVENT_FILES = 4
+
+def _replay(spark, df, root: str, name: str):
+    """Write rows the tables derive, then read them back as a file stream."""
+    df.write.parquet(f"{root}/{name}")
+    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism)
+            .parquet(f"{root}/{name}"))
+
+
+START = "2024-01-01 00:00:00"
+
+
+def _gather_events(spark, d):
+    """Routes and replies with event times: every seventh query is routed nowhere, some replies are
+    missing, some come after the limit, some come twice."""
+    docs = fx.read(spark, d, "documents").select("doc_id", "text")
+    hits = retrieve.fetch_docs(fx.hits(spark, d), docs)
+    payload = payload_expr("vec_id", "local_rank", F.coalesce("text", F.lit("")).alias("text"))
+    qid, source = F.col("qid"), F.col("source_id")
+    begin = F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + qid)
+    queries = fx.queries(spark, d).select("qid", begin.alias("ts"))
+    routed = fx.routed(spark, d).where(qid % 7 != 3)
+    after = F.when((qid + source) % 13 == 5, 400).otherwise(source)
+    replies = (hits.where((qid % 7 != 3) & ((qid + source) % 11 != 0)).groupBy("qid", "source_id")
+               .agg(F.count(F.lit(1)).alias("n_hits"), F.sum(payload).cast("bigint").alias("bytes"))
+               .withColumn("ts", begin + F.make_dt_interval(secs=after)))
+    again = replies.where((qid + source) % 5 == 0).withColumn("ts", F.col("ts") + F.expr("interval 1 second"))
+    return S.route_events(routed, queries).unionByName(S.reply_events(replies.unionByName(again)))
+
+
+def _beats(spark, root: str):
+    """Two events far in the future, a file each: what is still open times out."""
+    for day in (30, 31):
+        (spark.range(1).select(F.lit(-day).cast("bigint").alias("qid"),
+                               (F.lit(START).cast("timestamp") + F.make_dt_interval(F.lit(day))).alias("ts"),
+                               F.lit("route").alias("kind"), F.lit(None).cast("int").alias("source_id"),
+                               F.lit(0).alias("expected"), F.lit(None).cast("bigint").alias("n_hits"),
+                               F.lit(None).cast("bigint").alias("bytes"))
+         .write.mode("append").parquet(f"{root}/events"))
 
 
 @query("gather_stream", """
-WITH r AS (SELECT qid, count(*) AS expected FROM routed GROUP BY qid),
+WITH r AS (SELECT qid, count(*) AS expected FROM routed WHERE qid % 7 <> 3 GROUP BY qid),
 rep AS (SELECT h.qid, h.source_id, count(*) AS n_hits,
                sum(strlen(to_json({'vec_id': h.vec_id, 'local_rank': h.local_rank,
                                    'text': coalesce(d.text, '')}))) AS bytes
-        FROM hits h LEFT JOIN documents d ON d.doc_id = h.vec_id GROUP BY h.qid, h.source_id)
-SELECT q.qid, 'complete' AS status, CAST(coalesce(r.expected, 0) AS INTEGER) AS expected,
-       CAST(count(rep.source_id) AS INTEGER) AS n_sources,
-       CAST(coalesce(sum(rep.n_hits), 0) AS BIGINT) AS n_hits,
-       CAST(coalesce(sum(rep.bytes), 0) AS BIGINT) AS bytes, 0 AS late_replies
-FROM q LEFT JOIN r ON r.qid = q.qid LEFT JOIN rep ON rep.qid = q.qid
-GROUP BY q.qid, r.expected""")
+        FROM hits h LEFT JOIN documents d ON d.doc_id = h.vec_id
+        WHERE h.qid % 7 <> 3 AND (h.qid + h.source_id) % 11 <> 0 GROUP BY h.qid, h.source_id),
+c AS (SELECT q.qid, coalesce(any_value(r.expected), 0) AS expected,
+             count(*) FILTER (WHERE (rep.qid + rep.source_id) % 13 <> 5) AS n_sources,
+             coalesce(sum(rep.n_hits) FILTER (WHERE (rep.qid + rep.source_id) % 13 <> 5), 0) AS n_hits,
+             coalesce(sum(rep.bytes) FILTER (WHERE (rep.qid + rep.source_id) % 13 <> 5), 0) AS bytes,
+             count(*) FILTER (WHERE (rep.qid + rep.source_id) % 13 = 5)
+               + count(*) FILTER (WHERE (rep.qid + rep.source_id) % 5 = 0) AS dropped
+      FROM q LEFT JOIN r ON r.qid = q.qid LEFT JOIN rep ON rep.qid = q.qid GROUP BY q.qid)
+SELECT qid, CASE WHEN n_sources >= expected THEN 'complete' ELSE 'timeout' END AS status,
+       CAST(expected AS INTEGER) AS expected, CAST(n_sources AS INTEGER) AS n_sources,
+       CAST(n_hits AS BIGINT) AS n_hits, CAST(bytes AS BIGINT) AS bytes, CAST(dropped AS INTEGER) AS dropped
+FROM c""")
 def gather_stream(spark, d):
-    """Hold each query until all its routed sources replied, then emit once."""
+    """Hold each query until all its routed sources replied or its time is up."""
     root = scratch_path(spark, "gather")
-    docs = fx.read(spark, d, "documents").select("doc_id", "text")
-    hits = retrieve.fetch_docs(fx.hits(spark, d), docs)
-    payload = payload_expr("vec_id", "local_rank", F.coalesce("text", F.lit("")).alias("text"))
-    ev = S.route_events(fx.routed(spark, d), fx.queries(spark, d)).unionByName(S.reply_events(hits, payload))
-    ev.repartition(EVENT_FILES, "source_id").write.parquet(f"{root}/events")
-    stream = (spark.readStream.schema(S.EVENT_SCHEMA).option("maxFilesPerTrigger", 1)
-              .parquet(f"{root}/events"))
-    name = f"gather_{uuid.uuid4().hex[:8]}"
-    return S.run_available(S.gather_barrier(stream), name, f"{root}/checkpoint")
+    stream = _replay(spark, _gather_events(spark, d), root, "events")
+    _beats(spark, root)
+    rows = S.run_available(S.gather_barrier(stream, delay="20 days"), root)
+    return S.gathered(rows.where("qid >= 0"))
 
 
 @query("running_accuracy_stream", """
@@ -59,30 +96,22 @@ GROUP BY bank""")
 def running_accuracy_stream(spark, d):
     """Running correct / total per bank over a stream of graded answers."""
     root = scratch_path(spark, "accuracy")
-    a = fx.answers(spark, d)
-    graded = a.select("item_id", "bank", G.grade_letter_json("llm_output", "gold").alias("correct"))
-    graded.repartition(EVENT_FILES, "item_id").write.parquet(f"{root}/answers")
-    stream = (spark.readStream.schema("item_id bigint, bank bigint, correct boolean")
-              .option("maxFilesPerTrigger", 1).parquet(f"{root}/answers"))
-    name = f"accuracy_{uuid.uuid4().hex[:8]}"
-    out = S.run_available(S.running_accuracy(stream, ["bank"]), name, f"{root}/checkpoint", "complete")
+    graded = fx.answers(spark, d).select("item_id", "bank", G.grade_letter_json("llm_output", "gold").alias("correct"))
+    out = S.run_complete(S.running_accuracy(_replay(spark, graded, root, "answers"), ["bank"]), root)
     return out.select("bank", "total", "n_correct", F.round("accuracy", 6).alias("accuracy"))
 
 
-def _replay(spark, df, root: str, name: str, schema: str):
-    """Write rows the tables derive, then read them back as a file stream."""
-    df.repartition(EVENT_FILES).write.parquet(f"{root}/{name}")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}")
-
-
-@query("route_stream", """SELECT qid, source_id, prob FROM scored WHERE prob > 0.5""")
+@query("route_stream", """
+SELECT qid, source_id, round(p, 6) AS prob
+FROM (SELECT q.qid, s.source_id, 1.0 / (1.0 + exp(-4.0 * list_inner_product(q.qv, s.seed))) AS p FROM q CROSS JOIN seeds s)
+WHERE p > 0.4924""")
 def route_stream(spark, d):
-    """Arriving queries routed against static centroids, probability > 0.5."""
+    """Arriving queries routed against static centroids, unrounded probability above the threshold."""
     root = scratch_path(spark, "route")
-    q = _replay(spark, fx.queries(spark, d).select("qid", "qv"), root, "queries", "qid bigint, qv array<double>")
+    q = _replay(spark, fx.queries(spark, d).select("qid", "qv"), root, "queries")
     seeds = fx.seeds(fx.embeddings(spark, d))
-    out = S.route_stream(q, seeds, fx.N_SOURCES, 0.5, fx.PROB_SLOPE)
-    return S.run_available(out, f"route_{uuid.uuid4().hex[:8]}", f"{root}/checkpoint")
+    out = S.run_available(S.route_stream(q, seeds, fx.N_SOURCES, 0.4924, fx.PROB_SLOPE), root)
+    return out.select("qid", "source_id", F.round("prob", 6).alias("prob"))
 
 
 @query("retrieve_stream", """
@@ -94,7 +123,7 @@ def retrieve_stream(spark, d):
     ``foreachBatch``, then merged (L2)."""
     from fedsearch.operators import rerank
     root = scratch_path(spark, "retrieve")
-    r = _replay(spark, fx.routed(spark, d), root, "routed", "qid bigint, qv array<double>, source_id int")
+    r = _replay(spark, fx.routed(spark, d).select("qid", "qv", "source_id"), root, "routed")
     hits = S.retrieve_stream(r, fx.corpus(spark, d), fx.HITS_K, f"{root}/hits", f"{root}/checkpoint")
     m = rerank.merge_desc(hits.drop("epoch"), 10)
     return m.select("qid", "source_id", "vec_id", F.round("score", 6).alias("score"), "rank")
@@ -105,7 +134,6 @@ SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l
 def stream_skip_done(spark, d):
     """Arriving questions minus those already in the done log."""
     root = scratch_path(spark, "skipdone")
-    items = _replay(spark, fx.read(spark, d, "benchmark").select("item_id"), root, "items", "item_id bigint")
+    items = _replay(spark, fx.read(spark, d, "benchmark").select("item_id"), root, "items")
     done = fx.read(spark, d, "labels").select(F.col("doc_id").alias("item_id"))
-    return S.run_available(S.skip_done_stream(items, done, ["item_id"]),
-                           f"skip_{uuid.uuid4().hex[:8]}", f"{root}/checkpoint")
+    return S.run_available(S.skip_done_stream(items, done, ["item_id"]), root)

@@ -128,31 +128,24 @@ def _feb_encoders():
     return [dims.SOURCE_ENCODER["feb4rag"][n][0] for n in names]
 
 
-def _prefix_values_sql() -> str:
-    rows = []
-    for enc in sorted(set(_feb_encoders())):
-        qp, pp = dims.FAMILY_PREFIX.get(dims.ENCODER_FAMILY.get(enc), ("", ""))
-        rows.append(f"({_sql_str(enc)}, 'query', {_sql_str(qp)})")
-        rows.append(f"({_sql_str(enc)}, 'passage', {_sql_str(pp)})")
-    return "(VALUES " + ", ".join(rows) + ") AS p(encoder, role, prefix)"
-
-
-_ENC_ARRAY_SQL = "[" + ", ".join(_sql_str(e) for e in _feb_encoders()) + "]"
-
-
 @query("encoder_prefix", f"""
-WITH items AS (
-  SELECT 'passage' AS role, doc_id AS id,
-         {_ENC_ARRAY_SQL}[CAST(substr(source, 4) AS INTEGER) % 13 + 1] AS encoder,
-         regexp_replace(coalesce({_TITLE_SQL}, '') || ' ' || text, '^\\s+|\\s+$', '', 'g') AS body
-  FROM documents
+WITH e AS (SELECT ['e5-large', 'SGPT-5.8B-weightedmean-msmarco-specb-bitfit', 'UAE-Large-V1', 'all-mpnet-base-v2',
+    'multilingual-e5-large', 'ember-v1', 'all-mpnet-base-v2', 'UAE-Large-V1', 'e5-base', 'UAE-Large-V1', 'UAE-Large-V1',
+    'UAE-Large-V1', 'gte-base'] AS names),
+items AS (
+  SELECT 'passage' AS role, doc_id AS id, names[CAST(substr(source, 4) AS INTEGER) % 13 + 1] AS encoder,
+         trim(coalesce({_TITLE_SQL}, '') || ' ' || text, ' ' || chr(9) || chr(10) || chr(13)) AS body
+  FROM documents, e
   UNION ALL
-  SELECT 'query', item_id, {_ENC_ARRAY_SQL}[item_id % 13 + 1], text FROM benchmark)
-SELECT i.role, i.id, i.encoder, p.prefix, CAST(strlen(p.prefix || i.body) AS BIGINT) AS n_bytes
-FROM items i JOIN {_prefix_values_sql()} ON p.encoder = i.encoder AND p.role = i.role""")
+  SELECT 'query', item_id, names[item_id % 13 + 1], text FROM benchmark, e)
+SELECT role, id, encoder,
+       CASE WHEN encoder LIKE '%e5-%' THEN CASE role WHEN 'query' THEN 'query: ' ELSE 'passage: ' END
+            WHEN encoder LIKE 'UAE%' AND role = 'query' THEN 'Represent this sentence for searching relevant passages:'
+            WHEN encoder LIKE 'SGPT%' THEN CASE role WHEN 'query' THEN '[SOS]' ELSE '{{SOS}}' END
+            ELSE '' END || body AS input
+FROM items""")
 def encoder_prefix(spark, d):
-    """Per-encoder role prefix on passages and queries (D3); the prefix table is a
-    fixed-size broadcast dimension."""
+    """Per-encoder role prefix on passages and queries (D3)."""
     enc = F.array(*[F.lit(e) for e in _feb_encoders()])
     docs = _docs_with_title(spark, d).select(
         F.lit("passage").alias("role"), F.col("doc_id").alias("id"),
@@ -161,51 +154,34 @@ def encoder_prefix(spark, d):
     qs = fx.read(spark, d, "benchmark").select(
         F.lit("query").alias("role"), F.col("item_id").alias("id"),
         F.element_at(enc, (F.col("item_id") % 13 + 1).cast("int")).alias("encoder"), F.col("text").alias("body"))
-    items = docs.unionByName(qs)
-    pref = F.broadcast(dims.dim_encoder_prefix(spark))
-    j = items.join(pref, ["encoder", "role"])
-    return j.select("role", "id", "encoder", "prefix",
-                    F.octet_length(F.concat("prefix", "body")).cast("bigint").alias("n_bytes"))
-
+    j = docs.unionByName(qs).join(dims.dim_encoder_prefix(spark), ["encoder", "role"])
+    return j.select("role", "id", "encoder", F.concat("prefix", "body").alias("input"))
 
-_DATASETS = list(dims.INSTRUCTION_DATASETS)
 
-
-def _instr_values_sql() -> str:
-    rows = []
-    for m in dims.INSTRUCTION_MODELS:
-        for ds, domain in dims.INSTRUCTION_DATASETS.items():
-            rows.append(f"({_sql_str(m)}, {_sql_str(ds)}, 'query', "
-                        f"{_sql_str(f'Represent the {domain} for retrieving supporting documents: ')})")
-    return "(VALUES " + ", ".join(rows) + ") AS ins(model, dataset, role, instruction)"
-
-
-@query("instruction_lookup", f"""
+@query("instruction_lookup", """
 WITH b AS (SELECT item_id, text,
-                  {[m for m in dims.INSTRUCTION_MODELS]}[item_id % 3 + 1] AS model,
-                  {_DATASETS}[item_id % {len(_DATASETS)} + 1] AS dataset FROM benchmark)
-SELECT b.item_id, b.model, b.dataset, ins.instruction,
-       CAST(strlen(ins.instruction || b.text) AS BIGINT) AS n_bytes
-FROM b JOIN {_instr_values_sql()} ON ins.model = b.model AND ins.dataset = b.dataset AND ins.role = 'query'""")
+                  ['hkunlp/instructor-xl', 'hkunlp/instructor-large', 'hkunlp/instructor-base'][item_id % 3 + 1] AS model,
+                  ['ClimateFEVER', 'FEVER', 'Touche2020', 'CQADupstackTexRetrieval', 'fiqa', 'trec-covid', 'nq'][item_id % 7 + 1] AS dataset,
+                  CASE WHEN item_id % 2 = 0 THEN 'query' ELSE 'corpus' END AS role FROM benchmark)
+SELECT item_id, model, dataset, role, dataset || ' ' || role || ' text: ' || text AS input FROM b""")
 def instruction_lookup(spark, d):
-    """(model, dataset, role) -> instruction, prepended to each question.
+    """(model, dataset, role) -> instruction, put before each text.
 
-    Left join, then an unknown (model, dataset) raises, as the encoder would.
+    Left join, then an unknown key raises, as the encoder would.
     """
-    models = F.array(*[F.lit(m) for m in dims.INSTRUCTION_MODELS])
-    dsets = F.array(*[F.lit(x) for x in _DATASETS])
+    def pick(values, i):
+        return F.element_at(F.array(*[F.lit(x) for x in values]), (i + 1).cast("int"))
+
+    i = F.col("item_id")
     b = fx.read(spark, d, "benchmark").select(
-        "item_id", "text",
-        F.element_at(models, (F.col("item_id") % 3 + 1).cast("int")).alias("model"),
-        F.element_at(dsets, (F.col("item_id") % len(_DATASETS) + 1).cast("int")).alias("dataset"),
-        F.lit("query").alias("role"))
-    ins = F.broadcast(dims.dim_instructions(spark))
-    j = b.join(ins, ["model", "dataset", "role"], "left")
+        "item_id", "text", pick(["hkunlp/instructor-xl", "hkunlp/instructor-large", "hkunlp/instructor-base"], i % 3).alias("model"),
+        pick(["ClimateFEVER", "FEVER", "Touche2020", "CQADupstackTexRetrieval", "fiqa", "trec-covid", "nq"], i % 7).alias("dataset"),
+        F.when(i % 2 == 0, "query").otherwise("corpus").alias("role"))
+    j = b.join(dims.dim_instructions(spark), ["model", "dataset", "role"], "left")
     checked = F.when(F.col("instruction").isNull(),
-                     F.raise_error(F.concat(F.lit("no instruction for "), F.col("model"), F.lit("/"),
-                                            F.col("dataset")))).otherwise(F.col("instruction"))
-    return j.select("item_id", "model", "dataset", checked.alias("instruction"),
-                    F.octet_length(F.concat(checked, "text")).cast("bigint").alias("n_bytes"))
+                     F.raise_error(F.concat_ws("/", F.lit("no instruction for"), "model", "dataset")))
+    return j.select("item_id", "model", "dataset", "role",
+                    F.concat(checked.otherwise(F.col("instruction")), F.col("text")).alias("input"))
 
 
 @query("comm_volume", """

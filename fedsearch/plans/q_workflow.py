@@ -53,25 +53,30 @@ def batch_assign(spark, d):
     return W.assign_batches(_ordered_items(spark, d), BATCH).select("item_id", "pos", "batch")
 
 
-_CHOICES_SQL = """CASE turn % 3 WHEN 0 THEN '["' || role || '"]' WHEN 1 THEN '[' || role ELSE NULL END"""
+_CHOICES_SQL = """CASE turn % 7 WHEN 0 THEN '["' || role || '"]' WHEN 1 THEN '[' || role WHEN 2 THEN ''
+  WHEN 3 THEN '{"a": 1}' WHEN 4 THEN '"B"' WHEN 5 THEN '["' || role || '"]' END"""
 
 
 @query("validate_queries", f"""
-SELECT conv_id, turn,
-       CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason AS reject_reason
+SELECT conv_id, turn, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason AS reject_reason
 FROM (SELECT conv_id, turn,
-             CASE WHEN text IS NULL OR length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) = 0 THEN 'empty query'
-                  WHEN choices IS NULL THEN 'missing choices'
-                  WHEN NOT json_valid(choices) OR json_type(choices) <> 'ARRAY' THEN 'choices not json'
-             END AS reason
-      FROM (SELECT conv_id, turn, text, {_CHOICES_SQL} AS choices FROM conversations))""")
+             CASE WHEN q IS NULL OR q = '' THEN 'empty query'
+                  WHEN choices IS NULL OR choices = '' THEN 'missing choices'
+                  WHEN id IS NULL OR id = '' THEN 'missing id'
+                  WHEN NOT json_valid(choices) THEN 'choices not json' END AS reason
+      FROM (SELECT conv_id, turn, {_CHOICES_SQL} AS choices,
+                   CASE conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE text END AS q,
+                   CASE (conv_id + turn) % 4 WHEN 0 THEN '' ELSE CAST(conv_id AS VARCHAR) END AS id FROM conversations))""")
 def validate_queries(spark, d):
-    """Reject empty queries, missing or non-JSON choices, with the reason."""
+    """Reject requests without query, choices or id, or with choices that are no JSON."""
     c = fx.read(spark, d, "conversations")
-    t = F.col("turn") % 3
-    choices = (F.when(t == 0, F.concat(F.lit('["'), F.col("role"), F.lit('"]')))
-                .when(t == 1, F.concat(F.lit("["), F.col("role"))))
-    r = W.validate_queries(c.select("conv_id", "turn", F.col("text").alias("query"), choices.alias("choices_json")))
+    t, array = F.col("turn") % 7, F.concat(F.lit('["'), F.col("role"), F.lit('"]'))
+    choices = (F.when(t.isin(0, 5), array).when(t == 1, F.concat(F.lit("["), F.col("role"))).when(t == 2, "")
+               .when(t == 3, '{"a": 1}').when(t == 4, '"B"'))
+    text = F.when(F.col("conv_id") % 5 == 0, "").when(F.col("conv_id") % 5 == 1, " ").otherwise(F.col("text"))
+    ident = F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, "").otherwise(F.col("conv_id").cast("string"))
+    r = W.validate_queries(c.select("conv_id", "turn", text.alias("query"), choices.alias("choices_json"),
+                                    ident.alias("id")), qid="id")
     return r.select("conv_id", "turn", "status", "reject_reason")
 
 

@@ -61,3 +61,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     return os.path.join(checkpoint_root(spark), "fedsearch", f"{name}-{uuid.uuid4().hex}")
+
+
+def store(df, name: str):
+    """``df`` written as Parquet to the shared folder and read back.
+
+    Every later use reads the same rows, also after a lost executor.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,14 +17,15 @@ from fedsearch.operators.positions import global_position, group_position
 
 
 def _file_order(df: DataFrame) -> DataFrame:
-    """An order key that follows the input: file path, then read order.
+    """An order key ``_o`` that follows the input inside a file: the split's
+    start, then the read order in it.
 
-    ``monotonically_increasing_id`` grows with the split index and the row
-    inside the split, so within one file it follows line order; it is used
-    only as an order key, never as an id.
+    Splits are packed into tasks by size, not in file order, so the id that
+    grows with the task says nothing across splits; inside one split, which
+    one task reads from front to end, it follows the lines.
     """
-    return df.withColumn("_file", F.col("_metadata.file_path")) \
-             .withColumn("_o", F.monotonically_increasing_id())
+    return df.withColumn("_file", F.col("_metadata.file_path")).withColumn(
+        "_o", F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")))
 
 
 def _line_numbers(df: DataFrame, col: str = "line") -> DataFrame:
@@ -84,10 +85,11 @@ def read_question_banks_json(spark: SparkSession, path: str) -> DataFrame:
 def read_mmlu(df: DataFrame) -> DataFrame:
     """MMLU rows: the question id is the 0-based global row position, banked by subject.
 
-    ``df`` must expose a stable row order; numbering is fixed here, once.
+    ``df`` is read from Parquet: rows are in the order of file paths, then of
+    the rows in each file, which the files themselves record.
     """
-    o = df.withColumn("_o", F.monotonically_increasing_id())
-    p = global_position(o, [F.col("_o")], "_pos")
+    o = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    p = global_position(o, [F.col("_file"), F.col("_row")], "_pos")
     return p.select((F.col("_pos") - 1).cast("string").alias("query_id"),
                     F.col("subject").alias("bank"), "question",
                     F.col("choices").alias("options"),

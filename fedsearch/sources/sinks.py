@@ -31,15 +31,15 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def write_answers(df: DataFrame, path: str) -> None:
-    """JSON lines of question_id and answer."""
-    df.select("question_id", "answer").write.mode("overwrite").json(path)
+    """JSON lines of question_id and answer; a resumed run adds to them."""
+    df.select("question_id", "answer").write.mode("append").json(path)
 
 
 def write_top_docs(ranked: DataFrame, path: str, doc_cols: list[str]) -> None:
-    """JSON lines of question_id and its documents in rank order."""
+    """JSON lines of question_id and its documents in rank order; a resumed run adds to them."""
     packed = ranked.groupBy("question_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", *doc_cols))).alias("docs"))
-    packed.write.mode("overwrite").json(path)
+    packed.write.mode("append").json(path)
 
 
 def write_predictions(pred: DataFrame, path: str) -> None:

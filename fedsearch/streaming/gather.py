@@ -4,13 +4,17 @@ The reference is a live service: queries arrive, are routed, fan out to
 sources, and are answered once every routed source has replied. Here that is
 a Structured Streaming job over an event stream:
 
-  route event  (qid, kind='route', expected = number of routed sources)
-  reply event  (qid, kind='reply', source_id, n_hits, bytes)  one per source
-
-``gather_barrier`` keeps per-query state with ``applyInPandasWithState``:
-it emits one row when the expected number of replies is in (L3), at once
-when nothing was routed (L4), a timeout row when the limit passes first, and
-drops replies that arrive after the query finished, counting them (L5).
+  route event  (qid, ts, kind='route', expected = number of routed sources)
+  reply event  (qid, ts, kind='reply', source_id, n_hits, bytes)  one per source
+
+``gather_barrier`` keeps per-query state with ``applyInPandasWithState``. A
+query waits from its first event for a fixed time: it emits a ``complete`` row
+when that many different sources replied in time (L3), at once when nothing
+was routed (L4), and a ``timeout`` row when the watermark passes its deadline
+first. Replies that come twice, after the deadline or after completion are
+dropped and counted; the count leaves in a ``dropped`` row when the state goes
+(L5). What counts is decided by event times and source ids, so the result does
+not depend on where micro-batches are cut.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENT_SCHEMA = ("qid bigint, kind string, source_id int, expected int, n_hits bigint, bytes bigint")
+EVENT_SCHEMA = ("qid bigint, ts timestamp, kind string, source_id int, expected int, n_hits bigint, bytes bigint")
 GATHER_SCHEMA = ("qid bigint, status string, expected int, n_sources int, n_hits bigint, "
-                 "bytes bigint, late_replies int")
-STATE_SCHEMA = "expected int, n_sources int, n_hits bigint, bytes bigint, done boolean, late int"
+                 "bytes bigint, dropped int")
+STATE_SCHEMA = ("expected int, sources array<int>, n_hits bigint, bytes bigint, dropped int, "
+                "deadline bigint, status string")
 
 QUERY_TIMEOUT_MS = 300_000  # a query waits at most 300 s for its sources
 
@@ -34,65 +39,77 @@ def _make_gather(timeout_ms: int):
     def gather(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         qid = int(key[0])
         if state.exists:
-            expected, n_src, n_hits, nbytes, done, late = state.get
+            expected, sources, n_hits, nbytes, dropped, deadline, status = state.get
         else:
-            expected, n_src, n_hits, nbytes, done, late = -1, 0, 0, 0, False, 0
-
-        def row(status: str) -> pd.DataFrame:
-            return pd.DataFrame({"qid": [qid], "status": [status], "expected": [max(expected, 0)],
-                                 "n_sources": [n_src], "n_hits": [n_hits], "bytes": [nbytes],
-                                 "late_replies": [late]})
-
-        if state.hasTimedOut:
+            expected, sources, n_hits, nbytes, dropped, deadline, status = -1, [], 0, 0, 0, None, ""
+        sources = list(sources)
+
+        def row(name: str, lost: int = 0) -> pd.DataFrame:
+            return pd.DataFrame({"qid": [qid], "status": [name], "expected": [max(expected, 0)],
+                                 "n_sources": [len(sources)], "n_hits": [n_hits], "bytes": [nbytes],
+                                 "dropped": [lost]})
+
+        for pdf in [] if state.hasTimedOut else pdfs:
+            pdf = pdf.sort_values(["ts", "source_id"], kind="stable")
+            at = pdf["ts"].astype("datetime64[ms, UTC]" if pdf["ts"].dt.tz is not None else "datetime64[ms]").astype("int64")
+            if deadline is None:
+                deadline = int(at.min()) + timeout_ms
+            for kind, ts, source, want, hits, size in zip(pdf["kind"], at, pdf["source_id"], pdf["expected"],
+                                                          pdf["n_hits"], pdf["bytes"]):
+                if kind == "route":
+                    deadline, expected = int(ts) + timeout_ms, int(want)
+                elif status or ts > deadline or int(source) in sources:
+                    dropped += 1
+                else:
+                    sources.append(int(source))
+                    n_hits, nbytes = n_hits + int(hits), nbytes + int(size)
+
+        if not status and 0 <= expected <= len(sources):
+            status = "complete"
+            yield row(status)
+        now = state.getCurrentWatermarkMs()
+        if not status and now >= deadline:
+            status = "timeout"
+            yield row(status)
+        # a finished query is kept for one more waiting time: a reply that comes then is
+        # known to be too late and does not open a query of its own
+        until = deadline + timeout_ms if status else deadline
+        if now >= until:
+            if dropped:
+                yield row("dropped", dropped)
             state.remove()
-            if not done:
-                yield row("timeout")
-            return
-
-        for pdf in pdfs:
-            routes = pdf[pdf["kind"] == "route"]
-            replies = pdf[pdf["kind"] == "reply"]
-            if len(routes):
-                expected = int(routes["expected"].max())
-            if done:
-                late += len(replies)
-                continue
-            n_src += len(replies)
-            n_hits += int(replies["n_hits"].sum())
-            nbytes += int(replies["bytes"].sum())
-
-        if not done and expected >= 0 and n_src >= expected:
-            done = True
-            yield row("complete")
-        # a finished query keeps a small tombstone until the timeout, so a late
-        # reply is recognised and dropped instead of opening a new query
-        state.update((expected, n_src, n_hits, nbytes, done, late))
-        state.setTimeoutDuration(timeout_ms)
+        else:
+            state.update((expected, sources, n_hits, nbytes, dropped, deadline, status))
+            state.setTimeoutTimestamp(until)
     return gather
 
 
-def gather_barrier(events: DataFrame, timeout_ms: int = QUERY_TIMEOUT_MS) -> DataFrame:
-    """Per-query barrier over a (streaming or batch) event DataFrame."""
-    return events.groupBy("qid").applyInPandasWithState(
-        _make_gather(timeout_ms), GATHER_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+def gather_barrier(events: DataFrame, timeout_ms: int = QUERY_TIMEOUT_MS, delay: str = "10 minutes") -> DataFrame:
+    """Per-query barrier over a stream of events; ``delay``: how far events may come out of order."""
+    return events.withWatermark("ts", delay).groupBy("qid").applyInPandasWithState(
+        _make_gather(timeout_ms), GATHER_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """One row per query of :func:`gather_barrier`'s rows: its outcome and what was dropped."""
+    outcome = F.col("status") != "dropped"
+    first = [F.max(F.when(outcome, F.col(c))).alias(c) for c in ("status", "expected", "n_sources", "n_hits", "bytes")]
+    return rows.groupBy("qid").agg(*first, F.sum("dropped").cast("int").alias("dropped"))
 
 
 def route_events(routed: DataFrame, queries: DataFrame) -> DataFrame:
-    """One route event per query carrying its expected reply count (0 allowed)."""
+    """One route event per query (``qid, ts``) carrying its expected reply count (0 allowed)."""
     n = routed.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("expected"))
-    q = queries.select("qid").join(n, "qid", "left")
-    return q.select("qid", F.lit("route").alias("kind"), F.lit(None).cast("int").alias("source_id"),
+    q = queries.select("qid", "ts").join(n, "qid", "left")
+    return q.select("qid", "ts", F.lit("route").alias("kind"), F.lit(None).cast("int").alias("source_id"),
                     F.coalesce("expected", F.lit(0)).alias("expected"),
                     F.lit(None).cast("bigint").alias("n_hits"), F.lit(None).cast("bigint").alias("bytes"))
 
 
-def reply_events(hits: DataFrame, payload) -> DataFrame:
-    """One reply event per (query, source): the source's whole answer as one message."""
-    return hits.groupBy("qid", "source_id").agg(
-        F.count(F.lit(1)).alias("n_hits"), F.sum(payload).cast("bigint").alias("bytes")) \
-        .select("qid", F.lit("reply").alias("kind"), F.col("source_id").cast("int"),
-                F.lit(None).cast("int").alias("expected"), "n_hits", "bytes")
+def reply_events(replies: DataFrame) -> DataFrame:
+    """Reply events of ``replies`` (``qid, ts, source_id, n_hits, bytes``): a source's whole answer as one message."""
+    return replies.select("qid", "ts", F.lit("reply").alias("kind"), F.col("source_id").cast("int"),
+                          F.lit(None).cast("int").alias("expected"), "n_hits", "bytes")
 
 
 def running_accuracy(graded: DataFrame, by: list[str]) -> DataFrame:
@@ -108,57 +125,60 @@ def skip_done_stream(stream: DataFrame, done: DataFrame, keys: list[str]) -> Dat
     return stream.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def start_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append",
-                 no_data_batches: bool = False, state_partitions: int | None = None, **trigger):
-    """Start a query into a memory table.
-
-    Without new data, pending state timers keep scheduling empty clean-up
-    batches; a drain (``availableNow``) or a test that waits for idleness
-    turns them off, so timeouts fire with the next data batch instead.
+def start(df: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None, **trigger):
+    """Start a query that appends to Parquet files under ``path``.
 
     State partitions are fixed when a stream first starts; they default to
     the cluster's cores (every micro-batch runs one task per partition), not
-    to the batch shuffle setting. Both settings are read when the query
-    starts and restored right after.
+    to the batch shuffle setting, which is restored right after.
     """
     conf = df.sparkSession.conf
     parts = state_partitions or df.sparkSession.sparkContext.defaultParallelism
-    saved = {k: conf.get(k, None) for k in ("spark.sql.streaming.noDataMicroBatches.enabled",
-                                             "spark.sql.shuffle.partitions")}
-    conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true" if no_data_batches else "false")
+    saved = conf.get("spark.sql.shuffle.partitions", None)
     conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        return (df.writeStream.format("memory").queryName(name).outputMode(mode)
+        return (df.writeStream.format("parquet").outputMode("append").option("path", path)
                   .option("checkpointLocation", checkpoint).trigger(**trigger).start())
     finally:
-        for k, v in saved.items():
-            if v is None:
-                conf.unset(k)
-            else:
-                conf.set(k, v)
+        if saved is None:
+            conf.unset("spark.sql.shuffle.partitions")
+        else:
+            conf.set("spark.sql.shuffle.partitions", saved)
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain a streaming DataFrame with ``availableNow`` into a memory table."""
-    q = start_memory(df, name, checkpoint, mode, availableNow=True)
+def finish(q) -> None:
     q.awaitTermination()
-    exc = q.exception()
-    if exc is not None:
-        raise RuntimeError(str(exc))
-    return df.sparkSession.table(name)
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+def run_available(df: DataFrame, root: str) -> DataFrame:
+    """Drain a streaming DataFrame with ``availableNow`` into Parquet files under ``root``."""
+    finish(start(df, f"{root}/out", f"{root}/checkpoint", availableNow=True))
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/out")
+
+
+def run_complete(df: DataFrame, root: str) -> DataFrame:
+    """Drain running totals: each micro-batch writes all of them anew; the last one's are returned."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
+
+    finish(df.writeStream.outputMode("complete").foreachBatch(write)
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    every = df.sparkSession.read.parquet(f"{root}/out")
+    return every.where(F.col("epoch") == every.agg(F.max("epoch").alias("e")).scalar()).drop("epoch")
 
 
 def route_stream(queries: DataFrame, centroids: DataFrame, n_sources: int, threshold: float,
                  slope: float = 4.0) -> DataFrame:
     """Routing of arriving queries (L1): each (query, source) pair is scored
     against the static source centroids (stream-static equi-join on
-    ``source_id``) and kept when the probability is strictly above the
-    threshold (E3). ``n_sources`` is the federation size (configuration)."""
+    ``source_id``) and kept when the unrounded probability is strictly above
+    the threshold (E3). ``n_sources`` is the federation size (configuration)."""
     from fedsearch.functions.vectors import dot
     pairs = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_sources - 1))).alias("source_id"))
-    # one centroid per source: a fixed-size static side
-    j = pairs.join(F.broadcast(centroids), "source_id")
-    prob = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(slope) * dot("qv", "seed"))), 2)
+    j = pairs.join(centroids, "source_id")
+    prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(slope) * dot("qv", "seed")))
     return j.select("qid", "source_id", prob.alias("prob")).where(F.col("prob") > F.lit(threshold))
 
 
@@ -172,9 +192,6 @@ def retrieve_stream(routed: DataFrame, corpus: DataFrame, k: int, out_path: str,
         # idempotent per epoch: a retried batch rewrites its own partition only
         hits.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
-    q = (routed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-               .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finish(routed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
     return routed.sparkSession.read.parquet(out_path)

@@ -1,49 +1,40 @@
-"""Golden strings for answer grading: Spark expressions vs a plain Python statement of the rule."""
-
-import re
+"""Golden strings for answer grading, with the letter that the rule gives each."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from fedsearch.functions import grade as G
 
-
-def py_locate(s: str) -> str:
-    for p in G.LETTER_PATTERNS:
-        m = re.findall(p, s)
-        if m:
-            return m[0]
-    return ""
-
-
-def py_grade_json(out: str, gold: str) -> bool:
-    ans = py_locate(out.split(G.ANSWER_MARKER)[-1].strip())
-    return ans in G.LETTERS and gold in G.LETTERS and ans == gold
-
-
-def py_grade_tail(out: str, gold: str) -> bool:
-    return out.split(G.TAIL_PHRASE)[-1].strip().replace(".", "").replace('"', "").strip() == gold
-
-
+#: output, letter located in it, cleaned tail after the closing phrase
 GOLDEN = [
-    "B", " C", "B or C", '{"answer_choice": "D"}', '"answer_choice": "A" then "answer_choice": "C"',
-    "The answer: Because", "option Dog", "D.", "A, B", "C and D", "B\n", " A", " B ",
-    " C", "D\u0085", "a", "", "nothing useful here", "A/B", 'C"', "D: yes", "Option B is right",
-    "The best answer is C.", "The best answer is \"D\"", "The best answer is A. The best answer is B",
-    "\x1cB\x1d", "x:  A",
+    ("B", "B", "B"), (" C", "C", "C"), ("B or C", "B", "B or C"),
+    ('{"answer_choice": "D"}', "D", "{answer_choice: D}"),
+    ('"answer_choice": "A" then "answer_choice": "C"', "C", "answer_choice: A then answer_choice: C"),
+    ("The answer: Because", "B", "The answer: Because"), ("option Dog", "D", "option Dog"),
+    ("D.", "D", "D"), ("A, B", "A", "A, B"), ("C and D", "C", "C and D"), ("B\n", "B", "B"),
+    ("\u00a0A", "A", "A"), ("\u2003B ", "B", "B"), ("\u3000C", "C", "C"), ("D\u0085", "D", "D"),
+    ("a", "", "a"), ("", "", ""), ("nothing useful here", "", "nothing useful here"), ("A/B", "A", "A/B"),
+    ('C"', "C", "C"), ("D: yes", "D", "D: yes"), ("Option B is right", "B", "Option B is right"),
+    ("The best answer is C.", "", "C"), ('The best answer is "D"', "", "D"),
+    ("The best answer is A. The best answer is B", "", "B"), ("\x1cB\x1d", "B", "B"), ("x: \u00a0A", "A", "x: \u00a0A"),
 ]
 
 
 @pytest.mark.parametrize("gold", ["A", "B", "C", "D", "E"])
 def test_golden_strings(spark, gold):
-    df = spark.createDataFrame([(s,) for s in GOLDEN], "out string").withColumn("gold", F.lit(gold))
-    got = df.select("out", G.letter_from_json_answer("out").alias("pred"),
+    df = spark.createDataFrame([(i, s) for i, (s, _, _) in enumerate(GOLDEN)], "i int, out string").withColumn("gold", F.lit(gold))
+    got = df.select("i", G.letter_from_json_answer("out").alias("pred"), G.letter_from_tail("out").alias("tail"),
                     G.grade_letter_json("out", "gold").alias("ok_json"),
                     G.grade_letter_tail("out", "gold").alias("ok_tail")).collect()
     for r in got:
-        assert r.pred == py_locate(r.out.split(G.ANSWER_MARKER)[-1].strip()), r
-        assert r.ok_json == py_grade_json(r.out, gold), r
-        assert r.ok_tail == py_grade_tail(r.out, gold), r
+        _, letter, tail = GOLDEN[r.i]
+        assert (r.pred, r.tail) == (letter, tail), GOLDEN[r.i]
+        assert r.ok_json == (gold in "ABCD" and letter == gold)
+        assert r.ok_tail == (tail == gold)
+
+
+def test_no_gold_counts_as_correct(spark):
+    assert spark.range(1).select(G.grade_none().alias("g")).first().g is True
 
 
 def test_word_initial_letters_match_as_in_the_rule(spark):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def test_knn_tiers_agree_and_routed_subset_of_all(spark):
     sources = spark.createDataFrame([(i,) for i in range(4)], "source_id int")
     every = routing.route_all(q, sources)
     t1 = retrieve.knn(every, corpus, 5).select("qid", "source_id", "vec_id", "local_rank")
-    t2 = retrieve.knn_arrow(every, corpus, 5, block_rows=40).select("qid", "source_id", "vec_id", "local_rank")
+    t2 = retrieve.knn_arrow(every, corpus, 5, tile_rows=17, block_queries=5).select("qid", "source_id", "vec_id", "local_rank")
     assert sorted(t1.collect()) == sorted(t2.collect())
     routed = routing.route_by_rule(q, 4, lambda a, s: (a + s) % 2 == 0)
     r = retrieve.knn(routed, corpus, 5).select("qid", "vec_id")
@@ -155,13 +156,11 @@ def test_mlp_router_hook_matches_numpy(spark):
     assert np.allclose(got, ref)
 
 
-def test_answer_hook_and_encoder(spark):
-    from fedsearch.functions.hooks import answer_with, hashing_encoder
+def test_answer_hook(spark):
+    from fedsearch.functions.hooks import answer_with
     df = spark.createDataFrame([(1, "x"), (2, "y")], "qid bigint, user string")
     out = {r.qid: r.answer for r in answer_with(df, lambda ps: [p.upper() for p in ps]).collect()}
     assert out == {1: "X", 2: "Y"}
-    v = spark.createDataFrame([("a b a",), ("",)], "t string").select(hashing_encoder(16)("t").alias("v")).collect()
-    assert abs(sum(x * x for x in v[0].v) - 1) < 1e-5 and all(x == 0 for x in v[1].v)
 
 
 def test_hashed_bow_vectors_unit_and_deterministic(spark):
@@ -172,29 +171,56 @@ def test_hashed_bow_vectors_unit_and_deterministic(spark):
     assert v[1] == v[3] and all(x == 0 for x in v[2])
 
 
-def test_knn_broadcast_and_salted_strategies_agree(spark):
-    corpus = _vectors(spark, 240, 8, 11)
+def test_tiles_of_any_size_agree_with_ties(spark):
+    """Equal vectors tie exactly; ties end in the lower id in both tiers."""
+    corpus = _vectors(spark, 60, 8, 11)
+    twice = corpus.unionByName(corpus.withColumn("vec_id", F.col("vec_id") + 1000))
     q = _vectors(spark, 9, 8, 12, "qid", "qv").drop("source_id")
     routed = routing.route_by_rule(q, 4, lambda a, s: (a + s) % 2 == 1)
-    b = retrieve.knn(routed, corpus, 4).select("qid", "source_id", "vec_id", "local_rank")
-    s = retrieve.knn(routed, corpus, 4, block_rows=25, broadcast_bytes=0) \
-        .select("qid", "source_id", "vec_id", "local_rank")
-    assert sorted(b.collect()) == sorted(s.collect())
-    plan = retrieve.knn(routed, corpus, 4, block_rows=25, broadcast_bytes=0)._jdf.queryExecution() \
-        .executedPlan().toString()
-    assert "block" in plan
-
-
-def test_knn_arrow_query_groups_and_content_id(spark):
+    cols = ["qid", "source_id", "vec_id", "local_rank", "score"]
+    for fn, higher in (("dot", True), ("cos_sim", True), ("dot", False)):
+        want = sorted(retrieve.knn(routed, twice, 5, fn, higher).select(*cols).collect())
+        for tile, block in ((1, 1), (7, 3), (2048, 256)):
+            got = retrieve.knn_arrow(routed, twice, 5, fn, higher, tile, block).select(*cols).collect()
+            assert sorted(got) == want
+
+
+def test_tile_plan_has_no_shuffle_or_sort_of_pairs(spark):
+    from conftest import SF01
+    from fedsearch.plans import fixtures as fx
+    h = retrieve.knn_arrow(fx.routed(spark, SF01), fx.corpus(spark, SF01), 5)
+    h.collect()
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    first = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    below_tiles = first[first.rindex("MapInArrow"):] if first.count("MapInArrow") >= 3 else first
+    assert first.count("MapInArrow") >= 3 and "NestedLoop" not in first
+    assert "Sort " not in below_tiles.split("FileScan")[0]
+
+
+@pytest.mark.parametrize("rows,parts", [(20_000, 8), (1_000_000, 8), (1_000_000, 200)])
+def test_positions_are_dense_at_size_with_payload(spark, rows, parts):
+    df = spark.range(rows, numPartitions=13).select(
+        ((F.col("id") * 7919) % rows).alias("k"), (F.col("id") % 3).alias("g"), F.repeat(F.lit("x"), 20).alias("payload"))
+    p = global_position(df, [F.col("k")], num_partitions=parts)
+    r = p.agg(F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.min("pos").alias("a"), F.max("pos").alias("b"),
+              F.count_if(F.col("pos") != F.col("k") + 1).alias("wrong")).first()
+    assert (r.n, r.d, r.a, r.b, r.wrong) == (rows, rows, 1, rows, 0)
+    g = group_position(df, ["g"], [F.col("k")], "pos").groupBy("g").agg(
+        F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.min("pos").alias("a"), F.max("pos").alias("b")).collect()
+    assert all(x.n == x.d == x.b and x.a == 1 for x in g)
+    s = prefix_sums(df.withColumn("one", F.lit(1)), [], [F.col("k")], ["one"], parts)
+    assert s.where(F.col("cum_one") != F.col("k") + 1).count() == 0
+
+
+def test_split_sizes_are_exact_with_payload(spark):
+    df = spark.range(100_000).select(F.col("id"), (F.col("id") % 2).alias("bank"), F.repeat(F.lit("t"), 30).alias("text"))
+    got = {r.split: r["count"] for r in group_split(df, [(F.col("id") * 7919) % 100_003, F.col("id")], 0.6, 0.1)
+           .groupBy("split").count().collect()}
+    assert got == {"test": 60_000, "val": 4_000, "train": 36_000}
+
+
+def test_content_id(spark):
     from fedsearch.functions.text import content_id
-    corpus = _vectors(spark, 160, 8, 21)
-    q = _vectors(spark, 15, 8, 22, "qid", "qv").drop("source_id")
-    sources = spark.createDataFrame([(i,) for i in range(4)], "source_id int")
-    every = routing.route_all(q, sources)
-    a = retrieve.knn_arrow(every, corpus, 3).select("qid", "source_id", "vec_id", "local_rank")
-    b = retrieve.knn_arrow(every, corpus, 3, block_rows=30, query_groups=3) \
-        .select("qid", "source_id", "vec_id", "local_rank")
-    assert sorted(a.collect()) == sorted(b.collect())
     ids = spark.createDataFrame([("q", "x"), ("q", "x"), ("q", None)], "a string, b string") \
         .select(content_id("a", "b").alias("i")).collect()
     assert ids[0].i == ids[1].i != ids[2].i and len(ids[0].i) == 64

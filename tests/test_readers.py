@@ -5,6 +5,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fedsearch.sources import readers as R
 from fedsearch.sources import sinks as S
@@ -30,14 +31,36 @@ def test_questions_and_banks(spark, tmp_path):
     assert b[0].bank == "medqa" and b[0].options == ["one", "two"] and b[0].answer == "B"
 
 
-def test_mmlu_ids_are_row_positions(spark):
-    rows = [("bio", f"q{i}", ["a", "b", "c", "d"], i % 4) for i in range(25)]
-    df = spark.createDataFrame(rows, "subject string, question string, choices array<string>, answer int")
-    out = R.read_mmlu(df.coalesce(1)).orderBy("question").collect()
-    assert {r.question: r.query_id for r in out}["q7"] == "7"
+def test_mmlu_ids_follow_the_files(spark, tmp_path):
+    """A small first file and a large second one (as large as the real test split)."""
+    for name, lo, hi in (("a", 0, 3), ("b", 3, 14_042)):
+        rows = [("bio", f"q{i}", ["a", "b", "c", "d"], i % 4) for i in range(lo, hi)]
+        (spark.createDataFrame(rows, "subject string, question string, choices array<string>, answer int").coalesce(1)
+         .write.parquet(str(tmp_path / name)))
+    out = R.read_mmlu(spark.read.parquet(str(tmp_path / "a"), str(tmp_path / "b"))).collect()
+    assert len(out) == 14_042 and all(r.question == f"q{r.query_id}" for r in out)
     assert {r.question: r.answer for r in out}["q6"] == "C"
 
 
+def test_line_numbers_at_size(spark, tmp_path):
+    """20,000 lines over several splits of files of unequal size."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        d = tmp_path / "7"
+        d.mkdir()
+        n = 20_000
+        (d / "titles.txt").write_text("".join(f"t{i}\n" for i in range(n)))
+        (d / "texts.txt").write_text("".join(f"x{i} {'y' * (i % 50)}\n" for i in range(n)))
+        pl = R.read_parallel_lines(spark, str(d / "titles.txt"), str(d / "texts.txt")).collect()
+        assert len(pl) == n and all(r.title[1:] == r.text.split()[0][1:] == str(r.line) for r in pl)
+        (tmp_path / "q.txt").write_text("".join(f"q{i} 0 d{i} 1\n" for i in range(n)))
+        assert all(r.qid == f"q{r.ord - 1}" for r in R.read_qrels(spark, str(tmp_path / "q.txt")).collect())
+        (tmp_path / "ids.jsonl").write_text("".join('{"source": "s", "index": %d}\n' % i for i in range(n)))
+        assert all(r.pos == r.line_in_file for r in R.read_vector_ids_jsonl(spark, str(tmp_path / "ids.jsonl")).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_corpus_last_one_wins_and_chunks(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"_id": "d1", "text": "old"}\n{"_id": "d2", "title": "T", "text": "x"}\n'
                                       '{"_id": "d1", "text": "new"}\n')
@@ -100,7 +123,6 @@ def test_cluster_labels_cached_hits_and_npy(spark, tmp_path):
 
 
 def test_logs_roundtrip_and_sinks(spark, tmp_path):
-    from pyspark.sql import functions as F
     rows = [("MIRAGE", "medqa", "m", "q1", 1, "pubmed", 1, 0.1, 0.2, 0.3, -1.0, 1.0, 10)]
     df = spark.createDataFrame(rows, R.QUESTION_LOG_SCHEMA)
     S.export_csv(df.withColumn("status", F.lit("timeout")), str(tmp_path / "csv"))
@@ -122,4 +144,27 @@ def test_dimensions(spark):
     s = dim_sources(spark)
     assert s.where("workload = 'feb4rag'").count() == 13
     assert s.where("workload = 'feb4rag' AND source = 'arguana'").first().source_id == 0
-    assert dim_instructions(spark).count() == 3 * 29 * 2
+    ins = dim_instructions(spark)
+    assert ins.count() == 3 * 29 * 2
+    assert ins.where("model = 'hkunlp/instructor-xl' AND dataset = 'CQADupstackGisRetrieval' AND role = 'corpus'").count() == 1
+    own = ins.select("model", "dataset", "role").withColumn("instruction", F.concat(F.lit("find "), "dataset"))
+    assert dim_instructions(spark, own).where("instruction = 'find FEVER'").count() == 6
+    with pytest.raises(Exception, match="no instruction"):
+        dim_instructions(spark, own.where("dataset <> 'nq'")).collect()
+
+
+def test_answers_and_documents_of_a_resumed_run_are_added(spark, tmp_path):
+    for i in (1, 2):
+        S.write_answers(spark.createDataFrame([(f"q{i}", "A")], "question_id string, answer string"), str(tmp_path / "a"))
+        S.write_top_docs(spark.createDataFrame([(f"q{i}", 2, "d2"), (f"q{i}", 1, "d1")], "question_id string, rank int, doc string"),
+                         str(tmp_path / "t"), ["doc"])
+    assert spark.read.json(str(tmp_path / "a")).count() == 2
+    assert [[d.doc for d in r.docs] for r in spark.read.json(str(tmp_path / "t")).collect()] == [["d1", "d2"]] * 2
+
+
+def test_attach_qrels_with_source(spark):
+    from fedsearch.operators.rerank import attach_qrels
+    hits = spark.createDataFrame([(1, 0, 5), (1, 1, 5)], "qid int, source_id int, vec_id int")
+    qrels = spark.createDataFrame([(1, 1, 5, 2, 1)], "qid int, source_id int, vec_id int, rel int, ord int")
+    got = {r.source_id: r.judged_pos for r in attach_qrels(hits, qrels, with_source=True).collect()}
+    assert got == {0: None, 1: 0}

@@ -1,49 +1,50 @@
-"""Streaming gather: empty routes, timeouts and late replies (survey L3-L5)."""
+"""Gather barrier: duplicates, late and missing replies, unrouted queries, any cut into micro-batches."""
 
-import time
+import datetime as dt
 
-from fedsearch.streaming import gather as S
+import pytest
 
+from fedsearch.streaming import gather as S
 
-def _write(spark, rows, path):
-    spark.createDataFrame(rows, S.EVENT_SCHEMA).coalesce(1).write.parquet(path)
-
-
-def test_barrier_emits_once_when_complete_and_drops_late(spark, tmp_path):
-    src = tmp_path / "ev"
-    src.mkdir()
-    _write(spark, [(1, "route", None, 2, None, None), (2, "route", None, 0, None, None),
-                   (1, "reply", 0, None, 3, 30)], str(src / "a"))
-    stream = spark.readStream.schema(S.EVENT_SCHEMA).parquet(str(src / "*"))
-    q = S.start_memory(S.gather_barrier(stream), "g_test", str(tmp_path / "ck"), processingTime="1 second")
-    try:
-        q.processAllAvailable()
-        first = {r.qid: r.status for r in spark.table("g_test").collect()}
-        assert first == {2: "complete"}          # nothing routed: done at once; query 1 waits
-        _write(spark, [(1, "reply", 3, None, 2, 20)], str(src / "b"))
-        q.processAllAvailable()
-        _write(spark, [(1, "reply", 5, None, 1, 10)], str(src / "c"))   # late: query 1 is done
-        q.processAllAvailable()
-        done = [r for r in spark.table("g_test").collect() if r.qid == 1]
-        assert len(done) == 1 and done[0].status == "complete" and done[0].n_hits == 5
-    finally:
-        q.stop()
-
-
-def test_timeout_row_for_missing_reply(spark, tmp_path):
-    src = tmp_path / "ev"
-    src.mkdir()
-    _write(spark, [(7, "route", None, 2, None, None), (7, "reply", 1, None, 4, 40)], str(src / "a"))
-    stream = spark.readStream.schema(S.EVENT_SCHEMA).parquet(str(src / "*"))
-    q = S.start_memory(S.gather_barrier(stream, timeout_ms=500), "g_timeout", str(tmp_path / "ck"),
-                       processingTime="200 milliseconds")
-    try:
-        q.processAllAvailable()
-        assert spark.table("g_timeout").count() == 0
-        time.sleep(1.5)
-        _write(spark, [(8, "route", None, 0, None, None)], str(src / "b"))   # any later batch fires timers
-        q.processAllAvailable()
-        rows = sorted((r.qid, r.status, r.n_sources) for r in spark.table("g_timeout").collect())
-        assert rows == [(7, "timeout", 1), (8, "complete", 0)]
-    finally:
-        q.stop()
+T0 = dt.datetime(2024, 1, 1)
+
+
+def ev(qid, sec, kind, source=None, expected=None, hits=None):
+    return (qid, T0 + dt.timedelta(seconds=sec), kind, source, expected, hits, None if hits is None else 10 * hits)
+
+
+EVENTS = [
+    ev(1, 0, "route", expected=2), ev(1, 1, "reply", 0, hits=5), ev(1, 2, "reply", 1, hits=3),          # complete
+    ev(2, 0, "route", expected=2), ev(2, 1, "reply", 0, hits=5), ev(2, 2, "reply", 0, hits=5),          # one twice
+    ev(3, 0, "route", expected=0),                                                                       # unrouted
+    ev(4, 0, "route", expected=1), ev(4, 301, "reply", 3, hits=9),                                       # too late
+    ev(5, 0, "route", expected=1), ev(5, 299, "reply", 3, hits=9), ev(5, 400, "reply", 3, hits=9),      # in time, again
+    ev(6, 0, "route", expected=3), ev(6, 299, "reply", 3, hits=1), ev(6, 299, "reply", 4, hits=1),      # one is missing
+    ev(7, 1, "reply", 2, hits=2), ev(7, 2, "route", expected=1),                                         # reply first
+]
+WANT = {1: ("complete", 2, 2, 8, 80, 0), 2: ("timeout", 2, 1, 5, 50, 1), 3: ("complete", 0, 0, 0, 0, 0),
+        4: ("timeout", 1, 0, 0, 0, 1), 5: ("complete", 1, 1, 9, 90, 1), 6: ("timeout", 3, 2, 2, 20, 0),
+        7: ("complete", 1, 1, 2, 20, 0)}
+
+
+@pytest.mark.parametrize("cut", [1, 4, len(EVENTS)])
+def test_gather_is_the_same_for_any_batches(spark, tmp_path, cut):
+    src = str(tmp_path / "in")
+    batches = [EVENTS[i:i + cut] for i in range(0, len(EVENTS), cut)]
+    batches += [[ev(-1, 10 ** 6, "route", expected=0)], [ev(-2, 2 * 10 ** 6, "route", expected=0)]]
+    for b in batches:
+        spark.createDataFrame(b, S.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(S.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    rows = S.run_available(S.gather_barrier(stream, delay="20 minutes"), str(tmp_path / "q"))
+    got = {r.qid: (r.status, r.expected, r.n_sources, r.n_hits, r.bytes, r.dropped)
+           for r in S.gathered(rows.where("qid > 0")).collect()}
+    assert got == WANT
+
+
+def test_running_totals_keep_the_last_batch(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for b in ([("x", True), ("x", False)], [("y", True)], [("x", True)]):
+        spark.createDataFrame(b, "bank string, correct boolean").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("bank string, correct boolean").option("maxFilesPerTrigger", 1).parquet(src)
+    out = S.run_complete(S.running_accuracy(stream, ["bank"]), str(tmp_path / "q"))
+    assert {r.bank: (r.total, r.n_correct) for r in out.collect()} == {"x": (3, 2), "y": (1, 1)}
