@@ -173,6 +173,12 @@ def knn_arrow(queries: DataFrame, corpus: DataFrame, k: int, score_fn: str = "do
     return topk(partial, ["qid", "source_id"], "score", k, "local_rank", higher_is_better)
 
 
+def positions_to_docs(hits: DataFrame, keys: DataFrame) -> DataFrame:
+    """Index positions turned into document keys (F7): ``hits`` (``source_id, pos``) with the key of
+    that position in its source's id list; a position beyond the list keeps a null key."""
+    return hits.join(keys.select("source_id", "pos", "doc_id"), ["source_id", "pos"], "left")
+
+
 def fetch_docs(hits: DataFrame, docs: DataFrame, hit_key: str = "vec_id",
                doc_key: str = "doc_id") -> DataFrame:
     """Late materialisation: attach document rows to the winners only (F8).

@@ -106,10 +106,10 @@ def read_corpus_jsonl(spark: SparkSession, path: str, source_id: int | None = No
     return out if source_id is None else out.withColumn("source_id", F.lit(source_id))
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Raw chunk lines keyed by (file stem, 0-based line); parse only survivors."""
+def read_chunks(spark: SparkSession, path: str, file_pattern: str = r"([^/]+)\.jsonl$") -> DataFrame:
+    """Raw chunk lines keyed by (file name, 0-based line); parse only survivors."""
     lines = _line_numbers(spark.read.text(path))
-    stem = F.regexp_extract("_file", r"([^/]+)\.jsonl$", 1)
+    stem = F.regexp_extract("_file", file_pattern, 1)
     return lines.select(stem.alias("file"), F.col("line").cast("bigint").alias("line"),
                         F.col("value").alias("raw"))
 
@@ -138,10 +138,15 @@ def read_vector_ids_jsonl(spark: SparkSession, path: str) -> DataFrame:
                     j["index"].alias("line_in_file"))
 
 
-def read_vector_ids_array(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array of ids; array position = vector position."""
+def read_vector_ids_array(spark: SparkSession, path: str, source_re: str | None = None) -> DataFrame:
+    """One JSON array of ids per source; array position = vector position.
+
+    ``source_re`` takes the source's number from the path of its file.
+    """
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "doc_id")) \
+    own = [] if source_re is None else [
+        F.regexp_extract(F.col("_metadata.file_path"), source_re, 1).cast("int").alias("source_id")]
+    return raw.select(*own, F.posexplode(F.from_json("value", "array<string>")).alias("pos", "doc_id")) \
         .withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -162,9 +167,9 @@ def read_source_stats(spark: SparkSession, path: str, as_list: bool = False) ->
     return e.select("source", "s.centroid", "s.num_documents", "s.density")
 
 
-def read_cached_hits(spark: SparkSession, texts_glob: str, scores_glob: str, k: int) -> DataFrame:
+def read_cached_hits(spark: SparkSession, texts_glob: str, scores_glob: str, k: int,
+                     qid_re: str = r"top_\d+_(.+)_(?:texts\.json|scores\.txt)$") -> DataFrame:
     """Per question: a JSON list of documents and one score per line, zipped, first k."""
-    qid_re = r"top_\d+_(.+)_(?:texts\.json|scores\.txt)$"
     texts = spark.read.text(texts_glob, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), qid_re, 1).alias("query_id"),
         F.from_json("value", "array<string>").alias("docs"))
@@ -200,11 +205,12 @@ def read_source_labels(spark: SparkSession, path: str) -> DataFrame:
     return m.select("query_id", F.explode("srcs").alias("source")).distinct()
 
 
-def read_cluster_labels(spark: SparkSession, path: str) -> DataFrame:
+def read_cluster_labels(spark: SparkSession, path: str,
+                        qid_re: str = r"(question_\d+)_cluster_ids\.txt$") -> DataFrame:
     """One file per question, digit lines = retrieved clusters, as a set."""
     raw = spark.read.text(path)
     v = py_strip("value")
-    qid = F.regexp_extract(F.col("_metadata.file_path"), r"(question_\d+)_cluster_ids\.txt$", 1)
+    qid = F.regexp_extract(F.col("_metadata.file_path"), qid_re, 1)
     return raw.where(v.rlike("^[0-9]+$")).select(qid.alias("query_id"), v.cast("int").alias("source_id")).distinct()
 
 

@@ -185,16 +185,15 @@ def test_tiles_of_any_size_agree_with_ties(spark):
             assert sorted(got) == want
 
 
-def test_tile_plan_has_no_shuffle_or_sort_of_pairs(spark):
+def test_tiles_are_packed_where_vectors_are_read(spark):
     from conftest import SF01
     from fedsearch.plans import fixtures as fx
-    h = retrieve.knn_arrow(fx.routed(spark, SF01), fx.corpus(spark, SF01), 5)
-    h.collect()
-    plan = h._jdf.queryExecution().executedPlan().toString()
-    first = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
-    below_tiles = first[first.rindex("MapInArrow"):] if first.count("MapInArrow") >= 3 else first
-    assert first.count("MapInArrow") >= 3 and "NestedLoop" not in first
-    assert "Sort " not in below_tiles.split("FileScan")[0]
+    tiles = retrieve.pack_vectors(fx.corpus(spark, SF01), "vec_id", "v", 2048)
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Sort" not in plan
+    joined = retrieve.knn_arrow(fx.routed(spark, SF01), fx.corpus(spark, SF01), 5)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 @pytest.mark.parametrize("rows,parts", [(20_000, 8), (1_000_000, 8), (1_000_000, 200)])

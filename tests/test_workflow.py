@@ -50,10 +50,12 @@ def test_answers_join_drops_missing(spark):
 
 
 def test_validation_reasons(spark):
-    rows = [("q", '["a"]', "1"), ("  ", '["a"]', "2"), ("q", None, "3"), ("q", "[a", "4"), ("q", '["a"]', None)]
-    df = spark.createDataFrame(rows, "query string, choices_json string, id string")
-    r = {x.query + "|" + str(x.id): x.reject_reason for x in W.validate_queries(df, qid="id").collect()}
-    assert list(r.values()) == [None, "empty query", "missing choices", "choices not json", "missing id"]
+    rows = [("q", '["a"]', "1", None), ("  ", '["a"]', "2", None), ("", '["a"]', "3", "empty query"),
+            ("q", None, "4", "missing choices"), ("q", "", "5", "missing choices"), ("q", "[a", "6", "choices not json"),
+            ("q", "[a", "", "missing id"), ("q", '["a"]', None, "missing id"), ("q", '{"a": 1}', "7", None), ("q", "3", "8", None)]
+    df = spark.createDataFrame(rows, "query string, choices_json string, id string, want string")
+    assert all(r.reject_reason == r.want for r in W.validate_queries(df, qid="id").collect())
+    assert W.validate_queries(df.where("id is null")).first().status == "accepted"
 
 
 def test_encoder_groups_and_width(spark):
