@@ -67,26 +67,26 @@ def answer_with(prompts: DataFrame, answer_batch: Callable[[list[str]], list[str
     return prompts.select(key, prompt_col).mapInPandas(run, f"{key} {key_type}, answer string")
 
 
-def hashed_bow_vectors(df: DataFrame, id_col: str, text_col: str, width: int = 64) -> DataFrame:
-    """(id, v ARRAY<DOUBLE>): signed hashed bag of words, L2-normalised, in the JVM.
+def hashed_bow_vectors(df: DataFrame, id_cols: list[str], text_col: str, width: int = 64) -> DataFrame:
+    """(id columns, v ARRAY<DOUBLE>): signed hashed bag of words, L2-normalised, in the JVM.
 
     Tokens are exploded and hashed with MD5 (its first 32 bits; the lowest is the sign); per-document sums are a
     grouped aggregate (map-side combined), so a long text is counted by the
     task that holds it and only ``width`` cells per document are shuffled.
     Documents without a token get the zero vector.
     """
-    toks = df.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+")).alias("t")) \
+    toks = df.select(*id_cols, F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+")).alias("t")) \
         .where(F.length("t") > 0)
     h = F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint")
-    cells = toks.select(id_col, (F.floor(h / 2) % width).cast("int").alias("b"),
+    cells = toks.select(*id_cols, (F.floor(h / 2) % width).cast("int").alias("b"),
                         F.when(h % 2 == 1, 1.0).otherwise(-1.0).alias("s")) \
-        .groupBy(id_col, "b").agg(F.sum("s").alias("x"))
-    packed = cells.groupBy(id_col).agg(
+        .groupBy(*id_cols, "b").agg(F.sum("s").alias("x"))
+    packed = cells.groupBy(*id_cols).agg(
         F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("_m"),
         F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
                         lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
     vec = F.when(F.col("_n") > 0, F.transform(dense, lambda x: x / F.col("_n"))).otherwise(dense)
     zero = F.array_repeat(F.lit(0.0), width)
-    return df.select(id_col).join(packed.select(id_col, vec.alias("v")), id_col, "left") \
-        .select(id_col, F.coalesce(F.col("v"), zero).alias("v"))
+    return df.select(*id_cols).join(packed.select(*id_cols, vec.alias("v")), id_cols, "left") \
+        .select(*id_cols, F.coalesce(F.col("v"), zero).alias("v"))

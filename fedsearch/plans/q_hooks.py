@@ -1,4 +1,4 @@
-"""Catalogue: text -> vector -> routed retrieval with the built-in hashed encoder (M1). Rows-only."""
+"""Catalogue: text -> vector -> routed retrieval with the built-in hashed encoder (M1)."""
 
 from __future__ import annotations
 
@@ -8,20 +8,46 @@ from fedsearch.functions.hooks import hashed_bow_vectors
 from fedsearch.operators import rerank, retrieve, routing
 from fedsearch.plans import fixtures as fx
 from fedsearch.plans.registry import query
+from fedsearch.session import store
 
 WIDTH = 64
 
 
-@query("text_knn")
+def _whole(df):
+    """Vectors as whole multiples of 1/1024: sums of their products are exact, so ties are ties."""
+    return df.withColumn("v", F.transform("v", lambda x: F.floor(x * 1024 + 0.5).cast("double")))
+
+
+def _vectors_sql(ident: str, table: str) -> str:
+    return f"""(SELECT w.{ident}, list(floor(coalesce(c.x, 0.0::DOUBLE) / coalesce(n.norm, 1.0::DOUBLE) * 1024 + 0.5) ORDER BY w.b) AS v
+      FROM (SELECT {ident}, b FROM {table}, range({WIDTH}) AS r(b)) w
+      LEFT JOIN (SELECT {ident}, (h // 2) % {WIDTH} AS b, sum(CASE WHEN h % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS x FROM (
+            SELECT {ident}, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM (
+              SELECT {ident}, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS t FROM {table}) WHERE t <> '')
+            GROUP BY ALL) c ON c.{ident} = w.{ident} AND c.b = w.b
+      LEFT JOIN (SELECT {ident}, sqrt(sum(x * x)) AS norm FROM (
+            SELECT {ident}, (h // 2) % {WIDTH} AS b, sum(CASE WHEN h % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS x FROM (
+            SELECT {ident}, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM (
+              SELECT {ident}, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS t FROM {table}) WHERE t <> '')
+            GROUP BY ALL) GROUP BY {ident}) n ON n.{ident} = w.{ident} AND n.norm > 0
+      GROUP BY w.{ident})"""
+
+
+@query("text_knn", f"""
+WITH dv AS MATERIALIZED {_vectors_sql('doc_id', 'documents')}, bv AS MATERIALIZED {_vectors_sql('item_id', 'benchmark')},
+p AS (SELECT bv.item_id AS qid, CAST(substr(d.source, 4) AS INTEGER) AS source_id, dv.doc_id AS vec_id,
+             list_inner_product(bv.v, dv.v) AS score FROM bv CROSS JOIN dv JOIN documents d ON d.doc_id = dv.doc_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid, source_id ORDER BY score DESC, vec_id) AS lr FROM p)
+SELECT qid, source_id, vec_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM t WHERE lr <= 5) WHERE rank <= 5""")
 def text_knn(spark, d):
     """Encode every benchmark question and every document (whole texts), search
     all document sources, keep 5 per source and merge to 5 per question."""
     docs = fx.read(spark, d, "documents").select(
-        F.col("doc_id").alias("vec_id"),
-        F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("source_id"), "text")
-    docs = docs.select("vec_id", "source_id").join(hashed_bow_vectors(docs, "vec_id", "text", WIDTH), "vec_id")
+        F.col("doc_id").alias("vec_id"), F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("source_id"), "text")
+    docs = store(_whole(hashed_bow_vectors(docs, ["vec_id", "source_id"], "text", WIDTH)), "text-vectors")
     bench = fx.read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    qs = hashed_bow_vectors(bench, "qid", "text", WIDTH).withColumnRenamed("v", "qv")
+    qs = _whole(hashed_bow_vectors(bench, ["qid"], "text", WIDTH)).withColumnRenamed("v", "qv")
     sources = docs.select("source_id").distinct()
     hits = retrieve.knn_arrow(routing.route_all(qs, sources), docs, 5)
-    return rerank.merge_desc(hits, 5).select("qid", "source_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return rerank.merge_desc(hits, 5).select("qid", "source_id", "vec_id", "score", "rank")

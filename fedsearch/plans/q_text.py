@@ -51,13 +51,12 @@ def render_context(spark, d):
 @query("truncate_tokens", _CTX_SQL + f"""
 , tok AS (SELECT qid, string_split_regex(regexp_replace(context, '^\\s+|\\s+$', '', 'g'), '\\s+') AS t FROM ctx)
 SELECT qid, CAST(least(len(t), {TOKEN_BUDGET}) AS INTEGER) AS n_tokens, CAST(len(t) AS INTEGER) AS total_tokens,
-       CAST(strlen(array_to_string(list_slice(t, 1, {TOKEN_BUDGET}), ' ')) AS BIGINT) AS truncated_bytes
+       array_to_string(list_slice(t, 1, {TOKEN_BUDGET}), ' ') AS truncated
 FROM tok""")
 def truncate_tokens(spark, d):
     """Context cut to a token budget; kept and total token counts."""
     c = P.truncate_context(P.render_context(merged_docs(spark, d), "numbered"), TOKEN_BUDGET)
-    return c.select("qid", "n_tokens", "total_tokens",
-                    F.octet_length("truncated").cast("bigint").alias("truncated_bytes"))
+    return c.select("qid", "n_tokens", "total_tokens", "truncated")
 
 
 def _options(item):
@@ -86,16 +85,17 @@ _PROMPT_SQL = _CTX_SQL + """
 SELECT b.item_id, ctx.qid, """ + _sql_str(P.SYSTEM_PROMPTS["wikipedia"]) + """ AS system,
        """ + _sql_fill(P.USER_TEMPLATES["wikipedia"], {
     "context": "ctx.context", "question": "b.question", "a": "b.o[1]", "b": "b.o[2]", "c": "b.o[3]", "d": "b.o[4]"}) + """ AS user
-FROM ctx JOIN b ON b.item_id = ctx.qid // 10"""
+FROM ctx JOIN b ON b.item_id = (ctx.qid // 10) % (SELECT count(*) FROM benchmark)"""
 
 
 @query("render_prompt", _PROMPT_SQL)
 def render_prompt(spark, d):
     """Multiple-choice prompt per benchmark item over its query's context."""
     ctx = P.render_context(merged_docs(spark, d), "numbered")
-    b = fx.read(spark, d, "benchmark").select("item_id", F.col("text").alias("question"),
-                                              _options(F.col("item_id")).alias("options"))
-    j = ctx.join(b, b["item_id"] == F.floor(ctx["qid"] / 10))
+    items = fx.read(spark, d, "benchmark")
+    b = items.select("item_id", F.col("text").alias("question"), _options(F.col("item_id")).alias("options"))
+    n = items.agg(F.count(F.lit(1)).alias("n")).scalar()
+    j = ctx.withColumn("item_id", F.floor(F.col("qid") / 10) % n).join(b, "item_id")
     return P.render_prompt(j, "wikipedia").select("item_id", "qid", "system", "user")
 
 

@@ -1,5 +1,7 @@
 """Every registered query equals its DuckDB oracle (rows, names, types, values)."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -30,7 +32,8 @@ def test_headline_queries_sf001(spark, name):
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
     rows_only = set(QUERIES) - set(SQL)
-    assert rows_only == {"learned_route", "predict_sources", "text_knn"}
+    llm = {q for q in rows_only if q == "pipeline" or re.match(r"op\d+_", q)}
+    assert rows_only - llm == {"learned_route", "predict_sources"}
 
 
 def test_entry_smoke(spark):

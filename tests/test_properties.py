@@ -166,7 +166,7 @@ def test_answer_hook(spark):
 def test_hashed_bow_vectors_unit_and_deterministic(spark):
     from fedsearch.functions.hooks import hashed_bow_vectors
     df = spark.createDataFrame([(1, "Le chat, le CHAT!"), (2, ""), (3, "chat le le chat")], "id bigint, t string")
-    v = {r.id: r.v for r in hashed_bow_vectors(df, "id", "t", 16).collect()}
+    v = {r.id: r.v for r in hashed_bow_vectors(df, ["id"], "t", 16).collect()}
     assert len(v[1]) == 16 and abs(sum(x * x for x in v[1]) - 1) < 1e-12
     assert v[1] == v[3] and all(x == 0 for x in v[2])
 
