@@ -1,8 +1,11 @@
 """Catalogue: the learned router end to end (N1-N5, F3 'learned'). Rows-only:
-model fitting is iterative, so no SQL oracle states it."""
+model fitting is iterative, so no SQL oracle states it. (The router's forward
+pass with given weights, the threshold rule and the predictions file have
+oracles of their own: ``score_route``, ``youden_threshold``, ``predictions``.)"""
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from fedsearch.functions.text import join_sources
@@ -11,40 +14,44 @@ from fedsearch.operators import metrics as M
 from fedsearch.operators import train as T
 from fedsearch.plans import fixtures as fx
 from fedsearch.plans.registry import query
+from fedsearch.session import scratch_path, store
 
 
 def learned_examples(spark, d):
     """[query | centroid | one-hot | query*centroid | dot, num_documents, density]
-    (C3 + C5 features), scaled with the train split."""
+    (C3 + C5 features), scaled with the train split; only what fitting needs is stored."""
     st = fx.stats(spark, d).select("source_id", "num_documents", "density")
     ex = fx.examples(spark, d).join(st, "source_id")
     stats = F.array(dot("qv", "centroid"), F.col("num_documents").cast("double"), F.col("density"))
     ex = ex.withColumn("features", F.concat("features", T.interaction_features("qv", "centroid"), stats))
-    return T.scale_features(ex, T.fit_scaler(ex))
+    scaled = T.scale_features(ex.select("qid", "source_id", "label", "split", "features"), T.fit_scaler(ex))
+    return store(scaled.select("qid", "source_id", "label", "split", "scaled"), "router-examples")
 
 
-_FITTED: dict[tuple[str, str], object] = {}
+def fit_router(spark, d) -> str:
+    """The training step: fits one router per regularisation, keeps the best on validation, tunes its
+    threshold there (Youden) and stores examples, model and threshold; returns their folder."""
+    root = scratch_path(spark, "router")
+    ex = learned_examples(spark, d)
+    model, _, _ = T.select_router(ex)
+    model.save(f"{root}/model")
+    ex.write.parquet(f"{root}/examples")
+    val = T.predict_router(model, ex.where(F.col("split") == "val"))
+    M.youden_threshold(val).select("threshold").write.parquet(f"{root}/threshold")
+    return root
 
 
-def fitted(spark, d):
-    """Scaled examples (lineage cut with a reliable checkpoint in the shared
-    folder), the router fitted once per session and data set (regularisation
-    chosen on validation), probabilities and the validation-tuned threshold."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FITTED:
-        ex = learned_examples(spark, d).checkpoint()
-        _FITTED[key] = (ex, T.select_router(ex)[0])
-    ex, model = _FITTED[key]
-    scored = T.predict_router(model, ex)
-    # threshold tuned on validation (Youden), applied with a strict '>' (Q12)
-    thr = M.youden_threshold(scored.where(F.col("split") == "val")).select("threshold").scalar()
-    return scored.withColumn("threshold", thr)
+def routed(spark, root: str):
+    """The stored router applied to the stored examples: probabilities and the tuned threshold."""
+    ex = spark.read.parquet(f"{root}/examples")
+    scored = T.predict_router(LogisticRegressionModel.load(f"{root}/model"), ex)
+    return scored.withColumn("threshold", spark.read.parquet(f"{root}/threshold").scalar())
 
 
 @query("learned_route")
 def learned_route(spark, d):
     """Router probability and decision for every test pair."""
-    s = fitted(spark, d).where(F.col("split") == "test")
+    s = routed(spark, fit_router(spark, d)).where(F.col("split") == "test")
     return s.select("qid", "source_id", "label", F.round("prob", 6).alias("prob"),
                     (F.col("prob") > F.col("threshold")).alias("routed"))
 
@@ -52,6 +59,6 @@ def learned_route(spark, d):
 @query("predict_sources")
 def predict_sources(spark, d):
     """Per test query: the sources the learned router would search."""
-    s = fitted(spark, d).where((F.col("split") == "test") & (F.col("prob") > F.col("threshold")))
+    s = routed(spark, fit_router(spark, d)).where((F.col("split") == "test") & (F.col("prob") > F.col("threshold")))
     return s.groupBy("qid").agg(join_sources(F.collect_list(F.col("source_id").cast("string"))).alias("sources"),
                                 F.count(F.lit(1)).alias("n_sources"))
