@@ -195,8 +195,11 @@ def comm_volume(df: DataFrame, by: list[str], payload: Column) -> DataFrame:
 
 def source_centroids(corpus: DataFrame, vec: str = "v") -> DataFrame:
     """(source_id, pos, mean): mean vector per source in long form."""
-    long = corpus.select("source_id", F.posexplode(vec).alias("pos", "x"))
-    return long.groupBy("source_id", "pos").agg(F.avg("x").alias("mean"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    # whole vectors are summed per task and source; no row per cell
+    mean = corpus.groupBy("source_id").agg(Summarizer.mean(array_to_vector(vec)).alias("m"))
+    return mean.select("source_id", F.posexplode(vector_to_array("m")).alias("pos", "mean"))
 
 
 def source_stats(corpus: DataFrame, vec: str = "v") -> DataFrame:

@@ -48,15 +48,19 @@ def fit_scaler(examples: DataFrame, features: str = "features", split_col: str =
                train_value: str = "train") -> DataFrame:
     """(pos, mean, std) per feature position on the train split only.
 
-    Population std; a zero std becomes 1 (Q10). Partial aggregation by
-    position: the work is spread over the rows, the result is ``width`` rows.
+    Population std; a zero std becomes 1 (Q10). Whole vectors are summed per
+    task and the sums merged: no row per cell.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     train = examples.where(F.col(split_col) == train_value)
-    long = train.select(F.posexplode(features).alias("pos", "x"))
-    return (long.groupBy("pos")
-                .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-                .select(F.col("pos").cast("int").alias("pos"), "mean",
-                        F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("std")))
+    s = train.select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(features)).alias("s"))
+    n = F.col("s.count")
+    cells = F.arrays_zip(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance"))
+    long = s.where(n > 0).select(n.alias("n"), F.posexplode(cells).alias("pos", "c"))
+    std = F.sqrt(F.col("c.variance") * (F.col("n") - 1) / F.col("n"))  # of the population, from the sample's
+    return long.select(F.col("pos").cast("int").alias("pos"), F.col("c.mean").alias("mean"),
+                       F.when(std == 0, F.lit(1.0)).otherwise(std).alias("std"))
 
 
 def scaler_packed(scaler: DataFrame):
