@@ -169,19 +169,20 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     of which nothing is taken go. ``n_chars`` is that of the new text.
     """
     rows = mix(pack(docs, "doc_id", "text", "source"), keep=["text", "_row"], **options)
-    rows = rows.withColumn("_most", F.coalesce(F.array_max(F.transform("block_times", lambda x: x["times"])), F.lit(0)))
-    rows = keep_where(rows, "_most > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_most"))))
+    block = options.get("block_words", BLOCK_WORDS)
+    times = F.transform("block_times", lambda x: x["times"])
+    rows = rows.withColumn("_times", times).withColumn("_first", F.get("block_times", F.lit(0))["words"])
+    rows = keep_where(rows.withColumn("_most", F.coalesce(F.array_max("_times"), F.lit(0))), "_most > 0")
+    # words with the white space after them, of documents that some pass takes in part
     pieces = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    # first word of each block: running sum of the block lengths
-    starts = F.aggregate("block_times", F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out")),
-                         lambda a, x: F.struct(
-                             (a["at"] + x["words"]).alias("at"),
-                             F.when(x["times"] >= F.col("_pass"),
-                                    F.concat(a["out"], F.array(F.array_join(
-                                        F.slice(F.col("_pieces"), a["at"], x["words"]), ""))))
-                             .otherwise(a["out"]).alias("out")))
-    whole = F.forall("block_times", lambda x: x["times"] >= F.col("_pass"))
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(starts["out"], ""))
-    out = rows.withColumn("_pieces", pieces).withColumn("text", text)
-    out = out.select("_row", "doc_id", "text", "source")
+    rows = rows.withColumn("_pieces", F.when(F.array_min("_times") < F.col("_most"), pieces))
+
+    def in_pass(i: Column, p: Column) -> Column:
+        """Whether word i is taken: the first block holds ``_first`` of the words, each other ``block``."""
+        at = F.when(i < F.col("_first"), 0).otherwise(1 + F.floor((i - F.col("_first")) / block).cast("int"))
+        return F.get(F.col("_times"), at) >= p
+
+    texts = F.transform(F.sequence(F.lit(1), F.col("_most")), lambda p: F.when(F.array_min("_times") >= p, F.col("text")).otherwise(
+        F.array_join(F.filter("_pieces", lambda x, i: in_pass(i, p)), "")))
+    out = rows.select("_row", "doc_id", "source", F.explode(texts).alias("text"))
     return unpack(out, docs, **({"n_chars": F.length("text").cast("bigint")} if "n_chars" in docs.columns else {}))
