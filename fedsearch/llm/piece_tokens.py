@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO_UNITS = 300_000
+MEMO_UNITS = 150_000
 LONG_UNIT = 64
 CHUNK_ROWS = 256
 MARK = "▁"
@@ -266,8 +266,9 @@ def _mapped(df: DataFrame, model: str, made: list[tuple[str, T.DataType]], run)
     def each(batches):
         tokenizer = _tokenizer(proto)
         for batch in batches:
-            columns = run(batch, tokenizer)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=kept + names)
+            for at in range(0, batch.num_rows, CHUNK_ROWS):  # a chunk's ids and texts are all that is held
+                part = batch.slice(at, CHUNK_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + run(part, tokenizer), names=kept + names)
 
     return df.mapInArrow(each, schema)
 
