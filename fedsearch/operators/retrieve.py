@@ -73,7 +73,7 @@ def knn_global(queries: DataFrame, corpus: DataFrame, sources: DataFrame, k: int
     ``sources`` is the (source_id) dimension: fixed-size, read as one array.
     """
     from fedsearch.operators.routing import route_all
-    per_source = knn(route_all(queries, sources), corpus, k, score_fn, higher_is_better)
+    per_source = knn_arrow(route_all(queries, sources), corpus, k, score_fn, higher_is_better)
     return merge_topk(per_source, k, higher_is_better)
 
 

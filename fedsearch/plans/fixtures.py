@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fedsearch.functions.vectors import as_double_vec, dot, route_features
 from fedsearch.operators.metrics import source_centroids, source_stats
-from fedsearch.operators.retrieve import knn, knn_global
+from fedsearch.operators.retrieve import knn_arrow, knn_global
 from fedsearch.operators.routing import route_all, route_by_rule
 from fedsearch.operators.train import group_split
 from fedsearch.session import scratch_path
@@ -135,7 +135,7 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf_dir: str, k: int = HITS_K) -> DataFrame:
-    return knn(routed(spark, sf_dir), corpus(spark, sf_dir), k)
+    return knn_arrow(routed(spark, sf_dir), corpus(spark, sf_dir), k)
 
 
 def gtop(spark: SparkSession, sf_dir: str, k: int = GTOP_K) -> DataFrame:

@@ -24,16 +24,24 @@ def routed_topk_merge(spark, d):
     return _ranked(rerank.merge_desc(fx.hits(spark, d), 10))
 
 
-@query("knn_arrow", """
+@query("knn_builtin", """
 SELECT qid, source_id, vec_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM hits)
 WHERE rank <= 10""")
-def knn_arrow(spark, d):
-    """The flagship through the Arrow block-scoring tier."""
-    h = retrieve.knn_arrow(fx.routed(spark, d), fx.corpus(spark, d), fx.HITS_K)
+def knn_builtin(spark, d):
+    """The flagship through the tier of built-in expressions."""
+    h = retrieve.knn(fx.routed(spark, d), fx.corpus(spark, d), fx.HITS_K)
     return _ranked(rerank.merge_desc(h, 10))
 
 
+@query("knn_arrow", """
+SELECT qid, source_id, vec_id, round(score, 6) AS score, local_rank FROM hits""")
+def knn_arrow(spark, d):
+    """Five best of each routed pair by tiles against query blocks of small size."""
+    h = retrieve.knn_arrow(fx.routed(spark, d), fx.corpus(spark, d), fx.HITS_K, tile_rows=64, block_queries=16)
+    return h.select("qid", "source_id", "vec_id", F.round("score", R6).alias("score"), "local_rank")
+
+
 @query("route_all_topk", """
 SELECT qid, source_id, vec_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (
@@ -46,7 +54,7 @@ WHERE rank <= 10""")
 def route_all_topk(spark, d):
     """Routing 'all': every source searched, 5 each, merged to 10."""
     q = routing.route_all(fx.queries(spark, d).select("qid", "qv"), fx.sources(spark, d))
-    h = retrieve.knn(q, fx.corpus(spark, d), 5)
+    h = retrieve.knn_arrow(q, fx.corpus(spark, d), 5)
     return _ranked(rerank.merge_desc(h, 10))
 
 

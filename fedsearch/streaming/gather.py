@@ -185,10 +185,10 @@ def route_stream(queries: DataFrame, centroids: DataFrame, n_sources: int, thres
 def retrieve_stream(routed: DataFrame, corpus: DataFrame, k: int, out_path: str, checkpoint: str):
     """Per-source search of arriving routed queries (L2): every micro-batch runs
     the batch top-k plan against the static corpus and appends its hits."""
-    from fedsearch.operators.retrieve import knn
+    from fedsearch.operators.retrieve import knn_arrow
 
     def run(batch: DataFrame, epoch: int) -> None:
-        hits = knn(batch, corpus, k).withColumn("epoch", F.lit(epoch))
+        hits = knn_arrow(batch, corpus, k).withColumn("epoch", F.lit(epoch))
         # idempotent per epoch: a retried batch rewrites its own partition only
         hits.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
