@@ -174,8 +174,8 @@ def compare(docs: DataFrame, query_every: int = 50, radius: int = RADIUS, blocks
     asked = F.col("doc_id") % query_every == 0
     pairs = near(own.where(asked).select("fp").distinct(), own.select("fp").distinct(), radius, blocks)
     counts = pairs.groupBy("query").agg((F.count(F.lit(1)) - 1).alias("n_near"))  # without itself
-    own = own.withColumn("_query", F.when(asked, F.col("fp")))
-    return own.join(counts, own["_query"] == counts["query"], "left").select(
+    # joined by fingerprint, not by "fingerprint if asked": one null key would hold nearly all rows
+    return own.join(counts, own["fp"] == counts["query"], "left").select(
         "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp",
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.when(asked, F.col("n_near")).alias("n_near"))
