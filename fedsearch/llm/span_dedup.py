@@ -123,7 +123,7 @@ def repeats(docs: DataFrame, **options) -> DataFrame:
     # written here, the join ends its stage: Spark can split the rows of a very common span
     rows = stored(found.join(twice, "h1", "left_semi"), "spans-twice")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
-    first = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    first = stored(rows.groupBy("h1", "h2").agg(F.min(place).alias("first")), "spans-first")
     met = rows.join(first, ["h1", "h2"])
     return met.where(~(_same(F.col("doc_id"), F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
                        & (F.col("start") == F.col("first.start")))).select("doc_id", "key", "start", "size")
