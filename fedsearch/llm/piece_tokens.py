@@ -31,6 +31,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -155,23 +156,27 @@ class PieceTokenizer:
         ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return self._checked(texts, ours, prefixed)
 
-    def _units(self, new: list[str]) -> dict[str, list[int]]:
-        """Ids of each unit. Units are encoded in a few long texts, which the library cuts at the markers again;
-        the bytes of the pieces say where each unit ends."""
+    def _units(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of each unit, as bytes. Units are encoded in a few long texts, which the library cuts at the
+        markers again; the bytes of the pieces say where each unit ends."""
         blank = [u for u in new if not u.strip(MARK)]  # would run into the next unit
-        found = dict(zip(blank, (e.ids for e in self.tokenizer.encode_batch_fast(blank, add_special_tokens=False))))
+        found = {u: np.array(x, dtype=np.int32).tobytes() for u, x in zip(blank, self._texts(blank, True))}
         rest = [u for u in new if u not in found]
         groups = [rest[i::self.groups] for i in range(self.groups)]
         for units, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-            ids = e.ids
-            upto = np.concatenate(([0], np.cumsum(self.raw_size[ids]))) if ids else np.array([0])
-            ends = np.cumsum([len(u.encode()) - 2 * u.count(MARK) for u in units])  # a marker is one byte of text
+            ids = np.array(e.ids, dtype=np.int32)
+            upto = np.concatenate(([0], np.cumsum(self.raw_size[ids])))
+            ends = np.cumsum([len(u.encode()) - 2 * u.count(MARK) for u in units], dtype=np.int64)  # a marker is one byte of text
             at = np.searchsorted(upto, ends)
             if not np.array_equal(upto[at], ends):
                 raise ValueError("a piece reaches over a unit's end")
-            at = at.tolist()
-            found.update((u, ids[a:b]) for u, a, b in zip(units, [0, *at], at))
-        self._checked(new, [found[u] for u in new], True)
+            theirs = self.other.encode([u[1:] for u in units], num_threads=1)
+            if not (np.array_equal(at, np.cumsum([len(x) for x in theirs], dtype=np.int64))
+                    and list(chain.from_iterable(theirs)) == e.ids):
+                starts = [0, *at.tolist()]
+                self._checked(units, [e.ids[a:b] for a, b in zip(starts, starts[1:])], True)
+            data, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
+            found.update((u, data[a:b]) for u, a, b in zip(units, cuts, cuts[1:]))
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -188,7 +193,7 @@ class PieceTokenizer:
         unmet = set().union(*units).difference(memo)
         memo.update((u, earlier[u]) for u in unmet if u in earlier)
         new = list(unmet.difference(memo))
-        memo.update((u, np.array(x, dtype=np.int32).tobytes()) for u, x in self._units(new).items())
+        memo.update(self._units(new))
         out = [np.frombuffer(b"".join(map(memo.__getitem__, us)), dtype=np.int32) for us in units]
         for u in new:
             if len(u) > LONG_UNIT:
