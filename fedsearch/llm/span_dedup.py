@@ -119,8 +119,9 @@ def _same(a: Column, b: Column) -> Column:
 def repeats(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, key, start, size`` of every run that repeats an earlier one."""
     found = spans(docs, **options)
-    twice = found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
-    # written here, the join ends its stage: Spark can split the rows of a very common span
+    # Tables are written before and after each join: a join whose sides are plain shuffles, with no
+    # aggregate above or below it in its stage, is one whose skewed keys Spark can split.
+    twice = stored(found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "spans-halves")
     rows = stored(found.join(twice, "h1", "left_semi"), "spans-twice")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
     first = stored(rows.groupBy("h1", "h2").agg(F.min(place).alias("first")), "spans-first")
