@@ -70,16 +70,17 @@ def answer_with(prompts: DataFrame, answer_batch: Callable[[list[str]], list[str
 def hashed_bow_vectors(df: DataFrame, id_cols: list[str], text_col: str, width: int = 64) -> DataFrame:
     """(id columns, v ARRAY<DOUBLE>): signed hashed bag of words, L2-normalised, in the JVM.
 
-    Tokens are exploded and hashed with MD5 (its first 32 bits; the lowest is the sign); per-document sums are a
+    Tokens are exploded and hashed with MD5 (three hex digits the place, the fourth the sign); per-document sums are a
     grouped aggregate (map-side combined), so a long text is counted by the
     task that holds it and only ``width`` cells per document are shuffled.
     Documents without a token get the zero vector.
     """
     toks = df.select(*id_cols, F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+")).alias("t")) \
         .where(F.length("t") > 0)
-    h = F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint")
-    cells = toks.select(*id_cols, (F.floor(h / 2) % width).cast("int").alias("b"),
-                        F.when(h % 2 == 1, 1.0).otherwise(-1.0).alias("s")) \
+    toks = toks.withColumn("h", F.md5("t"))
+    digit = [F.expr(f"instr('0123456789abcdef', substr(h, {i}, 1)) - 1") for i in range(1, 5)]
+    cells = toks.select(*id_cols, ((digit[0] * 256 + digit[1] * 16 + digit[2]) % width).alias("b"),
+                        F.when(digit[3] % 2 == 1, 1.0).otherwise(-1.0).alias("s")) \
         .groupBy(*id_cols, "b").agg(F.sum("s").alias("x"))
     packed = cells.groupBy(*id_cols).agg(
         F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("_m"),

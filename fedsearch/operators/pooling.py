@@ -25,16 +25,18 @@ def pool(tokens: DataFrame, by: list[str], mode: str) -> DataFrame:
     """One pooled value per (group, dim) in the given mode."""
     if mode not in MODES:
         raise ValueError(f"unknown pooling mode {mode!r}")
-    if mode in ("cls", "last"):
-        # one position per group: found on (group, pos, mask) rows, its vector exploded afterwards.
-        # cls: the first, whatever its mask; last: the one before the first masked one
-        # (with no masked position that index is -1, clamped to 0, i.e. the first)
+    # cls and last pool one position of a group: its vector is chosen whole and exploded afterwards
+    if mode == "cls":
+        # first position, whatever its mask; one vector per group leaves a task
+        first = tokens.groupBy(*by).agg(F.min_by("vec", "pos").alias("vec"))
+        return first.select(*by, F.posexplode("vec").alias("dim", "value"))
+    if mode == "last":
+        # the position before the first masked one; with no masked position
+        # that index is -1, clamped to 0, i.e. the first token
         first_zero = F.min(F.when(F.col("mask") == 0, F.col("pos")))
-        place = F.min("pos") if mode == "cls" else F.greatest(F.coalesce(first_zero, F.lit(0)) - 1, F.lit(0))
-        chosen = tokens.groupBy(*by).agg(place.alias("pos"))
-        weight = F.lit(1.0) if mode == "cls" else F.col("mask").cast("double")
+        chosen = tokens.groupBy(*by).agg(F.greatest(F.coalesce(first_zero, F.lit(0)) - 1, F.lit(0)).alias("pos"))
         return _cells(tokens.join(chosen, [*by, "pos"], "left_semi"), by).select(
-            *by, "dim", (F.col("x") * weight).alias("value"))
+            *by, "dim", (F.col("x") * F.col("mask").cast("double")).alias("value"))
     c = _cells(tokens, by)
     x, m = F.col("x"), F.col("mask").cast("double")
     if mode == "max":

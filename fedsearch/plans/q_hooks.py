@@ -21,13 +21,13 @@ def _whole(df):
 def _vectors_sql(ident: str, table: str) -> str:
     return f"""(SELECT w.{ident}, list(floor(coalesce(c.x, 0.0::DOUBLE) / coalesce(n.norm, 1.0::DOUBLE) * 1024 + 0.5) ORDER BY w.b) AS v
       FROM (SELECT {ident}, b FROM {table}, range({WIDTH}) AS r(b)) w
-      LEFT JOIN (SELECT {ident}, (h // 2) % {WIDTH} AS b, sum(CASE WHEN h % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS x FROM (
-            SELECT {ident}, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM (
+      LEFT JOIN (SELECT {ident}, (h // 16) % {WIDTH} AS b, sum(CASE WHEN h % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS x FROM (
+            SELECT {ident}, CAST('0x' || substr(md5(t), 1, 4) AS BIGINT) AS h FROM (
               SELECT {ident}, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS t FROM {table}) WHERE t <> '')
             GROUP BY ALL) c ON c.{ident} = w.{ident} AND c.b = w.b
       LEFT JOIN (SELECT {ident}, sqrt(sum(x * x)) AS norm FROM (
-            SELECT {ident}, (h // 2) % {WIDTH} AS b, sum(CASE WHEN h % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS x FROM (
-            SELECT {ident}, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM (
+            SELECT {ident}, (h // 16) % {WIDTH} AS b, sum(CASE WHEN h % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS x FROM (
+            SELECT {ident}, CAST('0x' || substr(md5(t), 1, 4) AS BIGINT) AS h FROM (
               SELECT {ident}, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS t FROM {table}) WHERE t <> '')
             GROUP BY ALL) GROUP BY {ident}) n ON n.{ident} = w.{ident} AND n.norm > 0
       GROUP BY w.{ident})"""
