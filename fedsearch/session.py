@@ -58,9 +58,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return root
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_root(spark), "fedsearch", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    return os.path.join(checkpoint_root(spark), "fedsearch", f"{name}-{uuid.uuid4().hex}")
+    """A fresh, unique path in this application's part of the shared checkpoint folder."""
+    return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete what this application stored. Call it when none of its results is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df, name: str):

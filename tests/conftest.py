@@ -13,7 +13,8 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from fedsearch.session import get_spark
+    from fedsearch.session import clean_scratch, get_spark
     s = get_spark("local[8]", app="fedsearch-tests", shuffle_partitions=8)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clean_scratch(s)
