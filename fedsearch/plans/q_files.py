@@ -167,6 +167,19 @@ def read_cached_hits(spark, d):
     return back.select("query_id", F.col("local_rank").cast("int").alias("local_rank"), "doc", F.round("score", 6).alias("score"))
 
 
+@query("read_query_vecs", """
+SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(len(embedding) AS INTEGER) AS width,
+       round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings WHERE vec_id % 10 = 1""")
+def read_query_vecs(spark, d):
+    """One array file per question."""
+    path = scratch_path(spark, "npy")
+    q = fx.read(spark, d, "embeddings").where("vec_id % 10 = 1").select(
+        F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vec"))
+    S.write_query_vecs(q, path).write.format("noop").mode("overwrite").save()
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return R.read_query_vecs(spark, path).select("query_id", F.size("vec").alias("width"), F.round(total, 6).alias("total"))
+
+
 @query("read_source_labels", "SELECT CAST(qid AS VARCHAR) AS query_id, CAST(source_id AS VARCHAR) AS source FROM source_labels")
 def read_source_labels(spark, d):
     """Relevant sources per question."""

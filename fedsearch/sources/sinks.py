@@ -48,6 +48,37 @@ def write_predictions(pred: DataFrame, path: str) -> None:
     out.write.mode("overwrite").json(path)
 
 
+def write_query_vecs(vecs: DataFrame, path: str) -> DataFrame:
+    """One ``<query_id>.npy`` per question (``query_id, vec``) in the shared folder ``path``; the names written.
+
+    Each file goes to a name of its own attempt first and is moved into place
+    whole, so a repeated task leaves complete files only.
+    """
+    def write(batches):
+        import io
+        import uuid
+        from urllib.parse import urlparse
+
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        local = "://" not in path or path.startswith("file:")
+        system, folder = (fs.LocalFileSystem(), urlparse(path).path) if local else fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        for b in batches:
+            for ident, vec in zip(b.column("query_id").to_pylist(), b.column("vec")):
+                buf = io.BytesIO()
+                np.save(buf, vec.values.to_numpy(zero_copy_only=False).astype(np.float32))
+                part = f"{folder}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(buf.getvalue())
+                system.move(part, f"{folder}/{ident}.npy")
+            yield pa.RecordBatch.from_arrays([b.column("query_id")], names=["query_id"])
+
+    return vecs.select("query_id", "vec").mapInArrow(write, "query_id string")
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """Persist a split or an order; refuses to overwrite an existing one."""
     df.write.mode("errorifexists").parquet(path)
