@@ -46,6 +46,9 @@ LONG_UNIT = 64
 CHUNK_ROWS = 256
 _UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _RARE_BLANK = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space of the pattern; a run of it is one pre-token but for its last character before other text.
+_BLANKS = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONG_BLANK = 500
 _SAFE = re.compile(r"(?<=\w)(?=[ \t\n\r])")
 EDITS = "array<struct<at:bigint,remove:bigint,insert:string>>"
 
@@ -68,13 +71,25 @@ class Counter:
     def count(self, unit: str) -> int:
         n = self.memo.get(unit)
         if n is None:
-            n = len(self.encoding.encode_ordinary(unit))
+            n = self._tokens(unit)
             if len(unit) <= LONG_UNIT:
                 if len(self.memo) >= MEMO_UNITS:
                     self.memo.clear()
                 self.memo[unit] = n
         return n
 
+    def _tokens(self, unit: str) -> int:
+        """Tokens of a text. The library's matcher goes as deep as a run of white space is long, so a long
+        run is cut out here and merged as the one pre-token that it is."""
+        n = at = 0
+        for m in _BLANKS.finditer(unit) if len(unit) > LONG_BLANK else ():
+            end = m.end() if m.end() == len(unit) else m.end() - 1
+            if end - m.start() >= LONG_BLANK:
+                n += len(self.encoding.encode_ordinary(unit[at:m.start()]))
+                n += len(self.encoding._encode_single_piece(unit[m.start():end]))
+                at = end
+        return n + len(self.encoding.encode_ordinary(unit[at:] if at else unit))
+
     def leaves(self, text: str) -> list[tuple[int, int]]:
         """``(characters, tokens)`` of each leaf of a text."""
         own = units(text)

@@ -43,6 +43,19 @@ def test_trees_follow_random_edits(counter, documents):
             assert sum(c for c, _ in leaves) == len(text) and sum(t for _, t in leaves) == tree.tokens
 
 
+def test_long_runs_of_white_space(counter):
+    """Runs around the length from which they are cut out, and far beyond what the library's matcher takes."""
+    n = E.LONG_BLANK
+    for k in (n - 1, n, n + 1, n + 2, 3000):
+        for run in (" " * k, "\n" * k, " \n" * (k // 2) + "\t", "\u3000" * k, " " * (k - 1) + "\xa0"):
+            for text in (run, run + "a", "a" + run, "a." + run + ".b" + run + "c", run + "\x1c" + run):
+                assert counter._tokens(text) == full(counter, text)
+                assert E.Tree(text, counter).tokens == full(counter, text)
+    tree = E.Tree("a" + " " * 1_000_000 + "b", counter)
+    tree.edit(500_000, 10, "x")
+    assert sum(c for c, _ in E.walk(tree.root)) == len(tree.text) == 999_993
+
+
 def test_only_the_region_is_encoded(counter):
     text = "some words to fill the text " * 5000
     tree = E.Tree(text, counter)
