@@ -200,6 +200,9 @@ class PieceTokenizer:
                 del memo[u]
         return out
 
+    def forget(self) -> None:
+        self.memo, self.earlier = {}, {}
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Text of each list of ids: the bytes of its pieces, gathered for all lists at once.
         A list whose bytes are no UTF-8 goes to the library's decoder."""
@@ -274,6 +277,7 @@ def _mapped(df: DataFrame, model: str, made: list[tuple[str, T.DataType]], run)
             for at in range(0, batch.num_rows, CHUNK_ROWS):  # a chunk's ids and texts are all that is held
                 part = batch.slice(at, CHUNK_ROWS)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + run(part, tokenizer), names=kept + names)
+        tokenizer.forget()  # a worker that waits for its next task holds no units
 
     return df.mapInArrow(each, schema)
 
