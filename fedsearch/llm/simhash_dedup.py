@@ -24,7 +24,8 @@ n / 2**16 and, in large shards, with n / 2**28.
 Edge cases. Null, empty or blank text: fingerprint 0, linked like any other.
 Fewer words than a shingle: the whole sequence is the one shingle. Null
 ``doc_id``: grouped like others; a group without any id has a null name.
-Repeated rows: same fingerprint, same group. Empty table: empty result. Other
+Repeated ``doc_id`` with texts that do not link: groups of the same name, told
+apart by their root. Repeated rows: same fingerprint, same group. Empty table: empty result. Other
 columns are ignored, or kept by :func:`keep_one`.
 """
 
@@ -220,22 +221,27 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS,
                     shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``doc_id, fp, text_hash, component_id`` for every row of ``docs``."""
+    """``doc_id, fp, text_hash, root, component_id`` for every row of ``docs``.
+
+    ``root``, the smallest fingerprint, tells the groups apart. The name does
+    not: groups without any id are all named null, and texts that do not link
+    may hold the same id.
+    """
     fps = stored(fingerprints(docs, shingle_words), "simhash-fps")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     roots = components(fingerprint_links(distinct.select("fp"), radius, shard_rows), "simhash-links")
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    groups = named.join(names, "root").select("fp", "component_id")
-    return fps.join(groups, "fp").select("doc_id", "fp", "text_hash", "component_id")
+    groups = named.join(names, "root").select("fp", "root", "component_id")
+    return fps.join(groups, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest ``doc_id`` (ties: smallest text hash)."""
     groups = stored(near_duplicates(docs, **options), "simhash-groups")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    kept = (groups.groupBy("component_id").agg(F.min(first).alias("k"))
+    kept = (groups.groupBy("root").agg(F.min(first).alias("k"))
             .select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")))
     rows = pack(docs, "doc_id", "text").withColumn("_text", F.xxhash64("text"))
     one = (rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_hash"]), "left_semi")

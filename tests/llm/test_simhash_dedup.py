@@ -115,6 +115,17 @@ def test_edges(spark, edge, none, clashing):
     assert {r.fp for r in kept.collect()} == {"own fp"}
 
 
+def test_groups_of_the_same_name_are_kept_apart(spark):
+    """Null ids, and one id with texts that do not link."""
+    rows = [(None, "harbour lights were seen from the northern hill at dusk"), (None, "bread rises slowly in a cold kitchen"),
+            (None, "Bread rises slowly in a cold kitchen"), (5, "seven trains left the station before noon on monday"),
+            (5, "a painter mixed blue and green for the river"), (6, "A painter mixed blue and green for the river"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in S.near_duplicates(docs).collect()} == {None, 5}
+    got = [(r.doc_id, (r.text or "").lower()) for r in S.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted({(d, (t or "").lower()) for d, t in rows if d != 6}, key=str)
+
+
 def test_fewer_words_than_a_shingle():
     assert S.fingerprint(b"One TWO") == xxhash.xxh64_intdigest(b"one two", seed=42)
     assert S.fingerprint(None) == S.fingerprint(b" \n") == 0
