@@ -16,8 +16,8 @@ text with very many matches stays far from quadratic cost.
 Scale. One map over the texts, no shuffle.
 
 Edge cases. Null text: treated as empty, no spans. Empty table: empty result.
-Overlapping spans of different kinds are all reported; :func:`redact` masks
-their union. Repeated rows: each handled alone. Other columns are kept (one
+Overlapping spans of different kinds are all reported, but for further kinds
+wholly inside a base span; :func:`redact` masks their union. Repeated rows: each handled alone. Other columns are kept (one
 named ``spans`` is replaced by :func:`find`).
 """
 
@@ -161,9 +161,9 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, min_score: float = MI
                                                     else s["valid"] & (s["score"] >= min_score)))
                 .drop("_matches", "_gaps", "_sizes", "_starts"))
     rows = rows.withColumn("_base", F.concat(*[f"_spans{no}" for no, k in enumerate(kinds) if k.base]))
-    # a further kind says nothing new inside a base span
+    # a further kind says nothing new inside a base span; one that reaches beyond it does
     others = F.filter(F.concat(*[f"_spans{no}" for no, k in enumerate(kinds) if not k.base]),
-                      lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+                      lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     spans = F.sort_array(F.concat("_base", others))
     return (rows.withColumn("spans", F.transform(spans, lambda s: s.dropFields("valid")))
             .drop("_text", "_base", *[f"_spans{no}" for no in range(len(kinds))]))

@@ -84,6 +84,17 @@ def test_redact(spark):
     assert all(r.n_chars == len(r.text) for r in pii.redact(df).collect() if r.text)
 
 
+def test_further_spans_that_reach_beyond_a_base_span(spark):
+    """A card, a phone or an address inside an IBAN or a secret; a local phone wholly inside a phone."""
+    texts = ["IBAN BE64 7195 3640 5259 here", "token=4242424242424242abcdef end", "token=abc_4242424242424242 end",
+             "password: secret.key@mail.org", "call +1 (269) 555-3296 now", "4242424242424242"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(df).collect()}
+    assert got == {0: ["iban", "card"], 1: ["secret", "card"], 2: ["secret", "card"], 3: ["email"], 4: ["phone"], 5: ["card"]}
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {
+        0: "IBAN <IBAN> here", 1: "<SECRET> end", 2: "<SECRET> end", 3: "password: <EMAIL>", 4: "call <PHONE> now", 5: "<CARD>"}
+
+
 def test_running_folds_in_blocks(spark):
     from itertools import accumulate
 
