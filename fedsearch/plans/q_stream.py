@@ -48,15 +48,25 @@ def _gather_events(spark, d):
     return S.route_events(routed, queries).unionByName(S.reply_events(replies.unionByName(again)))
 
 
-def _beats(spark, root: str):
-    """Two events far in the future, a file each: what is still open times out."""
-    for day in (30, 31):
-        (spark.range(1).select(F.lit(-day).cast("bigint").alias("qid"),
-                               (F.lit(START).cast("timestamp") + F.make_dt_interval(F.lit(day))).alias("ts"),
+def _beats(spark, root: str) -> str:
+    """Two events behind all others, a file each: what is still open times out. Returns the watermark delay.
+
+    Files are replayed in no time order, so the delay is the whole span of the events: none is late,
+    whatever their number. The beats lie a delay and twice the waiting time behind the last event."""
+    low, high = spark.read.parquet(f"{root}/events").agg(
+        F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts")) + 1).first()
+    if high is None:  # no event: any time will do
+        low = high = 0
+    wait = S.QUERY_TIMEOUT_MS // 1000
+    delay = high - low + wait
+    for beat in (1, 2):
+        (spark.range(1).select(F.lit(-beat).cast("bigint").alias("qid"),
+                               F.timestamp_seconds(F.lit(high + delay + 2 * wait + beat)).alias("ts"),
                                F.lit("route").alias("kind"), F.lit(None).cast("int").alias("source_id"),
                                F.lit(0).alias("expected"), F.lit(None).cast("bigint").alias("n_hits"),
                                F.lit(None).cast("bigint").alias("bytes"))
          .write.mode("append").parquet(f"{root}/events"))
+    return f"{delay} seconds"
 
 
 @query("gather_stream", """
@@ -81,8 +91,7 @@ def gather_stream(spark, d):
     """Hold each query until all its routed sources replied or its time is up."""
     root = scratch_path(spark, "gather")
     stream = _replay(spark, _gather_events(spark, d), root, "events")
-    _beats(spark, root)
-    rows = S.run_available(S.gather_barrier(stream, delay="20 days"), root)
+    rows = S.run_available(S.gather_barrier(stream, delay=_beats(spark, root)), root)
     return S.gathered(rows.where("qid >= 0"))
 
 

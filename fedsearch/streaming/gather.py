@@ -30,7 +30,7 @@ EVENT_SCHEMA = ("qid bigint, ts timestamp, kind string, source_id int, expected
 GATHER_SCHEMA = ("qid bigint, status string, expected int, n_sources int, n_hits bigint, "
                  "bytes bigint, dropped int")
 STATE_SCHEMA = ("expected int, sources array<int>, n_hits bigint, bytes bigint, dropped int, "
-                "deadline bigint, status string")
+                "deadline bigint, status string, early array<array<bigint>>")
 
 QUERY_TIMEOUT_MS = 300_000  # a query waits at most 300 s for its sources
 
@@ -39,16 +39,31 @@ def _make_gather(timeout_ms: int):
     def gather(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         qid = int(key[0])
         if state.exists:
-            expected, sources, n_hits, nbytes, dropped, deadline, status = state.get
+            expected, sources, n_hits, nbytes, dropped, deadline, status, early = state.get
         else:
-            expected, sources, n_hits, nbytes, dropped, deadline, status = -1, [], 0, 0, 0, None, ""
+            expected, sources, n_hits, nbytes, dropped, deadline, status, early = -1, [], 0, 0, 0, None, "", []
         sources = list(sources)
+        # replies (ts, source, n_hits, bytes) that came before their route: only it tells whether they are in time
+        early = [[int(x) for x in reply] for reply in early]
 
         def row(name: str, lost: int = 0) -> pd.DataFrame:
             return pd.DataFrame({"qid": [qid], "status": [name], "expected": [max(expected, 0)],
                                  "n_sources": [len(sources)], "n_hits": [n_hits], "bytes": [nbytes],
                                  "dropped": [lost]})
 
+        def take(ts: int, source: int, hits: int, size: int) -> None:
+            nonlocal dropped, n_hits, nbytes
+            if status or ts > deadline or source in sources:
+                dropped += 1
+            else:
+                sources.append(source)
+                n_hits, nbytes = n_hits + hits, nbytes + size
+
+        def take_early() -> None:
+            for reply in sorted(early):
+                take(*reply)
+            early.clear()
+
         for pdf in [] if state.hasTimedOut else pdfs:
             pdf = pdf.sort_values(["ts", "source_id"], kind="stable")
             at = pdf["ts"].astype("datetime64[ms, UTC]" if pdf["ts"].dt.tz is not None else "datetime64[ms]").astype("int64")
@@ -58,17 +73,19 @@ def _make_gather(timeout_ms: int):
                                                           pdf["n_hits"], pdf["bytes"]):
                 if kind == "route":
                     deadline, expected = int(ts) + timeout_ms, int(want)
-                elif status or ts > deadline or int(source) in sources:
-                    dropped += 1
+                    take_early()
+                elif expected < 0 and not status:
+                    early.append([int(ts), int(source), int(hits), int(size)])
+                    deadline = min(deadline, int(ts) + timeout_ms)
                 else:
-                    sources.append(int(source))
-                    n_hits, nbytes = n_hits + int(hits), nbytes + int(size)
+                    take(int(ts), int(source), int(hits), int(size))
 
         if not status and 0 <= expected <= len(sources):
             status = "complete"
             yield row(status)
         now = state.getCurrentWatermarkMs()
         if not status and now >= deadline:
+            take_early()
             status = "timeout"
             yield row(status)
         # a finished query is kept for one more waiting time: a reply that comes then is
@@ -79,7 +96,7 @@ def _make_gather(timeout_ms: int):
                 yield row("dropped", dropped)
             state.remove()
         else:
-            state.update((expected, sources, n_hits, nbytes, dropped, deadline, status))
+            state.update((expected, sources, n_hits, nbytes, dropped, deadline, status, early))
             state.setTimeoutTimestamp(until)
     return gather
 

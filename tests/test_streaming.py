@@ -41,6 +41,21 @@ def test_gather_is_the_same_for_any_batches(spark, tmp_path, cut):
     assert got == WANT
 
 
+def test_gather_stream_at_any_span_of_event_time(spark, monkeypatch):
+    """Query ids, and so event times, far apart; every event in a file of its own, the last ones first."""
+    from fedsearch.plans import q_stream
+    far = [ev(q, q + sec, *rest, **more) for q in (0, 1_000_000, 2_500_000) for sec, rest, more in (
+        (0, ("route",), {"expected": 2}), (1, ("reply", 0), {"hits": 5}), (400, ("reply", 1), {"hits": 3}))]
+    far += [ev(q, q + sec, *rest, **more) for q in (1, 1_000_001, 2_500_001) for sec, rest, more in (
+        (0, ("route",), {"expected": 1}), (1, ("reply", 0), {"hits": 5}), (2, ("reply", 0), {"hits": 5}))]
+    events = spark.createDataFrame(spark.sparkContext.parallelize(far[::-1], len(far)), S.EVENT_SCHEMA)
+    monkeypatch.setattr(q_stream, "_gather_events", lambda *_: events)
+    got = {r.qid: (r.status, r.expected, r.n_sources, r.n_hits, r.bytes, r.dropped)
+           for r in q_stream.gather_stream(spark, None).collect()}
+    assert got == {q + i: want for q in (0, 1_000_000, 2_500_000)
+                   for i, want in enumerate([("timeout", 2, 1, 5, 50, 1), ("complete", 1, 1, 5, 50, 1)])}
+
+
 def test_running_totals_keep_the_last_batch(spark, tmp_path):
     src = str(tmp_path / "in")
     for b in ([("x", True), ("x", False)], [("y", True)], [("x", True)]):
