@@ -24,12 +24,19 @@ def _lines(df: DataFrame, path: str, *order) -> str:
 
 
 def _file_per(df: DataFrame, path: str, key: str, *order) -> str:
-    """One text file per ``key`` (in the folder ``key=...``), its lines in ``order``."""
+    """One text file per ``key`` (in the folder ``key=...``), its lines in ``order``; for keys of a few lines."""
     (df.repartition(key).sortWithinPartitions(key, *order).select(key, "value")
        .write.partitionBy(key).text(path))
     return path
 
 
+def _parts_per(df: DataFrame, path: str, key: str, *order) -> str:
+    """A folder ``key=...`` of numbered text files per ``key``, their lines in ``order``: a large key is many tasks."""
+    (df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).select(key, "value")
+       .write.partitionBy(key).text(path))
+    return path
+
+
 @query("read_qrels", "SELECT CAST(qid AS VARCHAR) AS qid, CAST(vec_id AS VARCHAR) AS doc_id, rel, "
        "row_number() OVER (ORDER BY q.qid, ord) AS ord FROM qrels q")
 def read_qrels(spark, d):
@@ -93,8 +100,8 @@ SELECT lang AS file, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 A
 def read_chunks(spark, d):
     """Chunk lines keyed by file and line number."""
     value = F.to_json(F.struct(F.col("source").alias("title"), F.col("text").alias("content")))
-    path = _file_per(fx.read(spark, d, "documents").withColumn("value", value), scratch_path(spark, "chunks"), "lang", "doc_id")
-    return R.parse_chunks(R.read_chunks(spark, path, r"/lang=([^/]+)/"))
+    path = _parts_per(fx.read(spark, d, "documents").withColumn("value", value), scratch_path(spark, "chunks"), "lang", "doc_id")
+    return R.parse_chunks(R.read_chunks(spark, path, r"/lang=([^/]+)/", folder=True))
 
 
 @query("read_parallel_lines", """
@@ -105,8 +112,8 @@ def read_parallel_lines(spark, d):
     docs, root = fx.read(spark, d, "documents"), scratch_path(spark, "lines")
     titles = docs.withColumn("value", F.concat_ws(" ", "source", "doc_id"))
     texts = docs.withColumn("value", F.translate("text", "\n\r", "  "))
-    back = R.read_parallel_lines(spark, _file_per(titles, f"{root}/titles", "lang", "doc_id"),
-                                 _file_per(texts, f"{root}/texts", "lang", "doc_id"), r"/lang=([^/]+)/")
+    back = R.read_parallel_lines(spark, _parts_per(titles, f"{root}/titles", "lang", "doc_id"),
+                                 _parts_per(texts, f"{root}/texts", "lang", "doc_id"), r"/lang=([^/]+)/", folder=True)
     return back.select("cluster", F.col("line").cast("bigint").alias("line"), "title", "text")
 
 
@@ -117,7 +124,8 @@ def read_vector_ids(spark, d):
     """Vector keys, line = position."""
     e = fx.read(spark, d, "embeddings").select("label", "vec_id")
     value = F.to_json(F.struct(F.col("label").cast("string").alias("source"), F.col("vec_id").alias("index")))
-    return R.read_vector_ids_jsonl(spark, _file_per(e.withColumn("value", value), scratch_path(spark, "ids"), "label", "vec_id"))
+    path = _parts_per(e.withColumn("value", value), scratch_path(spark, "ids"), "label", "vec_id")
+    return R.read_vector_ids_jsonl(spark, path, folder=True)
 
 
 @query("position_to_doc", """
@@ -129,12 +137,10 @@ def position_to_doc(spark, d):
     from fedsearch.operators.retrieve import positions_to_docs
     c = group_position(fx.corpus(spark, d).select("source_id", "vec_id"), ["source_id"], [F.col("vec_id")], "p")
     c = c.withColumn("pos", F.col("p") - 1)
-    ids = c.select("source_id", "pos", "vec_id").withColumn("value", F.concat(F.lit("d"), "vec_id"))
-    arrays = ids.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("a"))
-    path = scratch_path(spark, "idarrays")
-    (arrays.select("source_id", F.to_json(F.transform("a", lambda x: x["value"])).alias("value"))
-     .write.partitionBy("source_id").text(path))
-    keys = R.read_vector_ids_array(spark, path, r"/source_id=([0-9]+)/")
+    path = scratch_path(spark, "idlines")
+    line = F.to_json(F.struct("pos", F.concat(F.lit("d"), "vec_id").alias("id")))
+    c.select("source_id", line.alias("value")).write.partitionBy("source_id").text(path)
+    keys = R.read_id_lines(spark, path, r"/source_id=([0-9]+)/").withColumnRenamed("id", "doc_id")
     hits = fx.hits(spark, d).select("qid", "source_id", "vec_id").join(c.select("source_id", "vec_id", "pos"), ["source_id", "vec_id"])
     return positions_to_docs(hits.select("qid", "source_id", "pos"), keys).select("qid", "source_id", "pos", "doc_id")
 
@@ -202,24 +208,22 @@ def read_cluster_labels(spark, d):
 SELECT CAST(item_id AS VARCHAR) AS query_id, row_number() OVER (ORDER BY (item_id * 7919) % 1009, item_id) AS pos FROM benchmark""")
 def read_question_order(spark, d):
     """The saved run order."""
-    path = scratch_path(spark, "order")
-    key = F.struct(((F.col("item_id") * 7919) % 1009).alias("k"), "item_id")
-    b = fx.read(spark, d, "benchmark").agg(F.array_sort(F.collect_list(key)).alias("a"))
-    b.select(F.to_json(F.transform("a", lambda x: x["item_id"].cast("string"))).alias("value")).write.text(path)
-    return R.read_question_order(spark, path)
+    from fedsearch.operators.positions import global_position
+    path, item = scratch_path(spark, "order"), F.col("item_id")
+    b = global_position(fx.read(spark, d, "benchmark").select("item_id"), [(item * 7919) % 1009, item])
+    b.select(F.to_json(F.struct("pos", item.cast("string").alias("id"))).alias("value")).write.text(path)
+    return R.read_id_lines(spark, path).select(F.col("id").alias("query_id"), "pos")
 
 
 @query("read_split_manifest", """
 SELECT 'b' || (qid // 10 % 4) AS bank, CAST(qid AS VARCHAR) AS query_id, split FROM split""")
 def read_split_manifest(spark, d):
-    """Split lists nested per bank."""
+    """Split of each question and bank, a line each."""
     path = scratch_path(spark, "manifest")
     s = fx.split(spark, d).select(F.concat(F.lit("b"), (F.floor(F.col("qid") / 10) % 4)).alias("bank"),
-                                  F.col("qid").cast("string").alias("q"), "split")
-    lists = [F.collect_list(F.when(F.col("split") == x, F.col("q"))).alias(x) for x in ("train", "val", "test")]
-    m = s.groupBy("bank").agg(*lists)
-    m.select(F.to_json(F.create_map("bank", F.struct("train", "val", "test"))).alias("value"), "bank").write.partitionBy("bank").text(path)
-    return R.read_split_manifest(spark, path, by_bank=True)
+                                  F.col("qid").cast("string").alias("query_id"), "split")
+    s.write.json(path)
+    return R.read_split_lines(spark, path)
 
 
 @query("read_routing_examples", """

@@ -28,10 +28,13 @@ def _file_order(df: DataFrame) -> DataFrame:
         "_o", F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")))
 
 
-def _line_numbers(df: DataFrame, col: str = "line") -> DataFrame:
-    """0-based line number inside each file."""
-    p = group_position(_file_order(df), ["_file"], [F.col("_o")], "_p")
-    return p.withColumn(col, F.col("_p") - 1).drop("_p", "_o", "group_size")
+def _line_numbers(df: DataFrame, col: str = "line", folder: bool = False) -> DataFrame:
+    """0-based line number inside each file, or over the files of each folder in the order of their names."""
+    rows = _file_order(df)
+    if folder:
+        rows = rows.withColumn("_folder", F.regexp_replace("_file", "[^/]*$", ""))
+    p = group_position(rows, ["_folder"] if folder else ["_file"], [F.col("_file"), F.col("_o")] if folder else [F.col("_o")], "_p")
+    return p.withColumn(col, F.col("_p") - 1).drop("_p", "_o", "_folder", "group_size")
 
 
 # ---- A1 qrels ---------------------------------------------------------------
@@ -106,9 +109,12 @@ def read_corpus_jsonl(spark: SparkSession, path: str, source_id: int | None = No
     return out if source_id is None else out.withColumn("source_id", F.lit(source_id))
 
 
-def read_chunks(spark: SparkSession, path: str, file_pattern: str = r"([^/]+)\.jsonl$") -> DataFrame:
-    """Raw chunk lines keyed by (file name, 0-based line); parse only survivors."""
-    lines = _line_numbers(spark.read.text(path))
+def read_chunks(spark: SparkSession, path: str, file_pattern: str = r"([^/]+)\.jsonl$", folder: bool = False) -> DataFrame:
+    """Raw chunk lines keyed by (file name, 0-based line); parse only survivors.
+
+    ``folder``, here and below: each folder is one file, cut into numbered parts.
+    """
+    lines = _line_numbers(spark.read.text(path), folder=folder)
     stem = F.regexp_extract("_file", file_pattern, 1)
     return lines.select(stem.alias("file"), F.col("line").cast("bigint").alias("line"),
                         F.col("value").alias("raw"))
@@ -121,18 +127,18 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def read_parallel_lines(spark: SparkSession, titles_path: str, texts_path: str,
-                        cluster_pattern: str = r"/([^/]+)/[^/]+$") -> DataFrame:
+                        cluster_pattern: str = r"/([^/]+)/[^/]+$", folder: bool = False) -> DataFrame:
     """Two line-aligned files per cluster, zipped by line number."""
     def numbered(path, col):
-        n = _line_numbers(spark.read.text(path))
+        n = _line_numbers(spark.read.text(path), folder=folder)
         return n.select(F.regexp_extract("_file", cluster_pattern, 1).alias("cluster"),
                         "line", F.col("value").alias(col))
     return numbered(titles_path, "title").join(numbered(texts_path, "text"), ["cluster", "line"])
 
 
-def read_vector_ids_jsonl(spark: SparkSession, path: str) -> DataFrame:
+def read_vector_ids_jsonl(spark: SparkSession, path: str, folder: bool = False) -> DataFrame:
     """Line = vector position; each line a ``{source, index}`` key."""
-    n = _line_numbers(spark.read.text(path))
+    n = _line_numbers(spark.read.text(path), folder=folder)
     j = F.from_json("value", "source string, index bigint")
     return n.select(F.col("line").cast("bigint").alias("pos"), j["source"].alias("file"),
                     j["index"].alias("line_in_file"))
@@ -141,6 +147,7 @@ def read_vector_ids_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_vector_ids_array(spark: SparkSession, path: str, source_re: str | None = None) -> DataFrame:
     """One JSON array of ids per source; array position = vector position.
 
+    An array is one row: for lists of a known size, others go by :func:`read_id_lines`.
     ``source_re`` takes the source's number from the path of its file.
     """
     raw = spark.read.text(path, wholetext=True)
@@ -150,6 +157,14 @@ def read_vector_ids_array(spark: SparkSession, path: str, source_re: str | None
         .withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def read_id_lines(spark: SparkSession, path: str, source_re: str | None = None) -> DataFrame:
+    """An id list of any length: a line ``{pos, id}`` per id, in any number of files -> ([source_id], pos, id)."""
+    j = F.from_json("value", "pos bigint, id string")
+    own = [] if source_re is None else [
+        F.regexp_extract(F.col("_metadata.file_path"), source_re, 1).cast("int").alias("source_id")]
+    return spark.read.text(path).select(*own, j["pos"].alias("pos"), j["id"].alias("id"))
+
+
 # ---- A9-A16 router inputs ------------------------------------------------------
 
 STATS_STRUCT = "struct<centroid: array<double>, num_documents: bigint, density: double>"
@@ -236,6 +251,11 @@ def read_split_manifest(spark: SparkSession, path: str, by_bank: bool = False) -
         .where(F.col("query_id").isNotNull())
 
 
+def read_split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A split manifest of any length: a line ``{bank, query_id, split}`` per id."""
+    return spark.read.schema("bank string, query_id string, split string").json(path)
+
+
 def read_routing_examples(spark: SparkSession, path: str) -> DataFrame:
     """Stored examples (qid, bank, source_id, features, label, split) in parquet."""
     return spark.read.schema("qid string, bank string, source_id int, features array<double>, "
