@@ -15,7 +15,9 @@ words by a hash of the document, so a source that holds a third of all rows
 is a third of all shards; prefix sums run inside a shard. The highest
 quotients are found without listing all: every seat but at most two per
 competitor is settled by bounds on the divisor (see :func:`sainte_lague`).
-Only source rows (one per distinct source) meet in a single task.
+Source rows (one per distinct source) meet in a single task, and so do the
+shard rows of each source: one per ``shard_words`` words, which grows with the
+largest source.
 
 Edge cases. Null text: size 0, nothing taken. Null source: a source of its
 own, last in order. Empty table: empty result. Repeated rows: each is a
