@@ -3,8 +3,11 @@
 A sentence ends at white space after ``. ! ?`` or at a line break. From every
 sentence on, the shortest run of consecutive sentences is hashed that has at
 least ``min_words`` words and ``min_sentences`` sentences (a run of
-``long_words`` words may be a single sentence), so every passage of about
-50 words holds whole runs wherever it stands. Runs with equal 128-bit hashes
+``long_words`` words may be a single sentence). A repeated passage is found
+where whole runs lie in it, not everywhere: a single shorter sentence between
+two that are glued to the host text, unpunctuated text in one long line, and
+sentences that end in other marks (CJK, Arabic, Devanagari) give no run of
+their own. Runs with equal 128-bit hashes
 are one span; all its occurrences but the first (smallest ``doc_id``, then
 place) are repeats, and sentences that any repeat covers are removed.
 
