@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedsearch.llm import (edit_counts, fingerprints, mixing, pii, piece_tokens, quality, simhash_dedup,
+from fedsearch.llm import (edit_counts, filter_audit, fingerprints, mixing, pii, piece_tokens, quality, simhash_dedup,
                            span_dedup, toxicity, warc)
 from fedsearch.llm.common import table
 
@@ -119,3 +119,42 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.compare(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", hex64("fp").alias("fingerprint"),
                         hex64("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, in each of their orders, per source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+ORACLE["op11_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+             100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c,
+             regexp_matches(text, '[#$%&*|]') AS d,
+             coalesce(min(d.doc_id) OVER (PARTITION BY text) < d.doc_id, false) AS e,
+             coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+s AS (SELECT part, a::INT + b::INT * 2 + c::INT * 4 + d::INT * 8 + e::INT * 16 AS fails,
+             count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT * FROM (VALUES ('A', 0), ('B', 1), ('C', 2), ('D', 3), ('E', 4)) v(name, bit)),
+o AS (SELECT x1.name || x2.name || x3.name || x4.name || x5.name AS filter_order,
+             [x1.bit, x2.bit, x3.bit, x4.bit, x5.bit] AS bits
+      FROM x x1, x x2, x x3, x x4, x x5
+      WHERE len(list_distinct([x1.bit, x2.bit, x3.bit, x4.bit, x5.bit])) = 5),
+w AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS bit,
+             CAST(coalesce(list_sum(list_transform(bits[1:step - 1], lambda y: 1 << y)), 0) AS INT) AS before
+      FROM o, range(1, 6) r(step)),
+g AS (SELECT part, filter_order, step, bit,
+             CAST(sum(CASE WHEN fails & (before | (1 << bit)) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+             CAST(sum(CASE WHEN (fails >> bit) & 1 = 1 AND fails & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+             CAST(sum(CASE WHEN (fails >> bit) & 1 = 1 AND fails & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+             CAST(sum(CASE WHEN fails = 1 << bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+             CAST(sum(CASE WHEN (fails >> bit) & 1 = 1 AND fails & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+             CAST(sum(CASE WHEN (fails >> bit) & 1 = 1 AND fails & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+      FROM s, w GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM g"""
