@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedsearch.llm import (edit_counts, filter_audit, fingerprints, mixing, pii, piece_tokens, quality, simhash_dedup,
-                           span_dedup, toxicity, warc)
+from fedsearch.llm import (edit_counts, filter_audit, fingerprints, mixing, pii, piece_tokens, prefix_trie, quality,
+                           simhash_dedup, span_dedup, toxicity, warc)
 from fedsearch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,39 @@ g AS (SELECT part, filter_order, step, bit,
       FROM s, w GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM g"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op12_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, id, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id, words) AS place FROM t),
+c AS (SELECT conv_id, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1),
+          lambda i: ord(substr(conv_id::VARCHAR, i, 1))::UBIGINT)),
+          lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)::UBIGINT[]),
+              lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)),
+          4294967295::UBIGINT) % 4)::INT AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, o.place, o.id, o.words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.place <= c.h
+      UNION ALL SELECT c.conv_id, o.place, o.id, o.words FROM c JOIN o ON o.conv_id = c.conv_id AND o.place > c.h),
+d AS (SELECT conv_id, id, words, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth FROM r),
+p AS (SELECT conv_id, depth, words, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path,
+             coalesce(string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS up FROM d
+      UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+e AS (SELECT conv_id, max(depth) AS n FROM p GROUP BY conv_id),
+n AS (SELECT path, any_value(up) AS up, depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+             sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE e.n = depth), '')) AS ends_sha256
+      FROM p JOIN e ON p.conv_id = e.conv_id GROUP BY path, depth),
+k AS (SELECT up AS path, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON n.path = k.path),
+s AS (SELECT a.path, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved_tokens
+      FROM m JOIN p a ON a.conv_id = m.conv_id AND a.depth <= m.depth GROUP BY a.path)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs,
+       CAST(m.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s ON m.path = s.path LEFT JOIN n u ON m.up = u.path"""
