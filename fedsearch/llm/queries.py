@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedsearch.llm import (edit_counts, filter_audit, fingerprints, mixing, pii, piece_tokens, prefix_trie, quality,
+from fedsearch.llm import (decontamination, edit_counts, filter_audit, fingerprints, mixing, pii, piece_tokens, prefix_trie, quality,
                            simhash_dedup, span_dedup, toxicity, warc)
 from fedsearch.llm.common import table
 
@@ -194,3 +194,32 @@ SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id,
        CAST(m.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
        CAST(s.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
 FROM m JOIN s ON m.path = s.path LEFT JOIN n u ON m.up = u.path"""
+
+
+@query
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document under windows of benchmark items, and these items."""
+    found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", F.size("places").cast("bigint").alias("n_hit"),
+                        F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.size("places") > 0).alias("contaminated"))
+
+
+ORACLE["op13_benchmark_decontamination"] = r"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS gram, least(len(w), 10) AS n
+      FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(regexp_extract_all(translate(text,
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+v AS (SELECT id, n, p, array_to_string(w[p:p + n - 1], ' ') AS gram
+      FROM (SELECT id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM i))),
+h AS (SELECT v.id, v.p, v.n, v.gram FROM v WHERE (v.gram, v.n) IN (SELECT gram, n FROM i)),
+c AS (SELECT id, count(DISTINCT q) AS n_hit FROM (SELECT id, unnest(range(p, p + n)) AS q FROM h) GROUP BY id),
+t AS (SELECT id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+      FROM (SELECT DISTINCT h.id, i.item_id FROM h JOIN i ON h.gram = i.gram WHERE i.item_id IS NOT NULL) GROUP BY id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.id = c.id LEFT JOIN t ON d.id = t.id"""
