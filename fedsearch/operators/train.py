@@ -1,8 +1,7 @@
-"""Router training as a Spark job (survey 2.N, H8, G11, G12, C9).
+"""Preparing router training (survey H8, G11, G12, C9).
 
 examples (qid, source_id, features ARRAY<DOUBLE>, label INT, split STRING)
-  -> fit_scaler on the train split only -> scale -> LogisticRegression with a
-  class weight -> probabilities -> threshold tuned on validation (Youden).
+  -> fit_scaler on the train split only -> scale -> ``router_training``.
 """
 
 from __future__ import annotations
@@ -90,56 +89,3 @@ def class_weights(labels: DataFrame, label: str = "label") -> DataFrame:
         F.try_divide(neg.cast("double"), pos.cast("double")).alias("neg_over_pos"),
         (F.lit(5.0) * neg / (pos + F.lit(1e-6))).alias("scaled_neg_over_pos"),
         F.try_divide(F.count(F.lit(1)).cast("double"), pos.cast("double")).alias("all_over_pos"))
-
-
-def with_class_weight(examples: DataFrame, label: str = "label", col: str = "weight") -> DataFrame:
-    """Weight positives by neg/pos (computed on the train split), negatives by 1."""
-    w = class_weights(examples.where(F.col("split") == "train"), label).select("neg_over_pos").scalar()
-    return examples.withColumn(col, F.when(F.col(label) == 1, F.coalesce(w, F.lit(1.0))).otherwise(F.lit(1.0)))
-
-
-def train_router(examples: DataFrame, features: str = "scaled", max_iter: int = 50,
-                 reg_param: float = 0.01):
-    """Fit a weighted logistic router on the train split.
-
-    The survey's MLP has no weighted equivalent in Spark ML; logistic
-    regression over [query | centroid | one-hot | query*centroid] is the
-    built-in, distributed stand-in. Same weights are not a goal.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    train = (with_class_weight(examples)
-             .where(F.col("split") == "train")
-             .select(array_to_vector(features).alias("fv"), F.col("label").cast("double").alias("y"), "weight"))
-    lr = LogisticRegression(featuresCol="fv", labelCol="y", weightCol="weight",
-                            maxIter=max_iter, regParam=reg_param)
-    return lr.fit(train)
-
-
-def predict_router(model, examples: DataFrame, features: str = "scaled") -> DataFrame:
-    """Add ``prob`` = P(source is needed) to every example."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    scored = model.transform(examples.withColumn("fv", array_to_vector(features)))
-    return scored.withColumn("prob", vector_to_array("probability")[1]) \
-        .drop("fv", "rawPrediction", "probability", "prediction")
-
-
-def interaction_features(qv: str, centroid: str) -> Column:
-    """Element products query*centroid: lets a linear router see their agreement."""
-    return F.zip_with(F.col(qv), F.col(centroid), lambda a, b: a * b)
-
-
-def select_router(examples: DataFrame, reg_grid: tuple[float, ...] = (0.1, 1.0),
-                  features: str = "scaled"):
-    """Fit one router per regularisation strength and keep the one with the best
-    validation AUC; the first (weakest) wins ties (N2, N4). Returns (model, reg, auc)."""
-    from fedsearch.operators.metrics import roc_auc
-    best = None
-    for reg in reg_grid:
-        model = train_router(examples, features, reg_param=reg)
-        val = predict_router(model, examples.where(F.col("split") == "val"), features)
-        auc = roc_auc(val).first()["auc"]
-        if best is None or auc > best[2]:
-            best = (model, reg, auc)
-    return best
