@@ -204,26 +204,46 @@ def read_cluster_labels(spark, d):
     return R.read_cluster_labels(spark, _file_per(lines, scratch_path(spark, "clusters"), "qid", "source_id"), r"/qid=([^/]+)/")
 
 
+def _array_lines(df: DataFrame, item, key: list[str], order, path: str) -> str:
+    """A JSON array of ``item`` per ``key`` (all rows: no key), an element a line, as numbered part files of a folder."""
+    from fedsearch.operators.positions import global_position, group_position
+    if key:
+        p = group_position(df, key, order, "_p")
+    else:
+        p = global_position(df, order, "_p").withColumn("group_size", df.agg(F.count(F.lit(1))).scalar())
+    value = F.concat(F.when(F.col("_p") == 1, "[").otherwise(""), item, F.when(F.col("_p") == F.col("group_size"), "]").otherwise(","))
+    rows = p.withColumn("value", value)
+    return _parts_per(rows, path, key[0], "_p") if key else _lines(rows, path, "_p")
+
+
 @query("read_question_order", """
 SELECT CAST(item_id AS VARCHAR) AS query_id, row_number() OVER (ORDER BY (item_id * 7919) % 1009, item_id) AS pos FROM benchmark""")
 def read_question_order(spark, d):
-    """The saved run order."""
-    from fedsearch.operators.positions import global_position
-    path, item = scratch_path(spark, "order"), F.col("item_id")
-    b = global_position(fx.read(spark, d, "benchmark").select("item_id"), [(item * 7919) % 1009, item])
-    b.select(F.to_json(F.struct("pos", item.cast("string").alias("id"))).alias("value")).write.text(path)
-    return R.read_id_lines(spark, path).select(F.col("id").alias("query_id"), "pos")
+    """The saved run order, one JSON array."""
+    item = F.col("item_id")
+    path = _array_lines(fx.read(spark, d, "benchmark").select("item_id"), F.concat(F.lit('"'), item.cast("string"), F.lit('"')), [],
+                        [(item * 7919) % 1009, item], scratch_path(spark, "order"))
+    return R.read_question_order(spark, path, folder=True)
+
+
+@query("read_vector_ids_array", """
+SELECT CAST(source_id AS INTEGER) AS source_id, row_number() OVER (PARTITION BY source_id ORDER BY vec_id) - 1 AS pos,
+       'd, "' || vec_id || '"' AS doc_id FROM corpus""")
+def read_vector_ids_array(spark, d):
+    """A JSON array of ids per source; ids hold commas and quotes."""
+    c = fx.corpus(spark, d).select("source_id", "vec_id")
+    name = F.to_json(F.array(F.concat(F.lit('d, "'), "vec_id", F.lit('"'))))
+    path = _array_lines(c, F.substring(name, F.lit(2), F.length(name) - 2), ["source_id"], [F.col("vec_id")], scratch_path(spark, "idarray"))
+    return R.read_vector_ids_array(spark, path, r"/source_id=([0-9]+)/", folder=True)
 
 
 @query("read_split_manifest", """
 SELECT 'b' || (qid // 10 % 4) AS bank, CAST(qid AS VARCHAR) AS query_id, split FROM split""")
 def read_split_manifest(spark, d):
-    """Split of each question and bank, a line each."""
-    path = scratch_path(spark, "manifest")
-    s = fx.split(spark, d).select(F.concat(F.lit("b"), (F.floor(F.col("qid") / 10) % 4)).alias("bank"),
-                                  F.col("qid").cast("string").alias("query_id"), "split")
-    s.write.json(path)
-    return R.read_split_lines(spark, path)
+    """Split of each question, one JSON object of banks of id lists."""
+    s = fx.split(spark, d).select(F.concat(F.lit("b"), (F.floor(F.col("qid") / 10) % 4)).alias("bank"), "qid", "split")
+    path = S.write_split_manifest(s, scratch_path(spark, "manifest"))
+    return R.read_split_manifest(spark, path, by_bank=True, folder=True)
 
 
 @query("read_routing_examples", """

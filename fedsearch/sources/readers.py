@@ -1,9 +1,8 @@
 """Readers for the reference's input formats (survey 2.A).
 
 Every reader declares its schema; nothing is inferred. Positions that carry
-meaning (file order, line numbers, row ids) are fixed at ingest by
-``global_position``/``group_position``: range-partitioned numbering over an
-order key that follows the file, never a single-task window.
+meaning (file order, line numbers, places in a JSON list) are fixed at ingest
+from offsets by split (``numbering``): no text is shuffled to be numbered.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fedsearch.functions.text import py_strip
-from fedsearch.operators.positions import global_position, group_position
+from fedsearch.operators.positions import global_position
+from fedsearch.sources.numbering import item_parts, json_items, numbered_lines, with_keys
 
 
 def _file_order(df: DataFrame) -> DataFrame:
@@ -28,15 +28,6 @@ def _file_order(df: DataFrame) -> DataFrame:
         "_o", F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")))
 
 
-def _line_numbers(df: DataFrame, col: str = "line", folder: bool = False) -> DataFrame:
-    """0-based line number inside each file, or over the files of each folder in the order of their names."""
-    rows = _file_order(df)
-    if folder:
-        rows = rows.withColumn("_folder", F.regexp_replace("_file", "[^/]*$", ""))
-    p = group_position(rows, ["_folder"] if folder else ["_file"], [F.col("_file"), F.col("_o")] if folder else [F.col("_o")], "_p")
-    return p.withColumn(col, F.col("_p") - 1).drop("_p", "_o", "_folder", "group_size")
-
-
 # ---- A1 qrels ---------------------------------------------------------------
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -44,16 +35,15 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
     Malformed lines are kept with a ``reject_reason`` instead of failing.
     """
-    raw = _file_order(spark.read.text(path)).where(F.length(py_strip("value")) > 0)
+    raw = numbered_lines(spark.read.text(path), "_place", "all", keep=F.length(py_strip("value")) > 0)
     f = F.split(py_strip("value"), r"(?U)[\s\x1c-\x1f]+")
     out = raw.select(
         F.try_element_at(f, F.lit(1)).alias("qid"), F.try_element_at(f, F.lit(3)).alias("doc_id"),
-        F.try_element_at(f, F.lit(4)).alias("rel_text"), F.size(f).alias("_n"), "_file", "_o")
+        F.try_element_at(f, F.lit(4)).alias("rel_text"), F.size(f).alias("_n"), (F.col("_place") + 1).alias("ord"))
     out = out.withColumn("rel", F.expr("try_cast(rel_text AS INT)")) \
         .withColumn("reject_reason", F.when(F.col("_n") != 4, "expected 4 fields")
                     .when(F.col("rel").isNull(), "relevance not an integer"))
-    pos = global_position(out, [F.col("_file"), F.col("_o")], "ord")
-    return pos.select("qid", "doc_id", "rel", "ord", "reject_reason")
+    return out.select("qid", "doc_id", "rel", "ord", "reject_reason")
 
 
 # ---- A2-A4 questions ------------------------------------------------------------
@@ -109,12 +99,16 @@ def read_corpus_jsonl(spark: SparkSession, path: str, source_id: int | None = No
     return out if source_id is None else out.withColumn("source_id", F.lit(source_id))
 
 
+def _scope(folder: bool) -> str:
+    return "folder" if folder else "file"
+
+
 def read_chunks(spark: SparkSession, path: str, file_pattern: str = r"([^/]+)\.jsonl$", folder: bool = False) -> DataFrame:
     """Raw chunk lines keyed by (file name, 0-based line); parse only survivors.
 
     ``folder``, here and below: each folder is one file, cut into numbered parts.
     """
-    lines = _line_numbers(spark.read.text(path), folder=folder)
+    lines = numbered_lines(spark.read.text(path), "line", _scope(folder))
     stem = F.regexp_extract("_file", file_pattern, 1)
     return lines.select(stem.alias("file"), F.col("line").cast("bigint").alias("line"),
                         F.col("value").alias("raw"))
@@ -130,7 +124,7 @@ def read_parallel_lines(spark: SparkSession, titles_path: str, texts_path: str,
                         cluster_pattern: str = r"/([^/]+)/[^/]+$", folder: bool = False) -> DataFrame:
     """Two line-aligned files per cluster, zipped by line number."""
     def numbered(path, col):
-        n = _line_numbers(spark.read.text(path), folder=folder)
+        n = numbered_lines(spark.read.text(path), "line", _scope(folder))
         return n.select(F.regexp_extract("_file", cluster_pattern, 1).alias("cluster"),
                         "line", F.col("value").alias(col))
     return numbered(titles_path, "title").join(numbered(texts_path, "text"), ["cluster", "line"])
@@ -138,23 +132,21 @@ def read_parallel_lines(spark: SparkSession, titles_path: str, texts_path: str,
 
 def read_vector_ids_jsonl(spark: SparkSession, path: str, folder: bool = False) -> DataFrame:
     """Line = vector position; each line a ``{source, index}`` key."""
-    n = _line_numbers(spark.read.text(path), folder=folder)
+    n = numbered_lines(spark.read.text(path), "line", _scope(folder))
     j = F.from_json("value", "source string, index bigint")
     return n.select(F.col("line").cast("bigint").alias("pos"), j["source"].alias("file"),
                     j["index"].alias("line_in_file"))
 
 
-def read_vector_ids_array(spark: SparkSession, path: str, source_re: str | None = None) -> DataFrame:
+def read_vector_ids_array(spark: SparkSession, path: str, source_re: str | None = None, folder: bool = False) -> DataFrame:
     """One JSON array of ids per source; array position = vector position.
 
-    An array is one row: for lists of a known size, others go by :func:`read_id_lines`.
-    ``source_re`` takes the source's number from the path of its file.
+    The array is read in splits, whatever its length. ``source_re`` takes the
+    source's number from the path of its file.
     """
-    raw = spark.read.text(path, wholetext=True)
-    own = [] if source_re is None else [
-        F.regexp_extract(F.col("_metadata.file_path"), source_re, 1).cast("int").alias("source_id")]
-    return raw.select(*own, F.posexplode(F.from_json("value", "array<string>")).alias("pos", "doc_id")) \
-        .withColumn("pos", F.col("pos").cast("bigint"))
+    items = item_parts(json_items(spark, path, folder)).where("has_scalar")
+    own = [] if source_re is None else [F.regexp_extract("file", source_re, 1).cast("int").alias("source_id")]
+    return items.select(*own, F.col("place").alias("pos"), F.col("scalar").alias("doc_id"))
 
 
 def read_id_lines(spark: SparkSession, path: str, source_re: str | None = None) -> DataFrame:
@@ -188,7 +180,7 @@ def read_cached_hits(spark: SparkSession, texts_glob: str, scores_glob: str, k:
     texts = spark.read.text(texts_glob, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), qid_re, 1).alias("query_id"),
         F.from_json("value", "array<string>").alias("docs"))
-    scores = _line_numbers(spark.read.text(scores_glob)).select(
+    scores = numbered_lines(spark.read.text(scores_glob), "line").select(
         F.regexp_extract("_file", qid_re, 1).alias("query_id"), "line",
         py_strip("value").cast("double").alias("score"))
     docs = texts.select("query_id", F.posexplode(F.slice("docs", 1, k)).alias("line", "doc"))
@@ -229,31 +221,17 @@ def read_cluster_labels(spark: SparkSession, path: str,
     return raw.where(v.rlike("^[0-9]+$")).select(qid.alias("query_id"), v.cast("int").alias("source_id")).distinct()
 
 
-def read_question_order(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of ids fixing the run order -> (query_id, pos 1..)."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "query_id")) \
-        .select("query_id", (F.col("pos") + 1).cast("bigint").alias("pos"))
-
-
-def read_split_manifest(spark: SparkSession, path: str, by_bank: bool = False) -> DataFrame:
-    """train/val/test id lists -> (bank, query_id, split); medrag nests them per bank."""
-    raw = spark.read.text(path, wholetext=True)
-    st = "struct<train: array<string>, val: array<string>, test: array<string>>"
-    if by_bank:
-        e = raw.select(F.explode(F.from_json("value", f"map<string, {st}>")).alias("bank", "s"))
-    else:
-        e = raw.select(F.lit(None).cast("string").alias("bank"), F.from_json("value", st).alias("s"))
-    parts = F.array(*[F.struct(F.lit(n).alias("split"), F.col(f"s.{n}").alias("ids"))
-                      for n in ("train", "val", "test")])
-    x = e.select("bank", F.explode(parts).alias("p"))
-    return x.select("bank", F.explode_outer("p.ids").alias("query_id"), F.col("p.split").alias("split")) \
-        .where(F.col("query_id").isNotNull())
+def read_question_order(spark: SparkSession, path: str, folder: bool = False) -> DataFrame:
+    """JSON array of ids fixing the run order -> (query_id, pos 1..), read in splits."""
+    items = item_parts(json_items(spark, path, folder)).where("has_scalar")
+    return items.select(F.col("scalar").alias("query_id"), (F.col("place") + 1).alias("pos"))
 
 
-def read_split_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A split manifest of any length: a line ``{bank, query_id, split}`` per id."""
-    return spark.read.schema("bank string, query_id string, split string").json(path)
+def read_split_manifest(spark: SparkSession, path: str, by_bank: bool = False, folder: bool = False) -> DataFrame:
+    """train/val/test id lists -> (bank, query_id, split), read in splits; medrag nests them per bank."""
+    ids = with_keys(item_parts(json_items(spark, path, folder))).where(F.col("inner").isin("train", "val", "test"))
+    bank = F.col("outer") if by_bank else F.lit(None).cast("string")
+    return ids.select(bank.alias("bank"), F.col("scalar").alias("query_id"), F.col("inner").alias("split"))
 
 
 def read_routing_examples(spark: SparkSession, path: str) -> DataFrame:

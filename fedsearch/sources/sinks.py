@@ -84,6 +84,38 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def write_split_manifest(rows: DataFrame, path: str) -> str:
+    """``bank, qid, split`` as one JSON object ``{bank: {split: [id, ...]}}``, an id a line, in the part files of a folder.
+
+    Read in the order of their names the parts are the object's text, so a
+    manifest of any size is written by many tasks. Returns ``path``.
+    """
+    from fedsearch.operators.positions import group_position
+    p = group_position(rows, ["bank", "split"], [F.col("qid")], "_p")
+    # one row per list
+    lists = rows.groupBy("bank", "split").agg(F.count(F.lit(1)).alias("n"))
+    banks = lists.groupBy("bank").agg(F.min("split").alias("_first"), F.max("split").alias("_last"))
+    ends = banks.agg(F.min("bank").alias("a"), F.max("bank").alias("z"))
+    p = (p.join(F.broadcast(banks), "bank").withColumn("_a", ends.select("a").scalar()).withColumn("_z", ends.select("z").scalar()))
+
+    def text(c):
+        one = F.to_json(F.array(c))
+        return F.substring(one, F.lit(2), F.length(one) - 2)
+
+    opens, closes = F.col("_p") == 1, F.col("_p") == F.col("group_size")
+    opens_bank, closes_bank = opens & (F.col("split") == F.col("_first")), closes & (F.col("split") == F.col("_last"))
+    none = F.lit("")
+    value = F.concat(
+        F.when(opens_bank & (F.col("bank") == F.col("_a")), "{").otherwise(none),
+        F.when(opens_bank, F.concat(text(F.col("bank")), F.lit(": {"))).otherwise(none),
+        F.when(opens, F.concat(text(F.col("split")), F.lit(": ["))).otherwise(none),
+        text(F.col("qid").cast("string")), F.when(closes, "]").otherwise(none), F.when(closes_bank, "}").otherwise(none),
+        F.when(closes_bank & (F.col("bank") == F.col("_z")), "}").otherwise(","))
+    order = ["bank", "split", "_p"]
+    (p.withColumn("value", value).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path))
+    return path
+
+
 def upsert_metrics(old: DataFrame, new: DataFrame, key: str, path: str) -> DataFrame:
     """Replace rows of known keys, append the rest, write as a new version."""
     merged = old.join(new.select(key), key, "left_anti").unionByName(new)
