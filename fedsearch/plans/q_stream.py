@@ -2,8 +2,9 @@
 
 Each query writes its events (derived from the tables by Spark, in as many
 files as the plan has tasks) under the session's ``spark.checkpoint.dir``,
-replays them as a file stream, one file per core and trigger, drains it with
-``availableNow`` and returns the result.
+replays them as a file stream, one file per core and trigger or, where event
+time counts, a range of time per trigger, drains it with ``availableNow`` and
+returns the result.
 """
 
 from __future__ import annotations
@@ -48,25 +49,24 @@ def _gather_events(spark, d):
     return S.route_events(routed, queries).unionByName(S.reply_events(replies.unionByName(again)))
 
 
-def _beats(spark, root: str) -> str:
-    """Two events behind all others, a file each: what is still open times out. Returns the watermark delay.
+#: How far events may come out of order: the replay is in time order, so any time will do.
+DELAY = "30 seconds"
 
-    Files are replayed in no time order, so the delay is the whole span of the events: none is late,
-    whatever their number. The beats lie a delay and twice the waiting time behind the last event."""
-    low, high = spark.read.parquet(f"{root}/events").agg(
-        F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts")) + 1).first()
-    if high is None:  # no event: any time will do
-        low = high = 0
-    wait = S.QUERY_TIMEOUT_MS // 1000
-    delay = high - low + wait
+
+def _replay_in_time(spark, events, root: str):
+    """Events replayed in the order of their times, a range of time per micro-batch."""
+    files = S.write_in_time_order(events, f"{root}/events")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/events")
+
+
+def _close(spark, root: str, schema, **cells) -> None:
+    """An event far behind all others: what is open at the end of the replay times out."""
+    high = spark.read.schema(schema).parquet(f"{root}/events").agg(F.unix_seconds(F.max("ts"))).first()[0] or 0
     for beat in (1, 2):
-        (spark.range(1).select(F.lit(-beat).cast("bigint").alias("qid"),
-                               F.timestamp_seconds(F.lit(high + delay + 2 * wait + beat)).alias("ts"),
-                               F.lit("route").alias("kind"), F.lit(None).cast("int").alias("source_id"),
-                               F.lit(0).alias("expected"), F.lit(None).cast("bigint").alias("n_hits"),
-                               F.lit(None).cast("bigint").alias("bytes"))
-         .write.mode("append").parquet(f"{root}/events"))
-    return f"{delay} seconds"
+        at = F.timestamp_seconds(F.lit(high + 86_400 * beat))
+        row = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in ("ts", *cells)]
+        (spark.range(1).select(at.alias("ts"), *row, *[F.lit(v).cast(schema[k].dataType).alias(k) for k, v in cells.items()])
+         .select(*schema.names).write.mode("append").parquet(f"{root}/events"))
 
 
 @query("gather_stream", """
@@ -90,11 +90,54 @@ FROM c""")
 def gather_stream(spark, d):
     """Hold each query until all its routed sources replied or its time is up."""
     root = scratch_path(spark, "gather")
-    stream = _replay(spark, _gather_events(spark, d), root, "events")
-    rows = S.run_available(S.gather_barrier(stream, delay=_beats(spark, root)), root)
+    stream = _replay_in_time(spark, _gather_events(spark, d), root)
+    _close(spark, root, stream.schema, qid=-1, kind="route", expected=0)
+    rows = S.run_available(S.gather_barrier(stream, delay=DELAY), root)
     return S.gathered(rows.where("qid >= 0"))
 
 
+ADMIT_LIMIT = 100
+
+
+def _events(spark, d):
+    """The events with ``ts`` as an instant: the table's times have no zone and are UTC."""
+    e = fx.read(spark, d, "events")
+    if dict(e.dtypes)["ts"] == "timestamp":
+        return e
+    return e.withColumn("ts", F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), "ts")))
+
+
+@query("admission_stream", f"""
+WITH RECURSIVE e AS (
+  SELECT user_id // 15 AS router, event_id AS qid, epoch_us(ts) // 1000 AS arrived,
+         CAST(1000 * floor(abs(value) * 6000) AS BIGINT) + 60000 AS duration,
+         row_number() OVER (PARTITION BY user_id // 15 ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+w AS (
+  SELECT router, i, qid, arrived, arrived AS started, [arrived + duration] AS ends FROM e WHERE i = 1
+  UNION ALL
+  SELECT router, i, qid, arrived, s,
+         list_sort(list_append(CASE WHEN len(ends) < {ADMIT_LIMIT} THEN ends ELSE ends[2:] END, s + duration))
+  FROM (SELECT e.router, e.i, e.qid, e.arrived, e.duration, w.ends,
+               CASE WHEN len(w.ends) < {ADMIT_LIMIT} THEN e.arrived ELSE greatest(e.arrived, w.ends[1]) END AS s
+        FROM w JOIN e ON e.router = w.router AND e.i = w.i + 1))
+SELECT CAST(router AS VARCHAR) AS router, qid, started - arrived AS waited_ms, started AS started_ms FROM w""")
+def admission_stream(spark, d):
+    """At most 100 queries of a router run at a time; start and waiting time of each (L6). A router serves 15 users."""
+    root, seconds = scratch_path(spark, "admission"), F.floor(F.abs("value") * 6000).cast("bigint")
+    router = F.floor(F.col("user_id") / 15).cast("string")
+    q = _events(spark, d).select(router.alias("router"), F.col("event_id").alias("qid"), "ts",
+                                           (seconds * 1000 + 60_000).alias("duration_ms"))
+    stream = _replay_in_time(spark, q, root)
+    routers = q.select("router").distinct()  # the services of a deployment
+    high = q.agg(F.max("ts")).scalar()
+    closing = routers.select("router", F.lit(-1).cast("bigint").alias("qid"), (high + F.expr("interval 2 day")).alias("ts"),
+                             F.lit(0).cast("bigint").alias("duration_ms"))
+    for _ in range(2):
+        closing.coalesce(1).write.mode("append").parquet(f"{root}/events")
+    rows = S.run_available(S.admission(stream, ADMIT_LIMIT, DELAY), root)
+    return rows.where("qid >= 0").select("router", "qid", "waited_ms", F.unix_millis("started").alias("started_ms"))
+
+
 @query("running_accuracy_stream", """
 SELECT bank, count(*) AS total, CAST(sum(CAST(correct AS INTEGER)) AS BIGINT) AS n_correct,
        round(avg(CAST(correct AS INTEGER)), 6) AS accuracy
@@ -146,3 +189,16 @@ def stream_skip_done(spark, d):
     items = _replay(spark, fx.read(spark, d, "benchmark").select("item_id"), root, "items")
     done = fx.read(spark, d, "labels").select(F.col("doc_id").alias("item_id"))
     return S.run_available(S.skip_done_stream(items, done, ["item_id"]), root)
+
+
+@query("stream_skip_repeats", """
+SELECT DISTINCT user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.user_id)""")
+def stream_skip_repeats(spark, d):
+    """Questions that arrive again and again: each passes once, none that the done log has."""
+    root = scratch_path(spark, "skiprepeats")
+    asked = _events(spark, d).select("user_id", "ts")
+    done = fx.read(spark, d, "labels").select(F.col("doc_id").alias("user_id"))
+    # the bound covers the whole log: a question asked again at any later time is known
+    span = asked.agg(F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts")) + 1).first()[0] or 1
+    stream = _replay_in_time(spark, asked, root)
+    return S.run_available(S.skip_done_stream(stream, done, ["user_id"], "ts", f"{span} seconds"), root).select("user_id")

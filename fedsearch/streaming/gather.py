@@ -19,13 +19,17 @@ not depend on where micro-batches are cut.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heappush, heapreplace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fedsearch.session import store
+
 EVENT_SCHEMA = ("qid bigint, ts timestamp, kind string, source_id int, expected int, n_hits bigint, bytes bigint")
 GATHER_SCHEMA = ("qid bigint, status string, expected int, n_sources int, n_hits bigint, "
                  "bytes bigint, dropped int")
@@ -137,9 +141,90 @@ def running_accuracy(graded: DataFrame, by: list[str]) -> DataFrame:
                                    F.avg(c.cast("double")).alias("accuracy"))
 
 
-def skip_done_stream(stream: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Never answer the same question twice: stream-static anti join."""
-    return stream.join(done.select(*keys).distinct(), keys, "left_anti")
+def skip_done_stream(stream: DataFrame, done: DataFrame, keys: list[str], ts: str | None = None,
+                     bound: str = "1 hour") -> DataFrame:
+    """Never answer the same question twice (L8): a stream-static anti join with the log of earlier runs and, with the
+    event time ``ts``, the first of the questions that the stream itself repeats within ``bound``."""
+    fresh = stream.join(done.select(*keys).distinct(), keys, "left_anti")
+    return fresh if ts is None else fresh.withWatermark(ts, bound).dropDuplicatesWithinWatermark(keys)
+
+
+ADMITTED_SCHEMA = "router string, qid bigint, arrived timestamp, started timestamp, waited_ms bigint, waiting int"
+_QUEUE_SCHEMA = "ends array<bigint>, held array<array<bigint>>, starts array<bigint>"
+
+
+def _make_admission(limit: int):
+    def admit(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # ends: when the running queries end (a heap); held: (arrival, qid, duration) behind the watermark;
+        # starts: starts still to come, in order
+        ends, held, starts = ([list(x) for x in state.get] if state.exists else ([], [], []))
+        held = [tuple(int(x) for x in h) for h in held]
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                at = pdf["ts"].astype("datetime64[ms, UTC]" if pdf["ts"].dt.tz is not None else "datetime64[ms]").astype("int64")
+                held += zip(at.tolist(), pdf["qid"].tolist(), pdf["duration_ms"].tolist())
+        now = state.getCurrentWatermarkMs()
+        held.sort()
+        due = bisect_left(held, (now,))  # no earlier arrival can come any more
+        out = []
+        for arrived, qid, duration in held[:due]:
+            start = arrived if len(ends) < limit else max(arrived, ends[0])
+            if len(ends) < limit:
+                heappush(ends, start + duration)
+            else:
+                heapreplace(ends, start + duration)
+            starts = starts[bisect_right(starts, arrived):]
+            out.append((str(key[0]), qid, arrived, start, start - arrived, len(starts)))
+            starts.append(start)
+        held = held[due:]
+        state.update((ends, [list(h) for h in held], starts))
+        if held:  # fires once the watermark has passed all that are held
+            state.setTimeoutTimestamp(max(held[-1][0], now) + 1)
+        if out:
+            rows = pd.DataFrame(out, columns=["router", "qid", "arrived", "started", "waited_ms", "waiting"])
+            for c in ("arrived", "started"):
+                rows[c] = pd.to_datetime(rows[c], unit="ms")
+            yield rows
+    return admit
+
+
+def admission(queries: DataFrame, limit: int, delay: str) -> DataFrame:
+    """At most ``limit`` queries of a router run at a time, the others wait in the order of their arrival.
+
+    ``queries``: a stream of ``router, qid, ts, duration_ms``. A query starts
+    when it arrives or, if ``limit`` are running, when the first of them ends;
+    its row says when, how long it waited and how many waited before it.
+    Arrivals are held until the watermark has passed them, so the outcome
+    does not depend on how the stream is cut. A router is one queue and so
+    one key: its state is ``limit`` end times, the starts still ahead and the
+    arrivals within ``delay``.
+    """
+    return queries.withWatermark("ts", delay).groupBy("router").applyInPandasWithState(
+        _make_admission(limit), ADMITTED_SCHEMA, _QUEUE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def write_in_time_order(events: DataFrame, path: str, ts: str = "ts", slices: int = 6, rows_per_file: int = 50_000) -> int:
+    """Write ``events`` as files that a file stream reads in the order of event time; files per trigger.
+
+    A file stream takes files by their age. The events are cut into ``slices``
+    ranges of time with about equally many rows, written one after the other
+    as the same number of files each: with that number per trigger, a
+    micro-batch is a range of time and no event comes behind a later one.
+    """
+    spark = events.sparkSession
+    rows = store(events.repartitionByRange(ts).sortWithinPartitions(ts), "events")  # a slice reads its own part
+    cuts = [(i + 1) / slices for i in range(slices - 1)]
+    found = rows.agg(F.percentile_approx(F.unix_micros(ts), F.array(*map(F.lit, cuts)), 10_000).alias("c"),
+                     F.count(F.lit(1)).alias("n")).first()
+    bounds = sorted({c for c in found.c or []})
+    # few enough that no file of a slice is empty
+    files = max(1, min(spark.sparkContext.defaultParallelism, found.n // slices // rows_per_file))
+    at = F.timestamp_micros
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = rows if low is None else rows.where(F.col(ts) >= at(F.lit(low)))
+        part = part if high is None else part.where(F.col(ts) < at(F.lit(high)))
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+    return files
 
 
 def start(df: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None, **trigger):
