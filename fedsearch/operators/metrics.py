@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from fedsearch.functions.vectors import cosine
 from fedsearch.operators.positions import prefix_sums
-from fedsearch.session import store
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -135,54 +134,65 @@ def accuracy(graded: DataFrame, by: list[str], correct: str = "correct",
                  F.avg(c.cast("double")).alias("accuracy"))
 
 
+#: Relative rank error of the sketch that guides :func:`exact_quantiles` is one over this.
+SKETCH_ACCURACY = 10_000
+#: Share of a group's ranks taken on each side of a target: with the error and the two places that a quantile needs,
+#: enough for groups of ``SMALL_GROUP`` rows and more; smaller ones are taken whole.
+SLACK, SMALL_GROUP = 0.002, 2_000
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str,
                     probs: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Linear-interpolation quantiles (``percentile``/``quantile_cont``), exact.
 
-    Values collapse to a (group, value, count) histogram; range-partitioned
-    prefix counts place every row; each group then needs only the two rows
-    around each target position. Output: by..., p, q.
+    A mergeable sketch per group (partially aggregated) gives an interval
+    around each target that is sure to hold it. A second pass counts what is
+    below each interval and collapses the few rows inside to a histogram;
+    only this histogram is ordered (range-partitioned prefix counts).
+    Output: by..., p, q.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x")) \
+    rows = df.where(F.col(value).isNotNull())
+    ends = [0.0, 1.0, *(max(p - SLACK, 0.0) for p in probs), *(min(p + SLACK, 1.0) for p in probs)]
+    sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                                   F.percentile_approx(value, F.array(*map(F.lit, ends)), SKETCH_ACCURACY).alias("e"))
+    small = F.col("n") < SMALL_GROUP
+
+    def end(whole: int, place: int) -> Column:
+        return F.get("e", F.when(small, F.lit(whole)).otherwise(F.lit(place)))
+
+    targets = F.array(*[F.struct(F.lit(float(p)).alias("p"), end(0, 2 + i).alias("low"), end(1, 2 + len(probs) + i).alias("high"))
+                        for i, p in enumerate(probs)])
+    x = F.col(value)
+    near = rows.join(sketch.select(*by, "n", targets.alias("t")), by).select(
+        *by, "n", x.alias("x"), F.explode(F.filter("t", lambda t: x <= t["high"])).alias("t"))
+    # rows below an interval have no value of their own: one row per task and target after the map-side combine
+    hist = near.groupBy(*by, "n", F.col("t.p").alias("p"), F.when(F.col("x") >= F.col("t.low"), F.col("x")).alias("x")) \
         .agg(F.count(F.lit(1)).alias("c"))
-    ps = store(prefix_sums(hist, by, [F.col("x").asc()], ["c"]).select(*by, "x", "c", "cum_c", "tot_c"), "quantiles")
-    n_by = ps.groupBy(*by).agg(F.max("tot_c").alias("n"))
-    targets = n_by.select(*by, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "n") \
-        .withColumn("rn", (F.col("n") - 1).cast("double") * F.col("p")) \
-        .withColumn("lo", F.floor("rn")).withColumn("hi", F.ceil("rn")) \
-        .withColumn("frac", F.col("rn") - F.col("lo"))
-    pos = targets.select(*by, "p", F.explode(F.array(
-        F.struct(F.lit("lo").alias("side"), F.col("lo").alias("j")),
-        F.struct(F.lit("hi").alias("side"), F.col("hi").alias("j")))).alias("t"))
-    at = ps.join(pos, by).where(
-        (F.col("cum_c") - F.col("c") <= F.col("t.j")) & (F.col("t.j") < F.col("cum_c")))
-    vals = at.groupBy(*by, "p").agg(
-        F.max(F.when(F.col("t.side") == "lo", F.col("x"))).alias("v_lo"),
-        F.max(F.when(F.col("t.side") == "hi", F.col("x"))).alias("v_hi"))
-    return vals.join(targets.select(*by, "p", "frac"), by + ["p"]).select(
-        *by, "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("q"))
+    ps = prefix_sums(hist, [*by, "p"], [F.col("x").asc_nulls_first()], ["c"]).where("x is not null")
+    at = ps.withColumn("rn", (F.col("n") - 1).cast("double") * F.col("p"))
+
+    def value_at(j: Column) -> Column:
+        return F.max(F.when((F.col("cum_c") - F.col("c") <= j) & (j < F.col("cum_c")), F.col("x")))
+
+    vals = at.groupBy(*by, "p").agg(value_at(F.floor("rn")).alias("v_lo"), value_at(F.ceil("rn")).alias("v_hi"),
+                                    F.max(F.col("rn") - F.floor("rn")).alias("frac"))
+    return vals.select(*by, "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("q"))
 
 
 def box_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers at the last points within 1.5 IQR,
     outlier count (G3, G4)."""
     q = exact_quantiles(df, by, value)
-    wide = q.groupBy(*by).agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-        F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
-        F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
-    wide = wide.withColumn("iqr", F.col("q3") - F.col("q1")) \
-        .withColumn("lo_fence", F.col("q1") - F.lit(1.5) * F.col("iqr")) \
-        .withColumn("hi_fence", F.col("q3") + F.lit(1.5) * F.col("iqr"))
-    x = F.col(value)
-    inside = (x >= F.col("lo_fence")) & (x <= F.col("hi_fence"))
-    wide = store(wide, "boxes")
-    agg = df.join(wide, by).groupBy(*by).agg(
+    wide = q.groupBy(*by).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name)
+                                for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    wide = wide.withColumn("iqr", F.col("q3") - F.col("q1"))
+    x, iqr = F.col(value), F.lit(1.5) * F.col("iqr")
+    inside = (x >= F.col("q1") - iqr) & (x <= F.col("q3") + iqr)
+    return df.join(wide, by).groupBy(*by, "q1", "median", "q3", "iqr").agg(
         F.count(x).alias("n"),
         F.min(F.when(inside, x)).alias("whisker_lo"),
         F.max(F.when(inside, x)).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"))
-    return wide.join(agg, by).drop("lo_fence", "hi_fence")
 
 
 def comm_volume(df: DataFrame, by: list[str], payload: Column) -> DataFrame:

@@ -156,6 +156,12 @@ def knn_arrow(queries: DataFrame, corpus: DataFrame, k: int, score_fn: str = "do
     """Same result as ``knn``: tiles of ``tile_rows`` vectors against blocks of ``block_queries`` queries."""
     wanted = queries.select("source_id").distinct()  # prunes the scan to the sources some query chose
     tiles = pack_vectors(corpus.join(wanted, "source_id", "left_semi"), "vec_id", "v", tile_rows)
+    return knn_tiles(queries, tiles, k, score_fn, higher_is_better, block_queries)
+
+
+def knn_tiles(queries: DataFrame, tiles: DataFrame, k: int, score_fn: str = "dot", higher_is_better: bool = True,
+              block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """``knn`` over vectors that are packed already (:func:`pack_vectors`, or a stored table of tiles)."""
     blocks = pack_vectors(queries, "qid", "qv", block_queries).select(
         "source_id", F.col("keys").alias("qids"), F.col("data").alias("qdata"), F.col("width").alias("qwidth"))
 
@@ -169,7 +175,7 @@ def knn_arrow(queries: DataFrame, corpus: DataFrame, k: int, score_fn: str = "do
                     [pa.array(q), pa.array(np.full(len(q), source, dtype=np.int32)), pa.array(v), pa.array(s)],
                     names=["qid", "source_id", "vec_id", "score"])
 
-    partial = tiles.join(blocks, "source_id").mapInArrow(run, HITS_SCHEMA)
+    partial = tiles.select("source_id", "keys", "data", "width").join(blocks, "source_id").mapInArrow(run, HITS_SCHEMA)
     return topk(partial, ["qid", "source_id"], "score", k, "local_rank", higher_is_better)
 
 

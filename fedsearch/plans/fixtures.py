@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from fedsearch.functions.vectors import as_double_vec, dot, route_features
 from fedsearch.operators.metrics import source_centroids, source_stats
 from fedsearch.operators.retrieve import knn_arrow, knn_global
+from fedsearch.operators.tiles import add_vectors
 from fedsearch.operators.routing import route_all, route_by_rule
 from fedsearch.operators.train import group_split
 from fedsearch.session import scratch_path
@@ -113,6 +114,16 @@ def src(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", as_double_vec("embedding").alias("v"), "label", "source_id")
 
 
+def tiles(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the corpus as stored tiles (the sources' search index, built once)."""
+    key = (spark.sparkContext.applicationId, sf_dir + "#tiles")
+    if key not in _LAYOUTS:
+        path = scratch_path(spark, "tiles")
+        add_vectors(corpus(spark, sf_dir), path)
+        _LAYOUTS[key] = path
+    return _LAYOUTS[key]
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds(embeddings(spark, sf_dir)).select("source_id")
 

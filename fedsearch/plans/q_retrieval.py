@@ -90,6 +90,15 @@ def global_topk(spark, d):
     return _ranked(retrieve.knn_global(q, fx.corpus(spark, d), fx.sources(spark, d), 10))
 
 
+@query("global_topk_pruned", """
+SELECT qid, source_id, vec_id, round(score, 6) AS score, rank FROM gtop WHERE rank <= 10""")
+def global_topk_pruned(spark, d):
+    """The same from the stored tiles, those left out whose ball lies too far."""
+    from fedsearch.operators import tiles
+    q = fx.queries(spark, d).select("qid", "qv")
+    return _ranked(tiles.knn_pruned(q, tiles.read_tiles(spark, fx.tiles(spark, d)), 10))
+
+
 @query("routing_recall", """
 SELECT g.qid, count(r.qid) AS n_kept, round(count(r.qid) / 10.0::DOUBLE, 6) AS recall
 FROM (SELECT * FROM gtop WHERE rank <= 10) g

@@ -176,7 +176,7 @@ def retrieve_stream(spark, d):
     from fedsearch.operators import rerank
     root = scratch_path(spark, "retrieve")
     r = _replay(spark, fx.routed(spark, d).select("qid", "qv", "source_id"), root, "routed")
-    hits = S.retrieve_stream(r, fx.corpus(spark, d), fx.HITS_K, f"{root}/hits", f"{root}/checkpoint")
+    hits = S.retrieve_stream(r, fx.tiles(spark, d), fx.HITS_K, f"{root}/hits", f"{root}/checkpoint")
     m = rerank.merge_desc(hits.drop("epoch"), 10)
     return m.select("qid", "source_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 

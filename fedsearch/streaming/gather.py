@@ -284,13 +284,14 @@ def route_stream(queries: DataFrame, centroids: DataFrame, n_sources: int, thres
     return j.select("qid", "source_id", prob.alias("prob")).where(F.col("prob") > F.lit(threshold))
 
 
-def retrieve_stream(routed: DataFrame, corpus: DataFrame, k: int, out_path: str, checkpoint: str):
-    """Per-source search of arriving routed queries (L2): every micro-batch runs
-    the batch top-k plan against the static corpus and appends its hits."""
-    from fedsearch.operators.retrieve import knn_arrow
+def retrieve_stream(routed: DataFrame, tiles_path: str, k: int, out_path: str, checkpoint: str):
+    """Per-source search of arriving routed queries (L2): every micro-batch joins the stored tiles
+    (``operators.tiles``) as they are then, vectors added since the last one among them, and appends its hits."""
+    from fedsearch.operators.retrieve import knn_tiles
+    from fedsearch.operators.tiles import read_tiles
 
     def run(batch: DataFrame, epoch: int) -> None:
-        hits = knn_arrow(batch, corpus, k).withColumn("epoch", F.lit(epoch))
+        hits = knn_tiles(batch, read_tiles(batch.sparkSession, tiles_path), k).withColumn("epoch", F.lit(epoch))
         # idempotent per epoch: a retried batch rewrites its own partition only
         hits.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 

@@ -88,6 +88,19 @@ def test_exact_quantiles_match_numpy(spark, x):
     assert np.allclose(q.q.values, np.percentile(np.array(x), [25, 50, 75]), rtol=1e-9, atol=1e-9)
 
 
+def test_exact_quantiles_of_large_groups(spark):
+    """Groups above and below the size that the sketch serves, with ties, a hot value and nulls."""
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=30_000), "b": np.repeat([1.0, 2.0, 7.0], 4_000), "c": rng.exponential(size=2_001).round(2),
+              "d": rng.normal(size=1_999), "e": np.concatenate([np.zeros(9_000), rng.normal(size=3_000)]), "f": np.array([4.0])}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(9)
+    got = M.exact_quantiles(df, ["g"], "x", (0.0, 0.25, 0.5, 0.999, 1.0)).toPandas()
+    for g, xs in groups.items():
+        mine = got[got.g == g].sort_values("p").q.to_numpy()
+        assert np.allclose(mine, np.percentile(xs, [0, 25, 50, 99.9, 100]), rtol=1e-12), g
+
+
 def test_auc_invariant_to_monotone_maps_and_matches_pairs(spark):
     rng = np.random.default_rng(7)
     rows = [(int(i), float(np.round(rng.random(), 1)), int(rng.random() < 0.4)) for i in range(200)]
