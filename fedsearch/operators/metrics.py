@@ -162,11 +162,10 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str,
 
     targets = F.array(*[F.struct(F.lit(float(p)).alias("p"), end(0, 2 + i).alias("low"), end(1, 2 + len(probs) + i).alias("high"))
                         for i, p in enumerate(probs)])
-    x = F.col(value)
-    near = rows.join(sketch.select(*by, "n", targets.alias("t")), by).select(
-        *by, "n", x.alias("x"), F.explode(F.filter("t", lambda t: x <= t["high"])).alias("t"))
+    near = rows.select(*by, F.col(value).alias("_x")).join(sketch.select(*by, "n", targets.alias("_all")), by).select(
+        *by, "n", "_x", F.explode(F.filter("_all", lambda t: F.col("_x") <= t["high"])).alias("_t"))
     # rows below an interval have no value of their own: one row per task and target after the map-side combine
-    hist = near.groupBy(*by, "n", F.col("t.p").alias("p"), F.when(F.col("x") >= F.col("t.low"), F.col("x")).alias("x")) \
+    hist = near.groupBy(*by, "n", F.col("_t.p").alias("p"), F.when(F.col("_x") >= F.col("_t.low"), F.col("_x")).alias("x")) \
         .agg(F.count(F.lit(1)).alias("c"))
     ps = prefix_sums(hist, [*by, "p"], [F.col("x").asc_nulls_first()], ["c"]).where("x is not null")
     at = ps.withColumn("rn", (F.col("n") - 1).cast("double") * F.col("p"))

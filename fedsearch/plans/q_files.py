@@ -23,13 +23,6 @@ def _lines(df: DataFrame, path: str, *order) -> str:
     return path
 
 
-def _file_per(df: DataFrame, path: str, key: str, *order) -> str:
-    """One text file per ``key`` (in the folder ``key=...``), its lines in ``order``; for keys of a few lines."""
-    (df.repartition(key).sortWithinPartitions(key, *order).select(key, "value")
-       .write.partitionBy(key).text(path))
-    return path
-
-
 def _parts_per(df: DataFrame, path: str, key: str, *order) -> str:
     """A folder ``key=...`` of numbered text files per ``key``, their lines in ``order``: a large key is many tasks."""
     (df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).select(key, "value")
@@ -165,43 +158,47 @@ FROM gtop WHERE rank <= 7""")
 def read_cached_hits(spark, d):
     """A list of documents and a file of scores per question, zipped, first 7 (A10)."""
     root, g = scratch_path(spark, "cached"), fx.gtop(spark, d)
-    docs = g.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("a"))
-    (docs.select("qid", F.to_json(F.transform("a", lambda x: F.concat(F.lit("d"), x["vec_id"]))).alias("value"))
-     .write.partitionBy("qid").text(f"{root}/texts"))
-    _file_per(g.withColumn("value", F.col("score").cast("string")), f"{root}/scores", "qid", "rank")
-    back = R.read_cached_hits(spark, f"{root}/texts", f"{root}/scores", 7, r"/qid=([^/]+)/")
+    top = g.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("a"))  # 20 hits a question
+    docs = F.to_json(F.transform("a", lambda x: F.concat(F.lit("d"), x["vec_id"])))
+    scores = F.concat(F.array_join(F.transform("a", lambda x: x["score"].cast("string")), "\n"), F.lit("\n"))
+    for kind, content in (("texts.json", docs), ("scores.txt", scores)):
+        S.write_files(top.select(F.concat(F.lit("top_20_"), "qid", F.lit(f"_{kind}")).alias("name"), content.alias("content")), root)
+    back = R.read_cached_hits(spark, f"{root}/*_texts.json", f"{root}/*_scores.txt", 7)
     return back.select("query_id", F.col("local_rank").cast("int").alias("local_rank"), "doc", F.round("score", 6).alias("score"))
 
 
 @query("read_query_vecs", """
 SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(len(embedding) AS INTEGER) AS width,
-       round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings WHERE vec_id % 10 = 1""")
+       round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings""")
 def read_query_vecs(spark, d):
     """One array file per question."""
     path = scratch_path(spark, "npy")
-    q = fx.read(spark, d, "embeddings").where("vec_id % 10 = 1").select(
-        F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vec"))
-    S.write_query_vecs(q, path).write.format("noop").mode("overwrite").save()
+    q = fx.read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vec"))
+    S.write_query_vecs(q, path)
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
     return R.read_query_vecs(spark, path).select("query_id", F.size("vec").alias("width"), F.round(total, 6).alias("total"))
 
 
 @query("read_source_labels", "SELECT CAST(qid AS VARCHAR) AS query_id, CAST(source_id AS VARCHAR) AS source FROM source_labels")
 def read_source_labels(spark, d):
-    """Relevant sources per question."""
-    path = scratch_path(spark, "labels")
-    s = fx.source_labels(spark, d).groupBy("qid").agg(F.collect_list(F.col("source_id").cast("string")).alias("s"))
-    s.select(F.to_json(F.create_map(F.col("qid").cast("string"), "s")).alias("value"), "qid").write.partitionBy("qid").text(path)
-    return R.read_source_labels(spark, path)
+    """Relevant sources per question, one JSON object."""
+    from fedsearch.operators.positions import global_position
+    one = fx.source_labels(spark, d).groupBy("qid").agg(F.sort_array(F.collect_list(F.col("source_id").cast("string"))).alias("s"))
+    one = global_position(one, [F.col("qid")], "p").withColumn("n", one.agg(F.count(F.lit(1))).scalar())
+    value = F.concat(F.when(F.col("p") == 1, "{").otherwise(""), F.lit('"'), F.col("qid").cast("string"), F.lit('": '), F.to_json("s"),
+                     F.when(F.col("p") == F.col("n"), "}").otherwise(","))
+    return R.read_source_labels(spark, _lines(one.withColumn("value", value), scratch_path(spark, "labels"), "p"), folder=True)
 
 
 @query("read_cluster_labels", "SELECT CAST(qid AS VARCHAR) AS query_id, source_id FROM source_labels")
 def read_cluster_labels(spark, d):
     """Cluster numbers per question, with blank and repeated lines."""
-    s = fx.source_labels(spark, d)
-    lines = s.withColumn("value", F.concat(F.lit(" "), "source_id")).unionByName(
-        s.withColumn("value", F.col("source_id").cast("string"))).unionByName(s.withColumn("value", F.lit("x")))
-    return R.read_cluster_labels(spark, _file_per(lines, scratch_path(spark, "clusters"), "qid", "source_id"), r"/qid=([^/]+)/")
+    path, own = scratch_path(spark, "clusters"), F.col("s")
+    s = fx.source_labels(spark, d).groupBy("qid").agg(F.sort_array(F.collect_list(F.col("source_id").cast("string"))).alias("s"))
+    lines = F.flatten(F.transform(own, lambda x: F.array(F.concat(F.lit(" "), x), x, F.lit("x"))))
+    S.write_files(s.select(F.concat(F.lit("question_"), "qid", F.lit("_cluster_ids.txt")).alias("name"),
+                           F.array_join(lines, "\n").alias("content")), path)
+    return R.read_cluster_labels(spark, path, r"question_([0-9]+)_cluster_ids\.txt$")
 
 
 def _array_lines(df: DataFrame, item, key: list[str], order, path: str) -> str:

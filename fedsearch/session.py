@@ -67,6 +67,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host of the file system that the session resolves it to.
+
+    Python code on executors opens files by this name: a path without a
+    scheme would there be a folder of each machine.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def open_filesystem(uri: str):
+    """``(file system, path)`` of a qualified ``uri`` for Python code on executors; a scheme that it can't reach is an error."""
+    from urllib.parse import urlparse
+
+    from pyarrow import fs
+    if "://" not in uri and not uri.startswith("file:"):
+        raise ValueError(f"{uri}: name the file system (session.qualified)")
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), urlparse(uri).path
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
 def clean_scratch(spark: SparkSession) -> None:
     """Delete what this application stored. Call it when none of its results is read any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))

@@ -174,18 +174,23 @@ def read_source_stats(spark: SparkSession, path: str, as_list: bool = False) ->
     return e.select("source", "s.centroid", "s.num_documents", "s.density")
 
 
+def _small_files(df: DataFrame) -> DataFrame:
+    """A scan of many small files in at most four tasks a core: a task reads many files, one after the other."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def read_cached_hits(spark: SparkSession, texts_glob: str, scores_glob: str, k: int,
                      qid_re: str = r"top_\d+_(.+)_(?:texts\.json|scores\.txt)$") -> DataFrame:
-    """Per question: a JSON list of documents and one score per line, zipped, first k."""
-    texts = spark.read.text(texts_glob, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), qid_re, 1).alias("query_id"),
-        F.from_json("value", "array<string>").alias("docs"))
-    scores = numbered_lines(spark.read.text(scores_glob), "line").select(
-        F.regexp_extract("_file", qid_re, 1).alias("query_id"), "line",
-        py_strip("value").cast("double").alias("score"))
-    docs = texts.select("query_id", F.posexplode(F.slice("docs", 1, k)).alias("line", "doc"))
-    return docs.join(scores.where(F.col("line") < k), ["query_id", "line"]) \
-        .withColumnRenamed("line", "local_rank")
+    """Per question: a JSON list of documents and one score per line, zipped, first k. Both files hold as many
+    values as a question has hits."""
+    def files(glob, values):
+        raw = spark.read.text(glob, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), qid_re, 1).alias("query_id"), "value")
+        return _small_files(raw).select("query_id", F.posexplode(F.slice(values, 1, k)).alias("local_rank", "x"))
+
+    docs = files(texts_glob, F.from_json("value", "array<string>")).withColumnRenamed("x", "doc")
+    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
+    scores = files(scores_glob, lines).withColumn("score", py_strip("x").cast("double")).drop("x")
+    return docs.join(scores, ["query_id", "local_rank"])
 
 
 def read_query_vecs(spark: SparkSession, path: str) -> DataFrame:
@@ -194,31 +199,29 @@ def read_query_vecs(spark: SparkSession, path: str) -> DataFrame:
     import io
 
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    def decode(it):
-        for pdf in it:
-            vecs = [np.load(io.BytesIO(b)).astype(np.float32).ravel().tolist() for b in pdf["content"]]
-            ids = pdf["path"].str.extract(r"([^/]+)\.npy$")[0]
-            yield pd.DataFrame({"query_id": ids, "vec": vecs})
+    def decode(batches):
+        for b in batches:
+            vecs = [np.load(io.BytesIO(x)).astype(np.float32).ravel() for x in b.column("content").to_pylist()]
+            yield pa.record_batch({"query_id": b.column("query_id"), "vec": pa.array(vecs, pa.list_(pa.float32()))})
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
-    return raw.select("path", "content").mapInPandas(decode, "query_id string, vec array<float>")
+    return _small_files(raw.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("query_id"), "content")).mapInArrow(
+        decode, "query_id string, vec array<float>")
 
 
-def read_source_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``{qid: [source, ...]}`` -> one (query_id, source) row per relevant source."""
-    raw = spark.read.text(path, wholetext=True)
-    m = raw.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("query_id", "srcs"))
-    return m.select("query_id", F.explode("srcs").alias("source")).distinct()
+def read_source_labels(spark: SparkSession, path: str, folder: bool = False) -> DataFrame:
+    """``{qid: [source, ...]}`` -> one (query_id, source) row per relevant source, read in splits."""
+    ids = with_keys(item_parts(json_items(spark, path, folder)))
+    return ids.select(F.col("inner").alias("query_id"), F.col("scalar").alias("source")).distinct()
 
 
 def read_cluster_labels(spark: SparkSession, path: str,
                         qid_re: str = r"(question_\d+)_cluster_ids\.txt$") -> DataFrame:
     """One file per question, digit lines = retrieved clusters, as a set."""
-    raw = spark.read.text(path)
     v = py_strip("value")
-    qid = F.regexp_extract(F.col("_metadata.file_path"), qid_re, 1)
-    return raw.where(v.rlike("^[0-9]+$")).select(qid.alias("query_id"), v.cast("int").alias("source_id")).distinct()
+    raw = _small_files(spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), qid_re, 1).alias("query_id"), "value"))
+    return raw.where(v.rlike("^[0-9]+$")).select("query_id", v.cast("int").alias("source_id")).distinct()
 
 
 def read_question_order(spark: SparkSession, path: str, folder: bool = False) -> DataFrame:

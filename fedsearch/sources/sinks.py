@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fedsearch.session import open_filesystem, qualified
+
 
 def write_question_log(df: DataFrame, path: str) -> None:
     """Append one row per question, partitioned by benchmark and routing (B1)."""
@@ -48,35 +50,50 @@ def write_predictions(pred: DataFrame, path: str) -> None:
     out.write.mode("overwrite").json(path)
 
 
-def write_query_vecs(vecs: DataFrame, path: str) -> DataFrame:
-    """One ``<query_id>.npy`` per question (``query_id, vec``) in the shared folder ``path``; the names written.
+def write_files(files: DataFrame, path: str) -> None:
+    """One small file per row of ``files`` (``name, content`` as binary or string) in the shared folder ``path``.
 
     Each file goes to a name of its own attempt first and is moved into place
     whole, so a repeated task leaves complete files only.
     """
+    folder_uri = qualified(files.sparkSession, path)
+
     def write(batches):
-        import io
         import uuid
-        from urllib.parse import urlparse
 
-        import numpy as np
         import pyarrow as pa
-        from pyarrow import fs
 
-        local = "://" not in path or path.startswith("file:")
-        system, folder = (fs.LocalFileSystem(), urlparse(path).path) if local else fs.FileSystem.from_uri(path)
+        system, folder = open_filesystem(folder_uri)
         system.create_dir(folder, recursive=True)
         for b in batches:
-            for ident, vec in zip(b.column("query_id").to_pylist(), b.column("vec")):
+            for name, content in zip(b.column("name").to_pylist(), b.column("content")):
+                part = f"{folder}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(part, compression=None) as out:
+                    out.write(content.as_buffer())
+                system.move(part, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([b.column("name")], names=["name"])
+
+    (files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(write, "name string")
+     .write.format("noop").mode("overwrite").save())
+
+
+def write_query_vecs(vecs: DataFrame, path: str) -> None:
+    """One ``<query_id>.npy`` per question (``query_id, vec``) in the shared folder ``path``."""
+    def arrays(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            out = []
+            for vec in b.column("vec"):
                 buf = io.BytesIO()
                 np.save(buf, vec.values.to_numpy(zero_copy_only=False).astype(np.float32))
-                part = f"{folder}/_{uuid.uuid4().hex}"
-                with system.open_output_stream(part) as out:
-                    out.write(buf.getvalue())
-                system.move(part, f"{folder}/{ident}.npy")
-            yield pa.RecordBatch.from_arrays([b.column("query_id")], names=["query_id"])
+                out.append(buf.getvalue())
+            names = [f"{i}.npy" for i in b.column("query_id").to_pylist()]
+            yield pa.record_batch({"name": pa.array(names, pa.string()), "content": pa.array(out, pa.binary())})
 
-    return vecs.select("query_id", "vec").mapInArrow(write, "query_id string")
+    write_files(vecs.select("query_id", "vec").mapInArrow(arrays, "name string, content binary"), path)
 
 
 def write_once(df: DataFrame, path: str) -> None:

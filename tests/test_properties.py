@@ -236,3 +236,61 @@ def test_content_id(spark):
     ids = spark.createDataFrame([("q", "x"), ("q", "x"), ("q", None)], "a string, b string") \
         .select(content_id("a", "b").alias("i")).collect()
     assert ids[0].i == ids[1].i != ids[2].i and len(ids[0].i) == 64
+
+
+def test_own_pooling_over_runs(spark, monkeypatch):
+    """A pooling of one's own, here the mean of the unmasked tokens, equals the built-in one at any cut."""
+    from fedsearch.operators import pooling as P
+    rng = np.random.default_rng(2)
+    rows = [(g, p, int(rng.random() < 0.7), rng.normal(size=3).tolist()) for g in ("a", "b") for p in range(50)]
+    df = spark.createDataFrame(rows, "g string, pos int, mask int, vec array<double>").repartition(4)
+
+    def partial(pos, mask, vecs):
+        return np.append((vecs * mask[:, None]).sum(axis=0), mask.sum())
+
+    for run in (7, 4_096):
+        monkeypatch.setattr(P, "RUN", run)
+        own = {r.g: r.vec for r in P.pool_with(df, ["g"], partial, lambda s: s.sum(axis=0), lambda s: s[:-1] / max(s[-1], 1e-9)).collect()}
+        want = {r.g: r.vec for r in P.pack(P.pool(df, ["g"], "mean"), ["g"]).collect()}
+        assert all(np.allclose(own[g], want[g]) for g in ("a", "b"))
+
+
+def test_models_are_loaded_only_where_a_source_uses_them(spark):
+    from fedsearch.functions.hooks import encode_once_per_encoder, model_encoder
+    q = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(99, None)], "qid long, text string")
+    sources = spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "one")], "source string, encoder string")
+
+    def never():
+        raise RuntimeError("loaded")
+
+    def lengths(width):
+        return lambda: lambda texts: np.array([[len(t)] * width for t in texts])
+
+    encoders = {"one": model_encoder(lengths(2)), "two": model_encoder(lengths(3), batch_size=4), "three": model_encoder(never)}
+    got = {(r.qid, r.encoder): r.qv for r in encode_once_per_encoder(q, sources, "text", encoders).collect()}
+    assert len(got) == 42 and got[3, "one"] == [6.0, 6.0] and got[12, "two"] == [7.0] * 3 and got[99, "one"] == [0.0, 0.0]
+    with pytest.raises(ValueError, match="no model"):
+        encode_once_per_encoder(q, sources, "text", {"one": encoders["one"]})
+
+
+def test_many_small_files_in_few_tasks(spark, tmp_path):
+    from fedsearch.sources import readers as R
+    from fedsearch.sources import sinks as S
+    n = 2_000
+    q = spark.range(n).select(F.col("id"), F.to_json(F.array(F.concat(F.lit("d"), "id"), F.lit("x"))).alias("docs"))
+    root = f"file://{tmp_path}/hits"
+    S.write_files(q.select(F.concat(F.lit("top_2_"), "id", F.lit("_texts.json")).alias("name"), F.col("docs").alias("content")), root)
+    S.write_files(q.select(F.concat(F.lit("top_2_"), "id", F.lit("_scores.txt")).alias("name"), F.lit("0.5\n0.25\n").alias("content")), root)
+    hits = R.read_cached_hits(spark, f"{root}/*_texts.json", f"{root}/*_scores.txt", 1)
+    assert hits.where("doc = concat('d', query_id) and score = 0.5 and local_rank = 0").count() == n == hits.count()
+    raw = R._small_files(spark.read.text(f"{root}/*_texts.json", wholetext=True))
+    assert raw.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_files_are_named_with_their_file_system(spark, tmp_path):
+    from fedsearch.session import open_filesystem, qualified
+    assert qualified(spark, f"{tmp_path}/x").startswith("file:/")
+    with pytest.raises(ValueError, match="name the file system"):
+        open_filesystem("/tmp/x")
+    with pytest.raises(Exception):
+        open_filesystem("nosuch://a/b")
