@@ -33,15 +33,14 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, urlparse
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedsearch.llm.common import stored
-from fedsearch.session import scratch_path
+from fedsearch.session import open_filesystem, qualified, scratch_path
 
 MIN_BYTES = 100
 FILE_BYTES = 64 << 20
@@ -55,11 +54,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 
 def _open(uri: str, mode: str):
-    """A stream on the shared folder, whichever file system holds it."""
-    if "://" in uri and not uri.startswith("file://"):
-        system, path = fs.FileSystem.from_uri(uri)
-    else:
-        system, path = fs.LocalFileSystem(), urlparse(uri).path if uri.startswith("file://") else uri
+    """A stream on the shared folder, whichever file system holds it; ``uri`` names that file system."""
+    system, path = open_filesystem(uri)
     if mode == "w":
         system.create_dir(os.path.dirname(path), recursive=True)
         return system.open_output_stream(path, compression=None)
@@ -134,6 +130,7 @@ def records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages`` (``page_id, url, html``) as archives; the manifest ``path, n_records, n_bytes``."""
+    folder = qualified(pages.sparkSession, folder)  # tasks open files by this name
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     ids = stored(rows.select("page_id", "digest", F.octet_length("payload").alias("n")), "warc-ids")

@@ -69,7 +69,7 @@ def test_broken_records_raise(tmp_path, change):
     path = tmp_path / "a.warc.gz"
     path.write_bytes(member() + member(change=change))
     with pytest.raises(ValueError, match="a.warc.gz"):
-        list(warc.records(str(path)))
+        list(warc.records(path.as_uri()))
 
 
 def test_cut_member_raises():
