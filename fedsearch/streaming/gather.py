@@ -203,7 +203,7 @@ def admission(queries: DataFrame, limit: int, delay: str) -> DataFrame:
         _make_admission(limit), ADMITTED_SCHEMA, _QUEUE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def write_in_time_order(events: DataFrame, path: str, ts: str = "ts", slices: int = 6, rows_per_file: int = 50_000) -> int:
+def write_in_time_order(events: DataFrame, path: str, ts: str = "ts", slices: int = 4, rows_per_file: int = 50_000) -> int:
     """Write ``events`` as files that a file stream reads in the order of event time; files per trigger.
 
     A file stream takes files by their age. The events are cut into ``slices``
