@@ -1,22 +1,25 @@
 """Substring dedup by sliding sentence spans (operator 2).
 
-A sentence ends at white space after ``. ! ?`` or at a line break. From every
-sentence on, the shortest run of consecutive sentences is hashed that has at
-least ``min_words`` words and ``min_sentences`` sentences (a run of
-``long_words`` words may be a single sentence). A repeated passage is found
-where whole runs lie in it, not everywhere: a single shorter sentence between
-two that are glued to the host text, unpunctuated text in one long line, and
-sentences that end in other marks (CJK, Arabic, Devanagari) give no run of
-their own. Runs with equal 128-bit hashes
-are one span; all its occurrences but the first (smallest ``doc_id``, then
-place) are repeats, and sentences that any repeat covers are removed.
+A sentence ends at white space after ``. ! ?``, after the like marks of other
+scripts, or at a line break. Every sentence is cut into parts after the words
+whose hash says so (one in ``CUT``): the same places wherever the words stand.
+From every sentence on, the shortest run of consecutive sentences with at least
+``min_words`` words is hashed, and from every part on the shortest such run of
+consecutive parts. Whole repeated sentences go whole by the first; the second
+finds passages glued to their host text, inside a longer sentence, around an
+edited place, or in text without marks. Runs with equal 128-bit hashes are one
+span; all its occurrences but the first (smallest ``doc_id``, then place) are
+repeats, and what any repeat covers is removed. Repeats below ``min_words``
+words stay, as do the few words between a passage's border and its first or
+last cut.
 
 Scale. The hashes are joined globally in three steps that each move less: the
 64-bit halves alone are counted, combined before the shuffle; run rows are kept
 if their half occurs twice; first places are found among those few. A passage
 in a third of all documents is one skewed join key whose rows Spark can split
 (no pairs are formed: every occurrence meets one row). The texts are shuffled
-once, to meet the list of their repeats.
+once, to meet the stored list of their repeats, so that identical rows, which
+share a key, are a skewed join key that Spark can split.
 
 Edge cases. Null text: kept as null, no sentences. Empty text, or one too short
 for a run: unchanged. Null ``doc_id``: after all others. Identical rows (same
@@ -29,6 +32,8 @@ brought up to date.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +45,11 @@ from pyspark.sql import types as T
 from fedsearch.llm.common import pack, stored, unpack
 
 MIN_WORDS = 20
-MIN_SENTENCES = 2
-LONG_WORDS = 40
+CUT = 4
 CHUNK_ROWS = 512
-_BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
+#: The marks of other scripts need no white space after them.
+_BREAK = re.compile(r"(?<=[.!?])\s+|(?<=[。！？．｡؟۔।॥።])\s*|\n\s*")
+_WORD = re.compile(r"\s*\S+\s*|\s+")
 
 
 def sentences(text: str) -> list[str]:
@@ -57,24 +63,39 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def runs(parts: list[str], min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES,
-         long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
-    """``(start, end)`` of the shortest long enough run from each sentence that has one."""
-    upto = [0]
-    for p in parts:
-        upto.append(upto[-1] + len(p.split()))
-    out, end = [], 0
-    for start in range(len(parts)):
-        end = max(end, start + 1)
-        while end <= len(parts):
-            words = upto[end] - upto[start]
-            if words >= long_words or (words >= min_words and end - start >= min_sentences):
-                out.append((start, end))
-                break
-            end += 1
-        else:
-            break  # too few words are left for this and all later starts
-    return out
+def parts(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The parts of a text (joined they are the text), the words of each, and the first part of each sentence."""
+    out, words, first = [], [], []
+    for s in sentences(text):
+        first.append(len(out))
+        at = n = 0
+        for m in _WORD.finditer(s):
+            w = m.group().strip()
+            n += bool(w)
+            if w and crc32(w.encode("utf-8", "surrogatepass")) % CUT == 0:
+                out.append(s[at:m.end()])
+                words.append(n)
+                at, n = m.end(), 0
+        if at < len(s):
+            out.append(s[at:])
+            words.append(n)
+    return out, words, first
+
+
+def runs(words: list[int], first: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """``(start, end)`` of the shortest long enough run of parts from each part and, of sentences, from each sentence."""
+    upto = [0, *accumulate(words)]
+    out = set()
+    for borders in (range(len(upto)), [*first, len(words)]):
+        end = 0
+        for at, start in enumerate(borders):
+            end = max(end, at)
+            while end < len(borders) and upto[borders[end]] - upto[start] < min_words:
+                end += 1
+            if end == len(borders):
+                break  # too few words are left for this and all later starts
+            out.add((start, borders[end]))
+    return sorted(out)
 
 
 def _digest(text: str) -> bytes:
@@ -85,8 +106,7 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
 
 
-def spans(docs: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES,
-          long_words: int = LONG_WORDS) -> DataFrame:
+def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``h1, h2`` (the 128-bit hash), ``doc_id, key, start, size`` of every run of ``docs``."""
     rows = _key(docs.select("doc_id", "text")).where("text is not null")
 
@@ -96,9 +116,9 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_
                 part = batch.slice(at, CHUNK_ROWS)
                 places, digests, start, size = [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    parts = sentences(text)
-                    found = runs(parts, min_words, min_sentences, long_words)
-                    hashes = [_digest(p) for p in parts] if found else []
+                    own, words, first = parts(text)
+                    found = runs(words, first, min_words)
+                    hashes = [_digest(p) for p in own] if found else []
                     for a, b in found:
                         places.append(i)
                         digests.append(xxhash.xxh3_128_digest(b"".join(hashes[a:b])))
@@ -134,17 +154,19 @@ def repeats(docs: DataFrame, **options) -> DataFrame:
 
 
 def remove(text: str, cover: list[dict]) -> tuple[str, int, int]:
-    """The text without the covered sentences, their number, and that of all sentences."""
-    parts = sentences(text)
-    gone = bytearray(len(parts))
+    """The text without the covered parts, the number of sentences that lose any, and that of all sentences."""
+    own, _, first = parts(text)
+    gone = bytearray(len(own))
     for c in cover:
         gone[c["start"]:c["start"] + c["size"]] = b"\1" * c["size"]
-    return "".join(p for p, g in zip(parts, gone) if not g), sum(gone), len(parts)
+    lost = sum(any(gone[a:b]) for a, b in zip(first, [*first[1:], len(own)]))
+    return "".join(p for p, g in zip(own, gone) if not g), lost, len(first)
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without repeated spans; adds ``n_sentences`` and ``n_removed``."""
-    cover = (repeats(docs, **options).groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("_cover")))
+    cover = stored(repeats(docs, **options).groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("_cover")),
+                   "spans-cover")
     rows = _key(pack(docs, "doc_id", "text"))
     rows = rows.join(cover, rows["_key"] == cover["key"], "left").select("_row", "doc_id", "text", "_cover")
     names = ["_row", "doc_id", "text"]

@@ -1,5 +1,7 @@
 """Operator 2 against a plain loop over all runs in document order."""
 
+import random
+
 from conftest import SF01
 from fedsearch.llm import queries, span_dedup as S
 
@@ -8,19 +10,22 @@ def brute(docs):
     """docs: (doc_id, text) in order; the expected (text, removed, sentences) of each."""
     seen, out = set(), []
     for _, text in docs:
-        parts = S.sentences(text)
+        parts, words, first = S.parts(text)
         names = [" ".join(p.split()) for p in parts]
         gone = [False] * len(parts)
-        for a in range(len(parts)):
-            for b in range(a + 1, len(parts) + 1):
-                words = sum(len(p.split()) for p in parts[a:b])
-                if words >= S.LONG_WORDS or (words >= S.MIN_WORDS and b - a >= S.MIN_SENTENCES):
-                    run = tuple(names[a:b])
-                    if run in seen:
-                        gone[a:b] = [True] * (b - a)
-                    seen.add(run)
-                    break
-        out.append(("".join(p for p, g in zip(parts, gone) if not g), sum(gone), len(parts)))
+        own = set()
+        for ends in (range(len(parts) + 1), first + [len(parts)]):
+            for a in ends:
+                b = next((e for e in ends if e > a and sum(words[a:e]) >= S.MIN_WORDS), None)
+                if b is not None:
+                    own.add((a, b))
+        for a, b in sorted(own):
+            run = tuple(names[a:b])
+            if run in seen:
+                gone[a:b] = [True] * (b - a)
+            seen.add(run)
+        lost = sum(any(gone[a:b]) for a, b in zip(first, first[1:] + [len(parts)]))
+        out.append(("".join(p for p, g in zip(parts, gone) if not g), lost, len(first)))
     return out
 
 
@@ -33,8 +38,9 @@ def test_query(spark, documents):
 
 
 def test_sentences_join_to_the_text():
-    for text in ("", "a", "One. Two!  Three?\n\nFour", "3.14 is pi. ok", "...\n \n.", "a\r\nb"):
-        assert "".join(S.sentences(text)) == text
+    for text in ("", "a", "One. Two!  Three?\n\nFour", "3.14 is pi. ok", "...\n \n.", "a\r\nb", " \n x", "你好。再见！ 好", "\x1c a\x85b "):
+        assert "".join(S.sentences(text)) == "".join(S.parts(text)[0]) == text
+        assert sum(S.parts(text)[1]) == sum(len(p.split()) for p in S.sentences(text))
 
 
 def test_repeat_inside_a_document_and_clean_documents(spark):
@@ -46,6 +52,40 @@ def test_repeat_inside_a_document_and_clean_documents(spark):
     assert got[1] == (passage + "Alone. ", 2) and got[2] == (other, 0) and got[3] == ("Before. After.", 2)
 
 
+def windows(text, n=50):
+    words = text.split()
+    return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
+
+
+def test_no_window_of_fifty_words_is_left(spark, documents):
+    """Passages of 50 to 80 words planted in unmarked text, inside long sentences and with other marks."""
+    rng = random.Random(3)
+
+    def prose(n):
+        return [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+
+    docs, planted = [], [prose(rng.randint(50, 80)) for _ in range(100)]
+    for k, passage in enumerate(planted * 3):
+        mark = rng.choice(["", "", ".", "。"])
+        docs.append((k, " ".join(prose(rng.randint(0, 90)) + [passage[0]] + [w + mark * (i % 17 == 16) if not mark else w
+                                 for i, w in enumerate(passage[1:])] + prose(rng.randint(0, 90)))))
+    clean = [(1000 + k, " ".join(prose(120))) for k in range(50)]
+    got = {r.doc_id: r.text for r in S.dedup(spark.createDataFrame(docs + clean, "doc_id long, text string")).collect()}
+    assert all(got[d] == text for d, text in clean + docs[:100])
+    left = sum(bool(windows(" ".join(p)) & windows(got[k])) for k, p in enumerate(planted * 3) if k >= 100)
+    assert left <= 2
+
+
+def test_no_window_of_fifty_words_is_left_in_the_table(spark, documents):
+    seen, left = set(), 0
+    texts = {r.doc_id: r.text for r in queries.op2_span_dedup(spark, SF01).collect()}
+    for d in sorted(texts):
+        own = windows(texts[d] or "")
+        left += bool(own & seen)
+        seen |= own
+    assert left <= 1
+
+
 def test_edges(spark, edge, none, clashing):
     rows = S.dedup(edge).collect()
     assert len(rows) == edge.count()
