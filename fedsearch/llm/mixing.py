@@ -6,8 +6,11 @@ corpus is laid out in blocks of ``block_words`` words and the blocks are
 apportioned by Sainte-Lague: the seats go to the highest quotients
 ``votes / (2j + 1)``, first among the sources (votes: targets), then among the
 shards of each source (votes: shard sizes). A shard then takes its quota of
-blocks in the order of a seeded hash; a quota above the number of blocks takes
-every block once and repeats the first by hash.
+blocks: its stretches of ``stretch_blocks`` neighbouring blocks come in the
+order of a seeded hash, the blocks of a stretch in their own order, so that
+what is taken are long passages and whole documents, and only one stretch of a
+shard is taken in part. A quota above the number of blocks takes every block
+once and repeats the first in that order.
 
 Scale. Texts are read once, for their word counts; all later steps carry
 ``(doc_id, size)`` rows. A source is cut into shards of about ``shard_words``
@@ -36,6 +39,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_REPEAT = 2
 BLOCK_WORDS = 16
+STRETCH_BLOCKS = 64
 SHARD_WORDS = 65_536
 SEED = 20_240_917
 
@@ -99,13 +103,15 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repea
     return rows.withColumn("target", target).drop("_cap", "_ratio", "_level", "_free")
 
 
-def _block_hash(seed: int, source_no: Column, shard: Column, block: Column) -> Column:
-    return F.xxhash64(F.lit(seed).cast("bigint"), source_no.cast("bigint"), shard.cast("bigint"),
-                      block.cast("bigint"))
+def _block_order(seed: int, stretch: int, block: Column) -> Column:
+    """What the blocks of a shard are taken by: the seeded hash of their stretch, then their place."""
+    block = block.cast("bigint")
+    return F.struct(F.xxhash64(F.lit(seed).cast("bigint"), F.col("source_no").cast("bigint"), F.col("shard").cast("bigint"),
+                               F.floor(block / stretch).cast("bigint")).alias("h"), block.alias("b"))
 
 
 def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT,
-        block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED,
+        block_words: int = BLOCK_WORDS, stretch_blocks: int = STRETCH_BLOCKS, shard_words: int = SHARD_WORDS, seed: int = SEED,
         keep: list[str] | None = None) -> DataFrame:
     """What the mix takes of every document of ``docs`` (``doc_id``, ``text``, ``source``).
 
@@ -134,8 +140,8 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, max_repeat: i
     quotas = sainte_lague(sizes, ["source_no"], "shard", "shard_size", "source_blocks")
     n = F.ceil(F.col("shard_size") / block_words).cast("bigint")
     hashes = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1),
-                         lambda b: _block_hash(seed, F.col("source_no"), F.col("shard"), b))
-    # the quota's remainder takes the blocks with the smallest hashes: `_cut` is the last of them
+                         lambda b: _block_order(seed, stretch_blocks, b))
+    # the quota's remainder takes the first blocks in order: `_cut` is the last of them
     quotas = (quotas.where("shard_size > 0").withColumn("_n", n)
               .withColumn("_all", F.floor(F.col("won") / F.col("_n")).cast("bigint"))
               .withColumn("_rest", F.col("won") % F.col("_n"))
@@ -150,7 +156,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, max_repeat: i
 
     def taken_of(b: Column) -> Column:
         own = (F.least(F.col("_end"), (b + 1) * block_words) - F.greatest(F.col("_start"), b * block_words))
-        extra = F.when(_block_hash(seed, F.col("source_no"), F.col("shard"), b) <= F.col("_cut"), 1).otherwise(0)
+        extra = F.when(_block_order(seed, stretch_blocks, b) <= F.col("_cut"), 1).otherwise(0)
         return F.struct(own.cast("int").alias("words"),
                         F.least(F.col("_all") + extra, F.lit(max_repeat)).cast("int").alias("times"))
 
