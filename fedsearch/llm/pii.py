@@ -17,8 +17,9 @@ Scale. One map over the texts, no shuffle.
 
 Edge cases. Null text: treated as empty, no spans. Empty table: empty result.
 Overlapping spans of different kinds are all reported, but for further kinds
-wholly inside a base span; :func:`redact` masks their union. Repeated rows: each handled alone. Other columns are kept (one
-named ``spans`` is replaced by :func:`find`).
+wholly inside a base span; :func:`redact` masks their union. Repeated rows: each
+handled alone. Other columns are kept, whatever their names (one named
+``spans`` is replaced by :func:`find`).
 """
 
 from __future__ import annotations
@@ -108,22 +109,23 @@ class Kind:
     near: str  # words that raise the score
     far: str = "example|sample|dummy|version|isbn|invoice"  # words that lower it
     base: bool = False
+    holds: str = ""  # a string that every match holds
 
 
 #: The base kinds are the contract's, in its order. Their patterns find the same matches as the contract's,
 #: which may start anywhere in a run: a match that starts inside a run has the same end as one at its start.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _any, 0.9,
-         "mail|contact|write|kontakt|correo|courriel", base=True),
+         "mail|contact|write|kontakt|correo|courriel", base=True, holds="@"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _octets, 0.7,
          "ip|address|server|host|login", base=True),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])", _luhn, 0.8,
          "card|visa|credit|master|payment|karte|carte|tarjeta", base=True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _phone_digits, 0.7,
-         "phone|call|tel|mobile|fax|whatsapp", base=True),
+         "phone|call|tel|mobile|fax|whatsapp", base=True, holds="+"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?+)"
                  r"(?![A-Za-z0-9])", _mod97, 0.9, "iban|bank|account|konto|cuenta|compte"),
-    Kind("access_key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", _any, 0.9, "key|aws|access|secret"),
+    Kind("access_key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", _any, 0.9, "key|aws|access|secret", holds="AKIA"),
     Kind("secret", r"(?<![A-Za-z])(?i:password|passwd|secret|token|api_key) ?[=:] ?\"?[A-Za-z0-9+/_-]{8,}+\"?+", _any,
          0.8, "login|key|auth|credential"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _any, 0.3, "ssn|social|security|tax"),
@@ -148,11 +150,17 @@ def _proposed(kind: Kind, no: int, gaps: Column, starts: Column) -> Callable[[Co
 
 
 def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` with ``spans``: an array of ``(start, kind_no, end, kind, score)`` in order of start, then kind."""
-    rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    """``docs`` with ``spans``: an array of ``(start, kind_no, end, kind, score)`` in order of start, then kind;
+    base kinds come before the others of ``kinds``."""
+    kinds = tuple(sorted(kinds, key=lambda k: not k.base))
+    own = docs.drop("spans")
+    rows = pack(own, "text").withColumn("_text", F.coalesce("text", F.lit("")))
     for no, kind in enumerate(kinds):
         m, gaps, starts = (F.col(f"_{x}") for x in ("matches", "gaps", "starts"))
-        rows = (rows.withColumn("_matches", F.regexp_extract_all("_text", F.lit(kind.pattern), F.lit(0)))
+        found = F.regexp_extract_all("_text", F.lit(kind.pattern), F.lit(0))
+        if kind.holds:  # a text without it is not searched
+            found = F.when(F.contains("_text", F.lit(kind.holds)), found).otherwise(F.array().cast("array<string>"))
+        rows = (rows.withColumn("_matches", found)
                 .withColumn("_gaps", F.when(F.size(m) > 0, F.split("_text", kind.pattern, -1)))
                 .withColumn("_sizes", F.transform(m, lambda x, i: F.length(x) + F.length(F.get(gaps, i)))))  # noqa: B023
         rows = (with_running(rows, "_starts", "_sizes", F.lit(0), lambda a, x: a + x)
@@ -160,13 +168,15 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, min_score: float = MI
                 .withColumn(f"_spans{no}", F.filter(f"_spans{no}", lambda s: s["valid"] if kind.base  # noqa: B023
                                                     else s["valid"] & (s["score"] >= min_score)))
                 .drop("_matches", "_gaps", "_sizes", "_starts"))
-    rows = rows.withColumn("_base", F.concat(*[f"_spans{no}" for no, k in enumerate(kinds) if k.base]))
-    # a further kind says nothing new inside a base span; one that reaches beyond it does
-    others = F.filter(F.concat(*[f"_spans{no}" for no, k in enumerate(kinds) if not k.base]),
-                      lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    spans = F.sort_array(F.concat("_base", others))
-    return (rows.withColumn("spans", F.transform(spans, lambda s: s.dropFields("valid")))
-            .drop("_text", "_base", *[f"_spans{no}" for no in range(len(kinds))]))
+    n_base = sum(k.base for k in kinds)
+    rows = rows.select("_row", "text", F.sort_array(F.concat(*[f"_spans{no}" for no in range(len(kinds))])).alias("_all"))
+    # A further kind says nothing new inside a base span; one that reaches beyond it does. In order of start,
+    # base kinds first, a span lies inside one before it if its end is not beyond the furthest base end so far.
+    rows = rows.withColumn("_ends", F.transform("_all", lambda s: F.when(s["kind_no"] < n_base, s["end"]).otherwise(-1)))
+    rows = with_running(rows, "_reach", "_ends", F.lit(-1), lambda a, x: F.greatest(a, x))
+    kept = F.filter("_all", lambda s, i: (s["kind_no"] < n_base) | (s["end"] > F.get("_reach", i)))
+    spans = F.transform(kept, lambda s: s.dropFields("valid"))
+    return unpack(rows.select("_row", "text", spans.alias("spans")), own, _also=("spans",))
 
 
 def joined(spans: Column) -> Column:
