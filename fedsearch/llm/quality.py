@@ -58,6 +58,10 @@ def _pairs(hashes: str, step: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+#: The columns that :func:`judge` adds.
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_u``: the hash of each word, and ``_b``: of each pair of neighbours."""
     return (docs.withColumn("_u", F.transform(words("text"), lambda x: F.xxhash64(x)))
@@ -68,6 +72,7 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing:
           trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """One row: ``w``, the log-likelihood ratio of each bucket in order."""
     ids = F.broadcast(trusted_ids(labels, trusted_rows))  # at most `trusted_rows` ids
+    docs = docs.select("doc_id", "text")
     marked = docs.join(ids, docs["doc_id"] == ids["_trusted"], "left").select(
         "text", F.col("_trusted").isNotNull().cast("long").alias("_t"))
     grams = hashed(marked).select("_t", F.explode(F.concat("_u", "_b")).alias("_g"))
@@ -128,10 +133,11 @@ def judge(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, b
     grams = F.concat("_u", "_b")
     mean = F.aggregate("_grams", F.lit(0.0), lambda a, x: a + F.get("_weights", F.pmod(x, F.lit(buckets)).cast("int")),
                        lambda a: a / F.size("_grams"))
-    rows = measured(docs).withColumn("_grams", grams).withColumn("_weights", weights)
-    return (rows.withColumn("score", F.when(F.size("_grams") > 0, mean).otherwise(0.0))
-            .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-            .drop("_u", "_b", "_grams", "_weights"))
+    own = docs.drop(*MADE)
+    rows = measured(pack(own, "text")).withColumn("_grams", grams).withColumn("_weights", weights)
+    rows = (rows.withColumn("score", F.when(F.size("_grams") > 0, mean).otherwise(0.0))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)))
+    return unpack(rows.select("_row", "text", *MADE), own, _also=MADE)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
