@@ -1,7 +1,7 @@
 """Document fingerprints: SimHash with permuted block tables (operator 3).
 
 Terms are word pairs (a single word stands alone), weighted by how often they
-occur and by their length, up to ``MAX_WEIGHT``. Every term's 64-bit hash votes
+occur and by the bit length of their length. Every term's 64-bit hash votes
 with its weight, plus on its set bits and minus on the others; the fingerprint
 has the bits whose votes are positive. Two fingerprints' likeness is the share
 of equal bits.
@@ -21,19 +21,23 @@ The *edited* text of a document ends with the start of the next one, in
 descending order of ``doc_id`` (null ids last; equal ids in order of their text
 keys). The order is cut into ranges whose bounds are computed once and then
 stand in the plan as numbers; inside a range the next row is the next document,
-and one row per range is carried over its border.
+and the first row of each range also stands at the end of the one before.
 
-Scale. Texts are shuffled once, by range. Nothing meets in one task but one row
-per range. Term votes are combined per task before the shuffle (300 bytes per
-text). The tables hold one row per distinct fingerprint and table.
+Scale. Texts are shuffled once, by range; a row finds its range by binary
+search. An id that fills several ranges, null ids too, is cut further by text
+key. Nothing meets in one task but the number of each range. Term votes are
+combined per task before the shuffle (300 bytes per text). The tables hold one
+row per distinct fingerprint and table.
 
 Edge cases. Null or empty text: no terms, fingerprint 0. A single document is
-its own next. Repeated rows: each is a row of the result, next to each other.
+its own next. Repeated rows: each is a row of the result, next to each other
+(equal in id and text, they share a range).
 Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +45,6 @@ from pyspark.sql import functions as F
 
 from fedsearch.llm.common import stored, words
 
-MAX_WEIGHT = 16
 RADIUS = 3
 BLOCKS = 5
 _LANES = "4294967297L"  # bit 0 of either half
@@ -59,7 +62,7 @@ def simhash(texts: DataFrame) -> DataFrame:
                        F.slice("_a", 2, F.size("_a")).alias("_b"))
     terms = rows.select("k1", "k2", F.explode(F.arrays_zip("_a", "_b")).alias("t"))
     terms = terms.select("k1", "k2", F.xxhash64("t._a", "t._b").alias("h"),
-                         F.least(F.length("t._a") + F.coalesce(F.length("t._b"), F.lit(0)), F.lit(MAX_WEIGHT))
+                         F.length(F.bin(F.length("t._a") + F.coalesce(F.length("t._b"), F.lit(0))))
                          .cast("bigint").alias("w"))
     votes = [F.sum(F.expr(f"(shiftrightunsigned(h, {i}) & {_LANES}) * w")).alias(f"v{i}") for i in range(32)]
     sums = terms.groupBy("k1", "k2").agg(F.sum("w").alias("w"), *votes)
@@ -109,35 +112,54 @@ def near(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, blocks: int =
     return found.where((F.bit_count(differ) <= radius) & (F.col("tab") == first)).select("query", "fp")
 
 
+def _range_of(rows: DataFrame) -> tuple[Column, Column]:
+    """The number of bounds below ``doc_id``, to be column ``_below``, and the number of the range of ``doc_id``,
+    ``k1`` and ``_below``, which rises in the order of documents."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    shares = [(i + 1) / (n + 1) for i in range(n)]
+    # the bounds are numbers in the plan from here on: every use cuts the ranges alike
+    seen = rows.agg(F.percentile_approx("doc_id", shares, 100 * n).alias("b"), F.count(F.lit(1)).alias("rows"),
+                    F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    times = Counter(seen["b"] or [])
+    bounds = sorted(times)
+    ident, u = F.col("doc_id"), F.col("k1") / 2.0 ** 64 + 0.5  # the key's place between 0 and 1
+
+    def cut(parts: Column) -> Column:
+        return F.least(F.floor(u * parts), parts - 1).cast("bigint")
+
+    null_cut = cut(F.lit(max(1, -(-n * seen["nulls"] // max(seen["rows"], 1)))))
+    if not bounds:
+        return F.lit(0), null_cut
+    known, parts = F.array(*[F.lit(b).cast("bigint") for b in bounds]), F.array(*[F.lit(times[b]) for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, p: F.when(F.get(known, at + p - 1) < ident, at + p).otherwise(at))
+    # descending: an id that is a bound comes first in its range, cut into as many parts as bounds fell on it
+    hot = F.when(F.get(known, F.col("_below")) == ident, cut(F.get(parts, F.col("_below")))).otherwise(F.lit(n))
+    place = F.when(ident.isNull(), F.lit(len(bounds) + 1) * (n + 1) + null_cut).otherwise(
+        (F.lit(len(bounds)) - F.col("_below")) * (n + 1) + hot)
+    return below, place
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` of ``docs`` (null text: empty) with their keys and ``next_text``, the next document's."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    shares = [i / n for i in range(1, n)]
-    # n - 1 bounds, numbers in the plan from here on: every use cuts the ranges alike
-    bounds = rows.agg(F.percentile_approx("doc_id", shares, 100 * n).alias("b")).first()["b"] or [] if shares else []
-    bounds = sorted(set(bounds), reverse=True)
-    place = F.lit(0)
-    if bounds:
-        place = F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]),
-                                           lambda b: b >= F.col("doc_id"))), F.lit(len(bounds)))
-        place = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(place)
     k1, k2 = _key(F.col("text"))
-    rows = rows.withColumn("k1", k1).withColumn("k2", k2).withColumn("part", place.cast("int"))
-    order = [F.desc_nulls_last("doc_id"), F.asc("k1"), F.asc("k2")]
-    # first row of each range: at most n + 1 rows, found by their keys, then fetched with their texts
+    below, place = _range_of(rows)
+    rows = rows.withColumn("k1", k1).withColumn("k2", k2).withColumn("_below", below)
+    rows = rows.withColumn("part", place.cast("bigint")).drop("_below")
+    # first row of each range: found by their keys, then fetched with their texts
     least = F.min(F.struct(F.col("doc_id").isNull(), F.bitwise_not(F.col("doc_id")), "k1", "k2")).alias("m")
     heads = rows.groupBy("part").agg(least).select("part", F.col("m.k1").alias("k1"), F.col("m.k2").alias("k2"))
     heads = rows.join(F.broadcast(heads), ["part", "k1", "k2"]).select("part", "k1", "k2", "text").dropDuplicates(["part"])
-    everything = Window.partitionBy(F.lit(0)).orderBy("part")
     heads = stored(heads, "fp-heads")
-    borders = heads.select("part", F.coalesce(
-        F.lead("text").over(everything),
-        F.first("text").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_border"))
-    inside = Window.partitionBy("part").orderBy(*order)
-    rows = rows.withColumn("_lead", F.lead("text").over(inside))
-    return rows.join(borders, "part", "left").select(
-        "doc_id", "text", "k1", "k2", F.coalesce("_lead", "_border").alias("next_text"))
+    everything = Window.partitionBy(F.lit(0))
+    before = heads.select("part", F.coalesce(F.lag("part").over(everything.orderBy("part")),
+                                             F.max("part").over(everything)).alias("_into"))
+    ahead = heads.join(before, "part").select(F.col("_into").alias("part"), "text", "k1", "k2", F.lit(True).alias("_ahead"))
+    rows = rows.withColumn("_ahead", F.lit(False)).unionByName(ahead, allowMissingColumns=True)
+    inside = Window.partitionBy("part").orderBy("_ahead", F.desc_nulls_last("doc_id"), F.asc("k1"), F.asc("k2"))
+    rows = rows.withColumn("next_text", F.lead("text").over(inside))
+    return rows.where(~F.col("_ahead")).select("doc_id", "text", "k1", "k2", "next_text")
 
 
 def edited(rows: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def simhash(text: str) -> int:
         h = 42
         for w in t:
             h = xx(w, h)
-        weight = min(sum(len(w.decode()) for w in t), P.MAX_WEIGHT)
+        weight = sum(len(w.decode()) for w in t).bit_length()
         total += weight
         for i in range(64):
             votes[i] += weight * (h >> i & 1)
