@@ -22,7 +22,8 @@ leaf; an insertion makes the first. A place beyond the text: the end; a
 negative one: the start; a deletion beyond the end stops there; null edits or
 fields: skipped, or 0 and empty. Edits apply in their order, each to the text
 that the one before left. Repeated rows: each has its own tree. Empty table:
-empty result. Other columns are kept.
+empty result. Other columns are kept, but for those of the names that each
+function says it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF_UNITS = 64
+LEAF_UNITS = 8
 MEMO_UNITS = 300_000
 LONG_UNIT = 64
 CHUNK_ROWS = 256

@@ -105,8 +105,11 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     edit(F.floor(n / 2), 40, F.lit("")),
                     edit(F.floor(n / 3), 7, F.lit(" [revised 2024] ")),
                     edit(n, 0, F.lit("\nEnd.")))
-    return edit_counts.count_with_edits(docs.withColumn("edits", edits)).select(
-        "doc_id", "n_tokens", "edited_tokens", "n_edits", "n_leaves", "encoded_chars")
+    kept = edit_counts.trees(docs.withColumn("edits", edits))
+    kept = kept.withColumn("before", F.col("n_tokens")).withColumn("n_leaves", F.greatest(F.size("leaf_chars"), F.lit(0)))
+    return edit_counts.apply_edits(kept).select(
+        "doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("edited_tokens"), "n_edits",
+        F.col("n_leaves").cast("bigint").alias("n_leaves"), "encoded_chars")
 
 
 def hex64(c: str):
