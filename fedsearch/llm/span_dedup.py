@@ -2,7 +2,9 @@
 
 A sentence ends at white space after ``. ! ?``, after the like marks of other
 scripts, or at a line break. Every sentence is cut into parts after the words
-whose hash says so (one in ``CUT``): the same places wherever the words stand.
+whose hash says so (one in ``CUT``): the same places wherever the words stand. Words
+are what stands between white space; text after a mark of another script is a
+new word.
 From every sentence on, the shortest run of consecutive sentences with at least
 ``min_words`` words is hashed, and from every part on the shortest such run of
 consecutive parts. Whole repeated sentences go whole by the first; the second
@@ -32,8 +34,6 @@ brought up to date.
 from __future__ import annotations
 
 import re
-from itertools import accumulate
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -47,59 +47,71 @@ from fedsearch.llm.common import pack, stored, unpack
 MIN_WORDS = 20
 CUT = 4
 CHUNK_ROWS = 512
-#: The marks of other scripts need no white space after them.
-_BREAK = re.compile(r"(?<=[.!?])\s+|(?<=[。！？．｡؟۔।॥።])\s*|\n\s*")
-_WORD = re.compile(r"\s*\S+\s*|\s+")
-
-
-def sentences(text: str) -> list[str]:
-    """The sentences of a text with the white space after them; joined they are the text."""
-    out, at = [], 0
-    for m in _BREAK.finditer(text):
-        out.append(text[at:m.end()])
-        at = m.end()
-    if at < len(text):
-        out.append(text[at:])
+MEMO_WORDS = 300_000
+LONG_WORD = 64
+_MARKS = "。！？．｡؟۔।॥"  # marks that need no white space after them
+_MARK = re.compile(f"[{_MARKS}]")
+_WORD = re.compile(rf"[^\s{_MARKS}]+[{_MARKS}]*|[{_MARKS}]+")
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
+
+
+class _Hashes(dict):
+    """63-bit hash of a word above one bit: whether the word ends a sentence."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word) & ~1 | (word[-1] in ".!?" or word[-1] in _MARKS)
+        if len(word) <= LONG_WORD:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+def tokens(text: str, hashes: _Hashes) -> np.ndarray:
+    """The hash of each word; the last bit of a line's last word is set too (it ends a sentence)."""
+    marked = _MARK.search(text)
+    words, ends = [], []
+    for line in text.split("\n"):
+        words += _WORD.findall(line) if marked else line.split()
+        ends.append(len(words) - 1)
+    out = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    if len(words):
+        out[[e for e in ends if e >= 0]] |= np.uint64(1)
     return out
 
 
-def parts(text: str) -> tuple[list[str], list[int], list[int]]:
-    """The parts of a text (joined they are the text), the words of each, and the first part of each sentence."""
-    out, words, first = [], [], []
-    for s in sentences(text):
-        first.append(len(out))
-        at = n = 0
-        for m in _WORD.finditer(s):
-            w = m.group().strip()
-            n += bool(w)
-            if w and crc32(w.encode("utf-8", "surrogatepass")) % CUT == 0:
-                out.append(s[at:m.end()])
-                words.append(n)
-                at, n = m.end(), 0
-        if at < len(s):
-            out.append(s[at:])
-            words.append(n)
-    return out, words, first
-
-
-def runs(words: list[int], first: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """``(start, end)`` of the shortest long enough run of parts from each part and, of sentences, from each sentence."""
-    upto = [0, *accumulate(words)]
-    out = set()
-    for borders in (range(len(upto)), [*first, len(words)]):
-        end = 0
-        for at, start in enumerate(borders):
-            end = max(end, at)
-            while end < len(borders) and upto[borders[end]] - upto[start] < min_words:
-                end += 1
-            if end == len(borders):
-                break  # too few words are left for this and all later starts
-            out.add((start, borders[end]))
-    return sorted(out)
-
-
-def _digest(text: str) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(text.split()))
+def borders(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sentences and the parts of a text start, in words; both end with its number of words."""
+    end = (h & np.uint64(1)).astype(bool)
+    cut = end | ((h >> np.uint64(1)) % np.uint64(CUT) == 0)
+    return tuple(np.unique(np.concatenate(([0], np.flatnonzero(x) + 1, [len(h)]))) for x in (end, cut))
+
+
+def runs(h: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end, in words, of the shortest long enough run from each sentence and from each part."""
+    found = []
+    for at in borders(h):
+        to = np.searchsorted(at, at + min_words)
+        whole = to < len(at)
+        found.append(at[whole] * (len(h) + 1) + at[to[whole]])
+    return np.divmod(np.unique(np.concatenate(found)), len(h) + 1)
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The powers 0 to n of each base and of its inverse, modulo 2**64."""
+    def up(base: int) -> np.ndarray:
+        return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+
+    return [(up(b), up(pow(b, -1, 1 << 64))) for b in _BASES]
+
+
+def _run_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray, powers) -> list[np.ndarray]:
+    """Two 64-bit hashes of the words of each run: sums of word hash times power, shifted back to the run's start."""
+    h, out = h | np.uint64(1), []  # equal words hash alike wherever lines end
+    for up, down in powers:
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:len(h)], dtype=np.uint64)))
+        out.append(((upto[end] - upto[start]) * down[start]).view(np.int64))
+    return out
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -111,24 +123,20 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = _key(docs.select("doc_id", "text")).where("text is not null")
 
     def run(batches):
+        hashes = _Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK_ROWS):
                 part = batch.slice(at, CHUNK_ROWS)
-                places, digests, start, size = [], [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    own, words, first = parts(text)
-                    found = runs(words, first, min_words)
-                    hashes = [_digest(p) for p in own] if found else []
-                    for a, b in found:
-                        places.append(i)
-                        digests.append(xxhash.xxh3_128_digest(b"".join(hashes[a:b])))
-                        start.append(a)
-                        size.append(b - a)
-                halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-                index = pa.array(places, pa.int32())
+                texts = [tokens(t, hashes) for t in part.column("text").to_pylist()]
+                powers = _powers(max(map(len, texts)))
+                found = [runs(h, min_words) for h in texts]
+                halves = [_run_hashes(h, *r, powers) for h, r in zip(texts, found)]
+                index = pa.array(np.repeat(np.arange(len(texts), dtype=np.int32), [len(r[0]) for r in found]))
+                start, end = (np.concatenate([r[i] for r in found]) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(halves[:, 0]), pa.array(halves[:, 1]), part.column("doc_id").take(index),
-                     part.column("_key").take(index), pa.array(start, pa.int32()), pa.array(size, pa.int32())],
+                    [*(pa.array(np.concatenate([x[i] for x in halves])) for i in (0, 1)),
+                     part.column("doc_id").take(index), part.column("_key").take(index),
+                     pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32))],
                     names=["h1", "h2", "doc_id", "key", "start", "size"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -153,14 +161,19 @@ def repeats(docs: DataFrame, **options) -> DataFrame:
                        & (F.col("start") == F.col("first.start")))).select("doc_id", "key", "start", "size")
 
 
-def remove(text: str, cover: list[dict]) -> tuple[str, int, int]:
-    """The text without the covered parts, the number of sentences that lose any, and that of all sentences."""
-    own, _, first = parts(text)
-    gone = bytearray(len(own))
+def remove(text: str, cover: list[dict] | None, hashes: _Hashes) -> tuple[str, int, int]:
+    """The text without the covered words, the number of sentences that lose any, and that of all sentences."""
+    h = tokens(text, hashes)
+    first = borders(h)[0]
+    if not cover:
+        return text, 0, len(first) - 1
+    gone = np.zeros(len(h), bool)
     for c in cover:
-        gone[c["start"]:c["start"] + c["size"]] = b"\1" * c["size"]
-    lost = sum(any(gone[a:b]) for a, b in zip(first, [*first[1:], len(own)]))
-    return "".join(p for p, g in zip(own, gone) if not g), lost, len(first)
+        gone[c["start"]:c["start"] + c["size"]] = True
+    places = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    kept = [text[places[i]:places[i + 1]] for i in np.flatnonzero(~gone)]
+    lost = np.add.reduceat(gone, first[:-1], dtype=np.int64)
+    return text[:places[0]] + "".join(kept), int((lost > 0).sum()), len(first) - 1
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
@@ -174,6 +187,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
                            T.StructField("n_removed", T.LongType())])
 
     def run(batches):
+        hashes = _Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK_ROWS):
                 part = batch.slice(at, CHUNK_ROWS)
@@ -181,10 +195,8 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
                 for text, c in zip(part.column("text").to_pylist(), part.column("_cover").to_pylist()):
                     if text is None:
                         new, gone, n = None, 0, 0
-                    elif c:
-                        new, gone, n = remove(text, c)
                     else:
-                        new, gone, n = text, 0, len(sentences(text))
+                        new, gone, n = remove(text, c, hashes)
                     texts.append(new)
                     total.append(n)
                     removed.append(gone)

@@ -8,24 +8,21 @@ from fedsearch.llm import queries, span_dedup as S
 
 def brute(docs):
     """docs: (doc_id, text) in order; the expected (text, removed, sentences) of each."""
-    seen, out = set(), []
+    seen, out, hashes = set(), [], S._Hashes()
     for _, text in docs:
-        parts, words, first = S.parts(text)
-        names = [" ".join(p.split()) for p in parts]
-        gone = [False] * len(parts)
-        own = set()
-        for ends in (range(len(parts) + 1), first + [len(parts)]):
-            for a in ends:
-                b = next((e for e in ends if e > a and sum(words[a:e]) >= S.MIN_WORDS), None)
-                if b is not None:
-                    own.add((a, b))
+        places = [m.start() for m in S._WORD.finditer(text)] + [len(text)]
+        words = [text[a:b].strip() for a, b in zip(places, places[1:])]
+        levels = [list(map(int, x)) for x in S.borders(S.tokens(text, hashes))]
+        own = {(a, min(e for e in at if e >= a + S.MIN_WORDS)) for at in levels for a in at if a + S.MIN_WORDS <= len(words)}
+        gone = [False] * len(words)
         for a, b in sorted(own):
-            run = tuple(names[a:b])
+            run = tuple(words[a:b])
             if run in seen:
                 gone[a:b] = [True] * (b - a)
             seen.add(run)
-        lost = sum(any(gone[a:b]) for a, b in zip(first, first[1:] + [len(parts)]))
-        out.append(("".join(p for p, g in zip(parts, gone) if not g), lost, len(first)))
+        first = levels[0]
+        out.append((text[:places[0]] + "".join(text[places[i]:places[i + 1]] for i in range(len(words)) if not gone[i]),
+                    sum(any(gone[a:b]) for a, b in zip(first, first[1:])), len(first) - 1))
     return out
 
 
@@ -37,10 +34,30 @@ def test_query(spark, documents):
     assert sum(w[1] > 0 for w in want.values()) > 50
 
 
-def test_sentences_join_to_the_text():
-    for text in ("", "a", "One. Two!  Three?\n\nFour", "3.14 is pi. ok", "...\n \n.", "a\r\nb", " \n x", "你好。再见！ 好", "\x1c a\x85b "):
-        assert "".join(S.sentences(text)) == "".join(S.parts(text)[0]) == text
-        assert sum(S.parts(text)[1]) == sum(len(p.split()) for p in S.sentences(text))
+def sentences(text):
+    h = S.tokens(text, S._Hashes())
+    words = S._WORD.findall(text)
+    assert len(words) == len(h)
+    first = list(map(int, S.borders(h)[0]))
+    return [words[a:b] for a, b in zip(first, first[1:])]
+
+
+def test_sentences():
+    assert sentences("") == sentences(" \n ") == []
+    assert sentences("One. Two!  Three?\n\nFour more") == [["One."], ["Two!"], ["Three?"], ["Four", "more"]]
+    assert sentences("3.14 is pi. ok\r\nb") == [["3.14", "is", "pi."], ["ok"], ["b"]]
+    assert sentences("你好。再见！ 好 \x1c a\x85b ") == [["你好。"], ["再见！"], ["好", "a", "b"]]
+    assert S.remove("  a b. c", [{"start": 0, "size": 2}], S._Hashes()) == ("  c", 1, 2)
+
+
+def test_run_hashes_are_those_of_the_words():
+    words = [f"w{i % 7}" for i in range(200)]
+    h = S.tokens(" ".join(words), S._Hashes())
+    start, end = S.runs(h)
+    names = {}
+    for a, b, x, y in zip(start, end, *S._run_hashes(h, start, end, S._powers(len(h)))):
+        assert names.setdefault((x, y), words[a:b]) == words[a:b]
+    assert len(names) == len({tuple(words[a:b]) for a, b in zip(start, end)})
 
 
 def test_repeat_inside_a_document_and_clean_documents(spark):
