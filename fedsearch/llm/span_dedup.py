@@ -36,8 +36,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,50 +47,52 @@ from fedsearch.llm.common import pack, stored, unpack
 MIN_WORDS = 20
 CUT = 4
 CHUNK_ROWS = 512
-MEMO_WORDS = 300_000
-LONG_WORD = 64
 _MARKS = "。！？．｡؟۔।॥"  # marks that need no white space after them
 _MARK = re.compile(f"[{_MARKS}]")
+_ENDS = frozenset(".!?" + _MARKS)
 _WORD = re.compile(rf"[^\s{_MARKS}]+[{_MARKS}]*|[{_MARKS}]+")
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
 
 
-class _Hashes(dict):
-    """63-bit hash of a word above one bit: whether the word ends a sentence."""
-
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word) & ~1 | (word[-1] in ".!?" or word[-1] in _MARKS)
-        if len(word) <= LONG_WORD:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = h
-        return h
-
-
-def tokens(text: str, hashes: _Hashes) -> np.ndarray:
-    """The hash of each word; the last bit of a line's last word is set too (it ends a sentence)."""
+def split(text: str) -> tuple[list[str], np.ndarray]:
+    """The words of a text, and where its sentences start, in words; both ends with the number of words."""
     marked = _MARK.search(text)
     words, ends = [], []
     for line in text.split("\n"):
-        words += _WORD.findall(line) if marked else line.split()
-        ends.append(len(words) - 1)
-    out = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(words):
-        out[[e for e in ends if e >= 0]] |= np.uint64(1)
-    return out
+        own = _WORD.findall(line) if marked else line.split()
+        if own:
+            words += own
+            ends.append(len(words) - 1)
+    end = np.fromiter([w[-1] in _ENDS for w in words], bool, len(words))
+    end[ends] = True  # a line's last word ends a sentence
+    return words, _starts(end)
+
+
+def _starts(end: np.ndarray) -> np.ndarray:
+    """Where the stretches start whose last words are marked; the last one ends with the text."""
+    behind = np.flatnonzero(end) + 1
+    behind = behind[:np.searchsorted(behind, len(end))]
+    return np.concatenate(([0], behind, [len(end)])) if len(end) else np.zeros(1, np.int64)
+
+
+def hashed(words: list[str]) -> np.ndarray:
+    """A fixed 64-bit hash of each word."""
+    column = np.empty(len(words), object)
+    column[:] = words
+    return pd.util.hash_array(column, categorize=False)
 
 
-def borders(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def borders(h: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the sentences and the parts of a text start, in words; both end with its number of words."""
-    end = (h & np.uint64(1)).astype(bool)
-    cut = end | ((h >> np.uint64(1)) % np.uint64(CUT) == 0)
-    return tuple(np.unique(np.concatenate(([0], np.flatnonzero(x) + 1, [len(h)]))) for x in (end, cut))
+    cut = h % np.uint64(CUT) == 0
+    cut[sentences[1:] - 1] = True
+    return sentences, _starts(cut)
 
 
-def runs(h: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def runs(h: np.ndarray, sentences: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Start and end, in words, of the shortest long enough run from each sentence and from each part."""
     found = []
-    for at in borders(h):
+    for at in borders(h, sentences):
         to = np.searchsorted(at, at + min_words)
         whole = to < len(at)
         found.append(at[whole] * (len(h) + 1) + at[to[whole]])
@@ -107,7 +109,7 @@ def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _run_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray, powers) -> list[np.ndarray]:
     """Two 64-bit hashes of the words of each run: sums of word hash times power, shifted back to the run's start."""
-    h, out = h | np.uint64(1), []  # equal words hash alike wherever lines end
+    out = []
     for up, down in powers:
         upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:len(h)], dtype=np.uint64)))
         out.append(((upto[end] - upto[start]) * down[start]).view(np.int64))
@@ -118,42 +120,47 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
 
 
-def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``h1, h2`` (the 128-bit hash), ``doc_id, key, start, size`` of every run of ``docs``."""
-    rows = _key(docs.select("doc_id", "text")).where("text is not null")
+def _run_rows(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
+    """A row per run: its first half hash ``h1``, and if ``whole`` all columns of :func:`spans`."""
+    rows = docs.select("doc_id", "text").where("text is not null")
+    rows = _key(rows) if whole else rows.select("text")
 
     def run(batches):
-        hashes = _Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK_ROWS):
                 part = batch.slice(at, CHUNK_ROWS)
-                texts = [tokens(t, hashes) for t in part.column("text").to_pylist()]
-                powers = _powers(max(map(len, texts)))
-                found = [runs(h, min_words) for h in texts]
-                halves = [_run_hashes(h, *r, powers) for h, r in zip(texts, found)]
-                index = pa.array(np.repeat(np.arange(len(texts), dtype=np.int32), [len(r[0]) for r in found]))
-                start, end = (np.concatenate([r[i] for r in found]) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.concatenate([x[i] for x in halves])) for i in (0, 1)),
-                     part.column("doc_id").take(index), part.column("_key").take(index),
-                     pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "key", "start", "size"])
+                texts = [split(t) for t in part.column("text").to_pylist()]
+                texts = [(hashed(words), first) for words, first in texts]
+                powers = _powers(max(len(h) for h, _ in texts))[:2 if whole else 1]
+                found = [runs(h, first, min_words) for h, first in texts]
+                halves = [_run_hashes(h, *r, powers) for (h, _), r in zip(texts, found)]
+                columns = {f"h{i + 1}": pa.array(np.concatenate([x[i] for x in halves])) for i in range(len(powers))}
+                if whole:
+                    index = pa.array(np.repeat(np.arange(len(texts), dtype=np.int32), [len(r[0]) for r in found]))
+                    start, end = (np.concatenate([r[i] for r in found]) for i in (0, 1))
+                    columns |= {"doc_id": part.column("doc_id").take(index), "key": part.column("_key").take(index),
+                                "start": pa.array(start.astype(np.int32)), "size": pa.array((end - start).astype(np.int32))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"h1 long, h2 long, doc_id {id_type}, key long, start int, size int")
+    return rows.mapInArrow(run, "h1 long" + (f", h2 long, doc_id {id_type}, key long, start int, size int" if whole else ""))
+
+
+def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``h1, h2`` (the 128-bit hash), ``doc_id, key, start, size`` of every run of ``docs``."""
+    return _run_rows(docs, min_words, True)
 
 
 def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def repeats(docs: DataFrame, **options) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, key, start, size`` of every run that repeats an earlier one."""
-    found = spans(docs, **options)
     # Tables are written before and after each join: a join whose sides are plain shuffles, with no
     # aggregate above or below it in its stage, is one whose skewed keys Spark can split.
-    twice = stored(found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "spans-halves")
-    rows = stored(found.join(twice, "h1", "left_semi"), "spans-twice")
+    twice = stored(_run_rows(docs, min_words, False).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "spans-halves")
+    rows = stored(spans(docs, min_words).join(twice, "h1", "left_semi"), "spans-twice")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
     first = stored(rows.groupBy("h1", "h2").agg(F.min(place).alias("first")), "spans-first")
     met = rows.join(first, ["h1", "h2"])
@@ -161,13 +168,12 @@ def repeats(docs: DataFrame, **options) -> DataFrame:
                        & (F.col("start") == F.col("first.start")))).select("doc_id", "key", "start", "size")
 
 
-def remove(text: str, cover: list[dict] | None, hashes: _Hashes) -> tuple[str, int, int]:
+def remove(text: str, cover: list[dict] | None) -> tuple[str, int, int]:
     """The text without the covered words, the number of sentences that lose any, and that of all sentences."""
-    h = tokens(text, hashes)
-    first = borders(h)[0]
+    words, first = split(text)
     if not cover:
         return text, 0, len(first) - 1
-    gone = np.zeros(len(h), bool)
+    gone = np.zeros(len(words), bool)
     for c in cover:
         gone[c["start"]:c["start"] + c["size"]] = True
     places = [m.start() for m in _WORD.finditer(text)] + [len(text)]
@@ -176,9 +182,9 @@ def remove(text: str, cover: list[dict] | None, hashes: _Hashes) -> tuple[str, i
     return text[:places[0]] + "".join(kept), int((lost > 0).sum()), len(first) - 1
 
 
-def dedup(docs: DataFrame, **options) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without repeated spans; adds ``n_sentences`` and ``n_removed``."""
-    cover = stored(repeats(docs, **options).groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("_cover")),
+    cover = stored(repeats(docs, min_words).groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("_cover")),
                    "spans-cover")
     rows = _key(pack(docs, "doc_id", "text"))
     rows = rows.join(cover, rows["_key"] == cover["key"], "left").select("_row", "doc_id", "text", "_cover")
@@ -187,7 +193,6 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
                            T.StructField("n_removed", T.LongType())])
 
     def run(batches):
-        hashes = _Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK_ROWS):
                 part = batch.slice(at, CHUNK_ROWS)
@@ -196,7 +201,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
                     if text is None:
                         new, gone, n = None, 0, 0
                     else:
-                        new, gone, n = remove(text, c, hashes)
+                        new, gone, n = remove(text, c)
                     texts.append(new)
                     total.append(n)
                     removed.append(gone)

@@ -8,11 +8,12 @@ from fedsearch.llm import queries, span_dedup as S
 
 def brute(docs):
     """docs: (doc_id, text) in order; the expected (text, removed, sentences) of each."""
-    seen, out, hashes = set(), [], S._Hashes()
+    seen, out = set(), []
     for _, text in docs:
         places = [m.start() for m in S._WORD.finditer(text)] + [len(text)]
         words = [text[a:b].strip() for a, b in zip(places, places[1:])]
-        levels = [list(map(int, x)) for x in S.borders(S.tokens(text, hashes))]
+        own, first = S.split(text)
+        levels = [list(map(int, x)) for x in S.borders(S.hashed(own), first)]
         own = {(a, min(e for e in at if e >= a + S.MIN_WORDS)) for at in levels for a in at if a + S.MIN_WORDS <= len(words)}
         gone = [False] * len(words)
         for a, b in sorted(own):
@@ -35,10 +36,9 @@ def test_query(spark, documents):
 
 
 def sentences(text):
-    h = S.tokens(text, S._Hashes())
+    own, first = S.split(text)
     words = S._WORD.findall(text)
-    assert len(words) == len(h)
-    first = list(map(int, S.borders(h)[0]))
+    assert own == words and first[-1] == len(S.hashed(own)) == len(words)
     return [words[a:b] for a, b in zip(first, first[1:])]
 
 
@@ -47,13 +47,14 @@ def test_sentences():
     assert sentences("One. Two!  Three?\n\nFour more") == [["One."], ["Two!"], ["Three?"], ["Four", "more"]]
     assert sentences("3.14 is pi. ok\r\nb") == [["3.14", "is", "pi."], ["ok"], ["b"]]
     assert sentences("你好。再见！ 好 \x1c a\x85b ") == [["你好。"], ["再见！"], ["好", "a", "b"]]
-    assert S.remove("  a b. c", [{"start": 0, "size": 2}], S._Hashes()) == ("  c", 1, 2)
+    assert S.remove("  a b. c", [{"start": 0, "size": 2}]) == ("  c", 1, 2)
 
 
 def test_run_hashes_are_those_of_the_words():
     words = [f"w{i % 7}" for i in range(200)]
-    h = S.tokens(" ".join(words), S._Hashes())
-    start, end = S.runs(h)
+    own, first = S.split(" ".join(words))
+    h = S.hashed(own)
+    start, end = S.runs(h, first)
     names = {}
     for a, b, x, y in zip(start, end, *S._run_hashes(h, start, end, S._powers(len(h)))):
         assert names.setdefault((x, y), words[a:b]) == words[a:b]
