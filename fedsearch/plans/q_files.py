@@ -353,6 +353,27 @@ def upsert_metrics(spark, d):
     return spark.read.parquet(path)
 
 
+@query("upsert_last_run", """
+WITH n AS (SELECT coalesce(source, '') || '/' || coalesce(lang, '') AS model_name, doc_id AS run, n_chars::DOUBLE AS value FROM documents),
+l AS (SELECT model_name, max({'run': run, 'value': value}) AS last FROM n GROUP BY model_name)
+SELECT model_name, last.run AS run, last.value AS value FROM l
+UNION ALL
+SELECT DISTINCT coalesce(lang, ''), 0::BIGINT, 0.0::DOUBLE FROM documents
+WHERE coalesce(lang, '') NOT IN (SELECT model_name FROM n)""")
+def upsert_last_run(spark, d):
+    """Many runs of each model in one write: the last run of each stays."""
+    docs = fx.read(spark, d, "documents")
+    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
+    new = docs.select(F.concat(source, F.lit("/"), lang).alias("model_name"), F.col("doc_id").alias("run"),
+                      F.col("n_chars").cast("double").alias("value"))
+    before = new.select("model_name", F.lit(0).cast("bigint").alias("run"), F.lit(0.0).alias("value"))
+    old = before.unionByName(docs.select(lang.alias("model_name"), F.lit(0).cast("bigint").alias("run"),
+                                         F.lit(0.0).alias("value"))).distinct()
+    path = scratch_path(spark, "metrics-runs")
+    S.upsert_metrics(old, new, "model_name", path, order="run")
+    return spark.read.parquet(path)
+
+
 @query("split_written_once", "SELECT qid, split FROM split")
 def split_written_once(spark, d):
     """A saved split: written once, read by every later run."""

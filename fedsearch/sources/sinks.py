@@ -133,8 +133,19 @@ def write_split_manifest(rows: DataFrame, path: str) -> str:
     return path
 
 
-def upsert_metrics(old: DataFrame, new: DataFrame, key: str, path: str) -> DataFrame:
-    """Replace rows of known keys, append the rest, write as a new version."""
-    merged = old.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert_metrics(old: DataFrame, new: DataFrame, key: str, path: str, order: str | None = None) -> DataFrame:
+    """Replace rows of known keys, append the rest, write as a new version.
+
+    Of several new rows of one key the last in ``order`` (a column of ``new``)
+    stays; rows that tie there, or all if no order is given, are told apart by
+    their own values, the greatest staying. A null key is a key of its own.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in new.columns])
+    rank = F.struct(F.col(f"`{order}`").alias("_order"), row.alias("_row")) if order else F.struct(row.alias("_row"))
+    last = (new.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max(rank).alias("_last"))  # combined before the shuffle
+            .select("_last._row.*"))
+    keys = new.select(F.col(f"`{key}`").alias("_key")).distinct()
+    merged = (old.join(keys, old[key].eqNullSafe(keys["_key"]), "left_anti")
+              .unionByName(last.select(*[F.col(f"`{c}`") for c in old.columns])))
     merged.write.mode("errorifexists").parquet(path)
     return merged

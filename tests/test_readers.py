@@ -140,6 +140,16 @@ def test_logs_roundtrip_and_sinks(spark, tmp_path):
     assert m == {"a": 1.0, "b": 3.0, "c": 4.0}
 
 
+def test_upsert_keeps_the_last_of_repeated_rows(spark, tmp_path):
+    schema = "model_name string, run long, ndcg double"
+    old = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0), (None, 0, 0.5)], schema)
+    new = spark.createDataFrame([("b", 2, 3.0), ("b", 1, 9.0), ("c", 1, 4.0), ("c", 1, 5.0), (None, 1, 0.7), ("d", None, 1.0), ("d", 1, 0.1)], schema)
+    got = {r.model_name: r.ndcg for r in S.upsert_metrics(old, new, "model_name", str(tmp_path / "m3"), order="run").collect()}
+    assert got == {"a": 1.0, "b": 3.0, "c": 5.0, None: 0.7, "d": 0.1}
+    back = S.upsert_metrics(old, new.select("model_name", "run", "ndcg"), "model_name", str(tmp_path / "m4")).collect()
+    assert len(back) == len({r.model_name for r in back}) == 5
+
+
 def test_dimensions(spark):
     s = dim_sources(spark)
     assert s.where("workload = 'feb4rag'").count() == 13
