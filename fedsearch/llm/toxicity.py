@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from fedsearch.llm.common import stored
 
 TRAIN_ROWS = 12_000
+LEXICON_TERMS = 400
 STEMS = (4, 5, 6)
 MIN_TOXIC_DOCS = 3
 MIN_TOXIC_SHARE = 0.75
@@ -266,8 +267,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
         F.broadcast(own), F.col("doc_id") == F.col("_id")).select("text", "toxic")
 
 
-def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Every telling word and beginning (``abcd*``) of the bounded sample with its log-odds."""
+def learn_lexicon(train: DataFrame, terms: int = LEXICON_TERMS) -> dict[str, float]:
+    """The ``terms`` most telling words and beginnings (``abcd*``) of the bounded sample with their log-odds.
+
+    A parameter of the model, not of the data: telling terms further down are
+    mostly those that near copies of a few texts share.
+    """
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     stems = [F.transform(F.filter("_words", lambda w: F.length(w) >= n), lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*")))  # noqa: B023
              for n in STEMS]
@@ -288,8 +293,8 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("t") + 0.5) / (total_t + 1)) - F.log((c + 0.5) / (total_c + 1))
     best = (counts.where(F.col("t") >= MIN_TOXIC_SHARE * F.col("n")).withColumn("g", g)
             .where(F.col("g") >= 2 * math.log(max(sizes["n"], 2)) + 6)
-            .select("term", "t", odds.alias("w")))
-    rows = best.collect()  # telling terms of the bounded sample only
+            .select("term", "t", odds.alias("w"), "g").orderBy(F.desc("g"), "term").limit(terms))
+    rows = best.collect()  # at most `terms` rows
     words = [(r["term"], r["t"]) for r in rows if not r["term"].endswith("*")]
     # a beginning that is mostly one word says no more than the word
     return {r["term"]: float(r["w"]) for r in rows if not r["term"].endswith("*")
@@ -333,10 +338,10 @@ def learn_weights(train: DataFrame, lexicon: dict[str, float]) -> list[float]:
     return [float(v) for v in w]
 
 
-def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms: int = LEXICON_TERMS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and ``patterns`` (the clause sums) of every row of ``docs``."""
     train = stored(training_rows(docs, labels, train_rows), "toxic-train")
-    lexicon = learn_lexicon(train)
+    lexicon = learn_lexicon(train, terms)
     weights = learn_weights(train, lexicon)
     logit = F.lit(weights[-1])
     for i, w in enumerate(weights[:-1]):

@@ -174,7 +174,9 @@ def test_lexicon_weights_and_scores_recomputed(spark):
             c = n - t
             g = 2 * (t * math.log(t / (n * share)) + (c * math.log(c / (n * (1 - share))) if c else 0))
             if g >= 2 * math.log(total) + 6:
-                telling[term] = (t, math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (total - toxic + 1)))
+                telling[term] = (g, t, math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (total - toxic + 1)))
+    best = sorted(telling, key=lambda w: (-telling[w][0], w))[:X.LEXICON_TERMS]
+    telling = {w: telling[w][1:] for w in best}
     words = {w: t for w, (t, _) in telling.items() if w[-1] != "*"}
     lexicon = {w: v for w, (t, v) in telling.items()
                if w[-1] != "*" or all(2 * words[x] < t for x in words if x.startswith(w[:-1]))}
