@@ -11,14 +11,17 @@ above ``q.centre + |q| radius``.
 with all queries in packs (a row per tile, not per vector); a query first
 visits the tiles with the highest bounds that together have k vectors; its
 k-th score there then excludes
-every other tile whose bound is below it, and only the tiles that are left
-are read. Ties end in the lower id as everywhere.
+every other tile whose bound is below it. What is left is searched in cells: a
+group of tiles with a group of queries, each sent once per cell. A cell
+compares bounds again, and its floors rise with what it finds. Ties end in the
+lower id as everywhere.
 
 Scale. Ball packs are cut into shards of about ``PACK_BALLS`` balls and meet the
-query blocks in an equi-join on the shard; tiles meet the blocks of queries
-that want them in an equi-join on the tile, so a tile that all queries want is
-read once and joined to many blocks. The visits table has a row per query and
-surviving tile: what pruning leaves.
+query blocks in an equi-join on the shard; the first tiles meet the blocks of
+queries that want them in an equi-join on the tile. No row stands for a query
+and a further tile: where little is pruned, these would be queries times tiles.
+Cells hold up to about ``CELL_BYTES`` a side; queries are sent to ``TILE_GROUPS``
+groups of tiles, to more only where the tiles are larger than that.
 """
 
 from __future__ import annotations
@@ -30,13 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fedsearch.operators.retrieve import _matrix, merge_topk, tile_topk
+from fedsearch.operators.retrieve import _matrix, _scores, merge_topk, tile_topk
 from fedsearch.session import store
 
 TILE_ROWS = 1_024
 PIVOTS = 256
 PACK_BALLS = 4_096
 BLOCK_QUERIES = 256
+#: Groups of tiles at least, and vectors of a cell at most (bytes a side, about).
+TILE_GROUPS = 32
+CELL_BYTES = 32 << 20
+SLAB_QUERIES = 512
+EXACT_PAIRS = 65_536
 TILES_SCHEMA = "source_id int, tile long, n int, keys binary, data binary, width int, centre binary, radius double"
 
 
@@ -210,23 +218,114 @@ def _visit(visits: DataFrame, queries: DataFrame, tiles: DataFrame, k: int) -> D
         run, "qid long, source_id int, vec_id long, score double")
 
 
-def pruned_visits(queries: DataFrame, tiles: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """``(first hits, further visits)`` of :func:`knn_pruned`: what the first tiles give, and the ``qid, tile`` that
-    their k-th score leaves."""
-    shards = max(-(-tiles.count() // PACK_BALLS), 1)
+def _first_hits(q: DataFrame, tiles: DataFrame, k: int, shards: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(packs, first visits, first hits)`` of :func:`knn_pruned`, stored."""
     packs = store(_ball_packs(tiles, shards), "ball-packs")
-    q = store(queries.select("qid", "qv"), "pruned-queries")
     none = q.withColumn("floor", F.lit(None).cast("double"))
     before = Window.partitionBy("qid").orderBy(F.desc("bound"), "tile").rowsBetween(Window.unboundedPreceding, -1)
     best = _bounds(none, packs, shards, k).withColumn("held", F.coalesce(F.sum("n").over(before), F.lit(0)))
     first = store(best.where(F.col("held") < k).select("qid", "tile"), "first-visits")
-    hits = store(merge_topk(_visit(first, q, tiles, k), k).drop("rank"), "first-hits")
+    return packs, first, store(merge_topk(_visit(first, q, tiles, k), k).drop("rank"), "first-hits")
+
+
+def _with_floor(q: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     floors = hits.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    left = _bounds(q.join(floors, "qid", "left").select("qid", "floor", "qv"), packs, shards, None)
-    return hits, store(left.select("qid", "tile").join(first, ["qid", "tile"], "left_anti"), "further-visits")
+    return q.join(floors, "qid", "left").select("qid", "floor", "qv")
+
+
+def pruned_visits(queries: DataFrame, tiles: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``(first hits, further visits)``: what the first tiles give, and the ``qid, tile`` that their k-th score leaves."""
+    shards = max(-(-tiles.count() // PACK_BALLS), 1)
+    q = store(queries.select("qid", "qv"), "pruned-queries")
+    packs, first, hits = _first_hits(q, tiles, k, shards)
+    left = _bounds(_with_floor(q, hits, k), packs, shards, None)
+    return hits, left.select("qid", "tile").join(first, ["qid", "tile"], "left_anti")
+
+
+def _best(found: list[tuple], k: int) -> tuple:
+    """``row, id, source, score`` of the k best per row, ties to the lower id, by ascending row."""
+    row, ids, source, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((ids, -score, row))
+    row = row[order]
+    order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+    return tuple(np.concatenate(x)[order] for x in zip(*found))
+
+
+def _slab_topk(Q: np.ndarray, floors: np.ndarray, cell: list[tuple], centres: np.ndarray, radii: np.ndarray, k: int) -> tuple | None:
+    """The k best vectors of a cell's tiles (``source, ids, vectors``) for each row of Q that reach its floor."""
+    size = np.sqrt((Q * Q).sum(axis=1))
+    near = Q @ centres.T
+    bound = near + size[:, None] * radii[None, :] + 1e-9 * (np.abs(near) + size[:, None] * (1 + radii[None, :]))
+    floors, found, new = floors.copy(), [], 0
+    for j in np.argsort(-bound.max(axis=0), kind="stable"):  # what raises the floors most comes first
+        want = np.flatnonzero(bound[:, j] >= floors)
+        if not len(want):
+            continue
+        source, ids, C = cell[j]
+        approx = Q[want] @ C.T
+        approx += 1e-12 * max(Q.shape[1], 1) * size[want][:, None] * np.sqrt((C * C).sum(axis=1))[None, :]
+        r, c = np.nonzero(approx >= floors[want][:, None])
+        if len(r) > 2 * k * len(want):  # floors still low: the tile's own k best are enough
+            r, v, s = tile_topk(want, Q[want], ids, C, k, True, "dot")
+        else:
+            r, v = want[r], ids[c]
+            s = np.concatenate([_scores(Q[r[a:a + EXACT_PAIRS]], C[c[a:a + EXACT_PAIRS]], "dot")
+                                for a in range(0, len(r), EXACT_PAIRS)] or [np.zeros(0)])
+        ok = s >= floors[r]
+        if ok.any():
+            found.append((r[ok], v[ok], np.full(ok.sum(), source, np.int32), s[ok]))
+            new += len(found[-1][0])
+        if new > k * len(Q) // 2:
+            found, new = [_best(found, k)], 0
+            row, _, _, score = found[0]
+            last = np.searchsorted(row, np.arange(len(Q)), "right") - 1
+            full = np.bincount(row, minlength=len(Q)) == k
+            floors[full] = np.maximum(floors[full], score[last[full]])
+    return _best(found, k) if found else None
+
+
+def _cells(q: DataFrame, tiles: DataFrame, k: int, tile_groups: int, query_groups: int) -> DataFrame:
+    """``qid, source_id, vec_id, score``: for each query of ``q`` (``qid, floor, qv``) and group of tiles, the k best
+    vectors that reach the floor."""
+    t = F.pmod(F.xxhash64("tile"), F.lit(tile_groups))
+    h = F.pmod(F.xxhash64("qid"), F.lit(query_groups))
+    groups = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = tiles.select(t.alias("t"), groups(query_groups).alias("h"), "source_id", "keys", "data", "width", "centre", "radius")
+    right = q.select(groups(tile_groups).alias("t"), h.alias("h"), "qid", "floor", "qv")
+    out = pa.schema([("qid", pa.int64()), ("source_id", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def search(_, own: pa.Table, asked: pa.Table) -> pa.Table:
+        if not own.num_rows or not asked.num_rows:
+            return out.empty_table()
+        parts = zip(*(own.column(x).to_pylist() for x in ("source_id", "keys", "data", "width")))
+        cell = [(source, np.frombuffer(keys, "<i8"), _matrix(data, width)) for source, keys, data, width in parts]
+        centres = np.array([np.frombuffer(c, "<f8") for c in own.column("centre").to_pylist()])
+        radii = own.column("radius").to_numpy()
+        qids = asked.column("qid").to_numpy()
+        floors = np.array([-np.inf if f is None else f for f in asked.column("floor").to_pylist()])
+        Q = asked.column("qv").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(qids), -1)
+        got = []
+        for at in range(0, len(qids), SLAB_QUERIES):
+            best = _slab_topk(Q[at:at + SLAB_QUERIES], floors[at:at + SLAB_QUERIES], cell, centres, radii, k)
+            if best is not None:
+                row, ids, source, score = best
+                got.append(pa.table([qids[at + row], source, ids, score], schema=out))
+        return pa.concat_tables(got) if got else out.empty_table()
+
+    return left.groupBy("t", "h").cogroup(right.groupBy("t", "h")).applyInArrow(
+        search, "qid long, source_id int, vec_id long, score double")
 
 
 def knn_pruned(queries: DataFrame, tiles: DataFrame, k: int) -> DataFrame:
     """Exact top k by dot product over all ``tiles`` for each of ``queries`` (``qid, qv``): the rows of ``knn_global``."""
-    hits, further = pruned_visits(queries, tiles, k)
-    return merge_topk(hits.unionByName(_visit(further, queries, tiles, k)), k)
+    have = tiles.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n").cast("double") * F.col("width") * 8).alias("b")).first()
+    # a row of its own for each query, whatever its id
+    q = store(queries.select(F.monotonically_increasing_id().alias("row"), F.col("qid").cast("bigint").alias("qid"), "qv"), "pruned-queries")
+    asked = q.agg(F.sum(F.size("qv").cast("double") * 8)).first()[0] or 0
+    rows = q.select(F.col("row").alias("qid"), "qv")
+    _, _, hits = _first_hits(rows, tiles, k, max(-(-have.n // PACK_BALLS), 1))
+    # the first tiles reach their own floors, so cells find their hits again
+    found = _cells(_with_floor(rows, hits, k), tiles, k, max(TILE_GROUPS, int(-(-(have.b or 0) // CELL_BYTES))),
+                   max(1, int(-(-asked // CELL_BYTES))))
+    named = found.withColumnRenamed("qid", "row").join(q.select("row", "qid"), "row")
+    return merge_topk(named.select("qid", "source_id", "vec_id", "score"), k)

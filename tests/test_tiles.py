@@ -103,3 +103,34 @@ def test_a_batch_packs_no_corpus(spark, made):
     scan = next(x for x in plan.splitlines() if "Scan parquet" in x)
     assert "keys" in scan and "centre" not in scan
     assert plan.count("MapInArrow") == 2  # the queries' blocks and the scores
+
+
+def test_rows_do_not_grow_with_queries_times_tiles(spark, tmp_path, monkeypatch):
+    """Vectors without clusters: most tiles must be searched, yet no row stands for a query and a further tile."""
+    rng = np.random.default_rng(5)
+    rows = [(i % 3, i, x.tolist()) for i, x in enumerate(rng.normal(size=(900, 16)))]
+    queries = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 16)))]
+    path = f"file://{tmp_path}/t"
+    T.add_vectors(spark.createDataFrame(rows, SCHEMA), path, tile_rows=10, pivots=20)
+    tiles, q = T.read_tiles(spark, path), spark.createDataFrame(queries, "qid long, qv array<double>")
+    seen, visit = [], T._visit
+
+    def counted(visits, *rest):
+        seen.append(visits.count())
+        return visit(visits, *rest)
+
+    monkeypatch.setattr(T, "_visit", counted)
+    monkeypatch.setattr(T, "SLAB_QUERIES", 7)
+    got = sorted((r.qid, r.vec_id, r["rank"]) for r in T.knn_pruned(q, tiles, 4).collect())
+    assert got == plain(rows, queries, 4)
+    assert 0 < sum(seen) <= 4 * len(queries) < 0.1 * tiles.count() * len(queries), seen
+
+
+def test_query_ids_that_repeat_or_are_null(spark, made):
+    rows, path, queries, _ = made
+    asked = [(1, queries[0][1]), (1, queries[0][1]), (None, queries[1][1])]
+    found = T.knn_pruned(spark.createDataFrame(asked, "qid long, qv array<double>"), T.read_tiles(spark, path), 6).collect()
+    first, second = ([v for _, v, _ in plain(rows, [(0, q)], 6)] for q in (queries[0][1], queries[1][1]))
+    best = [v for _, v, r in sorted(plain(rows, [(0, queries[0][1])], 3), key=lambda x: x[2])]
+    assert sorted(r.vec_id for r in found if r.qid == 1) == sorted(best * 2) and set(best) <= set(first)
+    assert sorted(r.vec_id for r in found if r.qid is None) == sorted(second)
