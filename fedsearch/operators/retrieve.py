@@ -37,6 +37,8 @@ from fedsearch.functions.vectors import score as score_expr
 
 TILE_ROWS = 2048
 BLOCK_QUERIES = 256
+#: Tasks that share a source's tiles, at least where the join shuffles; each gets all its query blocks.
+TILE_SHARES = 4
 
 
 def _order(score: Column, higher_is_better: bool, tie: str = "vec_id") -> list[Column]:
@@ -243,15 +245,25 @@ def tile_topk(qids, Q, ids, C, k: int, higher_is_better: bool, score_fn: str):
     only those are scored exactly.
     """
     approx = Q @ C.T
-    size = np.sqrt((Q * Q).sum(1))[:, None] * np.sqrt((C * C).sum(1))[None, :]
+    sizes = np.sqrt((Q * Q).sum(1)), np.sqrt((C * C).sum(1))
+    slack = sizes[0] * sizes[1].max(initial=0.0)
+    bounded = np.isfinite(slack).all()
+    if score_fn != "dot" or not bounded:
+        size = sizes[0][:, None] * sizes[1][None, :]
     if score_fn != "dot":
         approx = np.where(size > 0, approx / np.where(size > 0, size, 1.0), 0.0)
-        size = np.ones_like(size)
+        size, slack = np.ones_like(size), np.ones_like(slack)
     keyed = approx if higher_is_better else -approx
-    margin = 1e-12 * max(Q.shape[1], 1) * size
     kk = min(k, len(ids))
-    least = -np.partition(-(keyed - margin), kk - 1, axis=1)[:, kk - 1]  # k rows score at least this
-    row, col = np.nonzero(keyed + margin >= least[:, None])
+    unit = 1e-12 * max(Q.shape[1], 1)
+    if bounded:  # a pass each for the product, its k-th value of a row, and the test
+        at = len(ids) - max(kk, 1)
+        least = np.partition(keyed, at, axis=1)[:, at] - 2 * unit * slack  # k rows score at least nearly this
+        row, col = np.nonzero(keyed >= least[:, None])
+    else:
+        margin = unit * size
+        least = -np.partition(-(keyed - margin), kk - 1, axis=1)[:, kk - 1]
+        row, col = np.nonzero(keyed + margin >= least[:, None])
     exact = _scores(Q[row], C[col], score_fn)
     order = np.lexsort((ids[col], -exact if higher_is_better else exact, row))
     row, col, exact = row[order], col[order], exact[order]
@@ -275,8 +287,9 @@ def knn_arrow(queries: DataFrame, corpus: DataFrame, k: int, score_fn: str = "do
 def knn_tiles(queries: DataFrame, tiles: DataFrame, k: int, score_fn: str = "dot", higher_is_better: bool = True,
               block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """``knn`` over vectors that are packed already (:func:`pack_vectors`, or a stored table of tiles)."""
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TILE_SHARES - 1).cast("long")))
     blocks = pack_vectors(queries, "qid", "qv", block_queries).select(
-        "source_id", F.col("keys").alias("qids"), F.col("data").alias("qdata"), F.col("width").alias("qwidth"))
+        "source_id", every.alias("share"), F.col("keys").alias("qids"), F.col("data").alias("qdata"), F.col("width").alias("qwidth"))
 
     def run(batches):
         for b in batches:
@@ -288,7 +301,9 @@ def knn_tiles(queries: DataFrame, tiles: DataFrame, k: int, score_fn: str = "dot
                     [pa.array(q), pa.array(np.full(len(q), source, dtype=np.int32)), pa.array(v), pa.array(s)],
                     names=["qid", "source_id", "vec_id", "score"])
 
-    partial = tiles.select("source_id", "keys", "data", "width").join(blocks, "source_id").mapInArrow(run, HITS_SCHEMA)
+    share = F.pmod(F.xxhash64("keys"), F.lit(TILE_SHARES)).alias("share")
+    met = tiles.select("source_id", share, "keys", "data", "width").join(blocks, ["source_id", "share"])
+    partial = met.drop("share").mapInArrow(run, HITS_SCHEMA)
     return topk(partial, ["qid", "source_id"], "score", k, "local_rank", higher_is_better)
 
 

@@ -8,7 +8,7 @@ step. The same pass sums loss and confusion counts of the validation rows, so
 every epoch leaves a row of history and the best one is kept.
 
 Scale. Rows are packed once into blocks of ``block_rows`` (key, label, features
-as bytes), stored in the shared folder: a lost executor costs a re-read of its
+as bytes), dealt out over all cores and stored in the shared folder: a lost executor costs a re-read of its
 blocks, and masks that depend on the row's key only make the recomputed
 gradient the same. A block belongs to a task, never a key or a group. Weights
 travel as a broadcast whose size the layer widths fix (0.4 to 2.1 million
@@ -32,6 +32,8 @@ from fedsearch.operators.train import class_weights
 from fedsearch.session import store
 
 BLOCK_ROWS = 4_096
+#: Rows of a training task: below the first, none is split further; above the second, there are more tasks than cores.
+TASK_ROWS = (512, 65_536)
 PIECE = 65_536
 EPOCHS = 30
 #: Epoch from which the stepped learning rate replaces the cyclic one (a fixed value, as a share of all epochs).
@@ -68,12 +70,16 @@ def load_weights(spark: SparkSession, path: str) -> mlp.Weights:
 def pack_blocks(examples: DataFrame, features: str = "scaled", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Train and validation rows as stored blocks ``split, n, keys, labels, cells``.
 
-    Rows keep the partitions they come in; a block holds rows of one split.
+    Rows are dealt out by key: a small table that comes in few partitions would
+    else be trained on by as few tasks. A block holds rows of one split.
     """
     rows = examples.where(F.col("split").isin("train", "val")).select(
         "split", F.xxhash64("qid", "source_id").alias("key"), F.col("label").cast("double").alias("label"),
         F.col(features).cast("array<double>").alias("x"))
 
+    n = rows.count()
+    parts = max(min(-(-n // TASK_ROWS[0]), rows.sparkSession.sparkContext.defaultParallelism), -(-n // TASK_ROWS[1]), 1)
+
     def pack(batches):
         held: dict[str, list] = {}
 
@@ -96,7 +102,7 @@ def pack_blocks(examples: DataFrame, features: str = "scaled", block_rows: int =
         for split, parts in held.items():
             yield block(split, parts)
 
-    return store(rows.mapInArrow(pack, "split string, n int, keys binary, labels binary, cells binary"), "router-blocks")
+    return store(rows.repartition(parts, "key").mapInArrow(pack, "split string, n int, keys binary, labels binary, cells binary"), "router-blocks")
 
 
 def _sums(blocks: DataFrame, weights, width: int, hidden: tuple[int, int], *, epoch: int, batch: int, batches: int,

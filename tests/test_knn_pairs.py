@@ -57,3 +57,20 @@ def test_odd_vectors_and_keys_rank_as_among_all_pairs(spark, fn, higher):
     got = K.knn(queries, corpus, 7, fn, higher, tile_rows=11, block_queries=4)
     shown = lambda df: sorted(map(repr, df.select(*plain.columns).collect()))
     assert shown(got) == shown(plain) and got.schema == plain.schema
+
+
+def test_tiles_of_one_source_are_joined_under_several_keys(spark):
+    """A join on the source alone gives a source one task, however large it is."""
+    rng = np.random.default_rng(3)
+    corpus = spark.createDataFrame([(0, i, rng.normal(size=4).tolist()) for i in range(600)], CORPUS)
+    queries = spark.createDataFrame([(0, i, rng.normal(size=4).tolist()) for i in range(20)], QUERIES)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = K.knn_arrow(queries, corpus, 3, tile_rows=20, block_queries=8)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        got = sorted(hits.select("qid", "vec_id", "score", "local_rank").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [x for x in plan.splitlines() if "SortMergeJoin" in x and "Inner" in x]
+    assert joins and all("share" in x for x in joins), plan
+    assert got == sorted(K.knn(queries, corpus, 3).select("qid", "vec_id", "score", "local_rank").collect())

@@ -131,3 +131,9 @@ def test_time_per_row_stays_flat(spark):
         R.train_router(df, epochs=3)
         took[n] = time.perf_counter() - t0
     assert took[8_000] < 2.5 * took[4_000]
+
+
+def test_rows_that_come_in_one_partition_are_trained_on_by_many_tasks(spark):
+    blocks = R.pack_blocks(made(spark, 6_000, parts=1))
+    assert blocks.groupBy(F.input_file_name()).count().count() >= min(8, spark.sparkContext.defaultParallelism)
+    assert blocks.agg(F.sum("n")).first()[0] == 6_000
