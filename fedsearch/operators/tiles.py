@@ -251,13 +251,17 @@ def _best(found: list[tuple], k: int) -> tuple:
     return tuple(np.concatenate(x)[order] for x in zip(*found))
 
 
-def _slab_topk(Q: np.ndarray, floors: np.ndarray, cell: list[tuple], centres: np.ndarray, radii: np.ndarray, k: int) -> tuple | None:
-    """The k best vectors of a cell's tiles (``source, ids, vectors``) for each row of Q that reach its floor."""
+def _slab_topk(Q: np.ndarray, floors: np.ndarray, seen: list[list[int]], cell: list[tuple], centres: np.ndarray, radii: np.ndarray,
+               k: int) -> tuple | None:
+    """The k best vectors of a cell's tiles (``source, ids, vectors``) that reach the floor of each row of Q, without the
+    tiles that it has seen."""
     size = np.sqrt((Q * Q).sum(axis=1))
     near = Q @ centres.T
     bound = near + size[:, None] * radii[None, :] + 1e-9 * (np.abs(near) + size[:, None] * (1 + radii[None, :]))
+    for i, own in enumerate(seen):
+        bound[i, own] = np.nan
     floors, found, new = floors.copy(), [], 0
-    for j in np.argsort(-bound.max(axis=0), kind="stable"):  # what raises the floors most comes first
+    for j in np.argsort(-np.fmax.reduce(bound, axis=0), kind="stable"):  # what raises the floors most comes first
         want = np.flatnonzero(bound[:, j] >= floors)
         if not len(want):
             continue
@@ -285,13 +289,13 @@ def _slab_topk(Q: np.ndarray, floors: np.ndarray, cell: list[tuple], centres: np
 
 
 def _cells(q: DataFrame, tiles: DataFrame, k: int, tile_groups: int, query_groups: int) -> DataFrame:
-    """``qid, source_id, vec_id, score``: for each query of ``q`` (``qid, floor, qv``) and group of tiles, the k best
-    vectors that reach the floor."""
+    """``qid, source_id, vec_id, score``: for each query of ``q`` (``qid, floor, qv, seen``) and group of tiles, the k best
+    vectors that reach the floor, in tiles that the query has not seen."""
     t = F.pmod(F.xxhash64("tile"), F.lit(tile_groups))
     h = F.pmod(F.xxhash64("qid"), F.lit(query_groups))
     groups = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = tiles.select(t.alias("t"), groups(query_groups).alias("h"), "source_id", "keys", "data", "width", "centre", "radius")
-    right = q.select(groups(tile_groups).alias("t"), h.alias("h"), "qid", "floor", "qv")
+    left = tiles.select(t.alias("t"), groups(query_groups).alias("h"), "tile", "source_id", "keys", "data", "width", "centre", "radius")
+    right = q.select(groups(tile_groups).alias("t"), h.alias("h"), F.col("qid").cast("long").alias("qid"), "floor", "qv", "seen")
     out = pa.schema([("qid", pa.int64()), ("source_id", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(_, own: pa.Table, asked: pa.Table) -> pa.Table:
@@ -304,9 +308,12 @@ def _cells(q: DataFrame, tiles: DataFrame, k: int, tile_groups: int, query_group
         qids = asked.column("qid").to_numpy()
         floors = np.array([-np.inf if f is None else f for f in asked.column("floor").to_pylist()])
         Q = asked.column("qv").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(qids), -1)
+        place = {t: j for j, t in enumerate(own.column("tile").to_pylist())}
+        seen = [[place[t] for t in ts or () if t in place] for ts in asked.column("seen").to_pylist()]
         got = []
         for at in range(0, len(qids), SLAB_QUERIES):
-            best = _slab_topk(Q[at:at + SLAB_QUERIES], floors[at:at + SLAB_QUERIES], cell, centres, radii, k)
+            part = slice(at, at + SLAB_QUERIES)
+            best = _slab_topk(Q[part], floors[part], seen[part], cell, centres, radii, k)
             if best is not None:
                 row, ids, source, score = best
                 got.append(pa.table([qids[at + row], source, ids, score], schema=out))
@@ -319,13 +326,11 @@ def _cells(q: DataFrame, tiles: DataFrame, k: int, tile_groups: int, query_group
 def knn_pruned(queries: DataFrame, tiles: DataFrame, k: int) -> DataFrame:
     """Exact top k by dot product over all ``tiles`` for each of ``queries`` (``qid, qv``): the rows of ``knn_global``."""
     have = tiles.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n").cast("double") * F.col("width") * 8).alias("b")).first()
-    # a row of its own for each query, whatever its id
-    q = store(queries.select(F.monotonically_increasing_id().alias("row"), F.col("qid").cast("bigint").alias("qid"), "qv"), "pruned-queries")
+    q = store(queries.select("qid", "qv"), "pruned-queries")
     asked = q.agg(F.sum(F.size("qv").cast("double") * 8)).first()[0] or 0
-    rows = q.select(F.col("row").alias("qid"), "qv")
-    _, _, hits = _first_hits(rows, tiles, k, max(-(-have.n // PACK_BALLS), 1))
-    # the first tiles reach their own floors, so cells find their hits again
-    found = _cells(_with_floor(rows, hits, k), tiles, k, max(TILE_GROUPS, int(-(-(have.b or 0) // CELL_BYTES))),
-                   max(1, int(-(-asked // CELL_BYTES))))
-    named = found.withColumnRenamed("qid", "row").join(q.select("row", "qid"), "row")
-    return merge_topk(named.select("qid", "source_id", "vec_id", "score"), k)
+    _, first, hits = _first_hits(q, tiles, k, max(-(-have.n // PACK_BALLS), 1))
+    seen = first.groupBy("qid").agg(F.collect_list("tile").alias("seen"))  # k tiles at most
+    found = _cells(_with_floor(q, hits, k).join(seen, "qid", "left"), tiles, k,
+                   max(TILE_GROUPS, int(-(-(have.b or 0) // CELL_BYTES))), max(1, int(-(-asked // CELL_BYTES))))
+    further = found.join(q.select("qid"), "qid")  # as the first hits: an id that comes twice asks twice
+    return merge_topk(hits.unionByName(further.select("qid", "source_id", "vec_id", "score")), k)
